@@ -79,11 +79,12 @@ class Learned:
         self.numbers = Numbers()
         self.sizes, self.starts, self.values, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
 
-    def __call__(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str], split: Callable[[str], list]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words of all texts, and the n + 1 offsets of texts; values of new words are looked up."""
         if len(self.numbers) > self.most:
             self.clear()
-        numbers = [self.numbers.of(words) for words in texts]
+        # Each text's words are numbered as soon as they are cut, while they are in the processor's cache.
+        numbers = [self.numbers.of(split(text)) for text in texts]
         if self.numbers.new:
             sizes, values = self.look(self.numbers.new)
             self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])

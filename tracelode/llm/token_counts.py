@@ -110,7 +110,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = [t or "" for t in part.column("_text").to_pylist()]
-                words, at = learned([split(t) for t in texts])
+                words, at = learned(texts, split)
                 ends = np.concatenate([[0], np.cumsum(learned.sizes[words])])[at]
                 sizes = [len(t.encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.diff(ends))], ["doc_id", "n_bytes", "n_tokens"])

@@ -27,7 +27,7 @@ from tracelode.llm._shared import bound_batches, file_system, map_array, shared_
 from tracelode.llm.pretokens import Learned, Splitter
 
 #: Distinct pre-tokens whose ids a worker keeps between batches.
-CACHE = 400_000
+CACHE = 800_000
 #: Documents of a part that are read back at a time.
 READ_DOCS = 20_000
 
@@ -57,14 +57,16 @@ class Encoder:
 
     def __call__(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with end_id if given, and how many each text has."""
-        words, at = self.learned([self.split(t) for t in texts])
+        words, at = self.learned(texts, self.split)
         sizes, starts = self.learned.sizes[words], self.learned.starts[words]
         before = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.learned.values[np.arange(before[-1]) + np.repeat(starts - before[:-1], sizes)].astype(self.kind)
         ends = before[at]
         if end_id is None:
             return ids, np.diff(ends)
-        return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
+        out = np.full(len(ids) + len(texts), end_id, self.kind)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(ends))] = ids
+        return out, np.diff(ends) + 1
 
 
 @lru_cache(1)
