@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracelode.llm._shared import written
 
-ROWS_PER_BUCKET = 32_768
+ROWS_PER_BUCKET = 8_192
 HASH_BITS = 60
 
 
