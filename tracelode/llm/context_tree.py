@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from tracelode.llm._shared import bound_batches, flat_text, map_array, shared_folder, slices, write_bytes, written
 
-DEPTH = 6
+DEPTH = 5
 END = 10
 #: Grams of a part; a pair of nearest bytes with more of them is a part of its own.
 PART_GRAMS = 400_000
 PART_WORDS = 500_000
 #: Distinct grams that a task holds before it passes counts on.
-HELD = 3_000_000
+HELD = 1_500_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -301,7 +301,7 @@ def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), pa.array(hashed[:, 0].copy()), pa.array(hashed[:, 1].copy()), pa.array(n)], ["word", "key", "more", "n"])
 
     for batch in batches:
-        for part in slices(batch, "_text"):
+        for part in slices(batch, "_text", 2 << 20):
             flat, at = flat_text(part.column("_text"))
             data, begin = canonical(flat, at, depth)
             key, n = np.unique(own(data, begin, depth)[0], return_counts=True)
