@@ -27,7 +27,7 @@ from tracelode.llm._shared import bound_batches, file_system, map_array, shared_
 from tracelode.llm.pretokens import Learned, Splitter
 
 #: Distinct pre-tokens whose ids a worker keeps between batches.
-CACHE = 800_000
+CACHE = 500_000
 #: Documents of a part that are read back at a time.
 READ_DOCS = 20_000
 
