@@ -36,7 +36,7 @@ END = 10
 PART_GRAMS = 400_000
 PART_WORDS = 500_000
 #: Distinct grams that a task holds before it passes counts on.
-HELD = 1_500_000
+HELD = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -430,7 +430,7 @@ def score(docs: DataFrame, trained: tuple[Model, Words, int, int], doc_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = shared.value
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", 2 << 20):
                 flat, at = flat_text(part.column("_text"))
                 data, begin = canonical(flat, at, depth)
                 keys, starts = own(data, begin, depth)
