@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 SPACE = r"[ \t\n\r\f\x0b]"
 
@@ -71,11 +73,21 @@ def preview(text: Column, most: int = 180) -> Column:
 
 
 def repeats(text: Column, size: int = 80, times: int = 5, starts: int = 500) -> Column:
-    """Whether one of up to `starts` evenly spaced pieces of `size` characters occurs `times` times without overlap."""
-    last = F.length(text) - size
-    step = F.greatest(F.floor(last / starts), F.lit(1)).cast("int")
-    found = F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), step), lambda p: F.length(text) - F.length(F.replace(text, F.substr(text, p + 1, F.lit(size)), F.lit(""))) >= size * times)
-    return F.coalesce((last >= 0) & found, F.lit(False))
+    """Whether one of up to `starts` evenly spaced pieces of `size` characters occurs `times` times without overlap.
+
+    An Arrow UDF: the same by replace() in SQL walks the UTF-8 of a text anew for every piece, 70 times as long.
+    """
+
+    def found(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> bool:
+            if t is None or len(t) < size:
+                return False
+            last = len(t) - size
+            return any(t.count(t[p : p + size]) >= times for p in range(0, last + 1, max(last // starts, 1)))
+
+        return texts.map(one, na_action=None).astype(bool)
+
+    return F.pandas_udf(found, BooleanType())(text)
 
 
 def foreign_share(text: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
 
-ORDER = Window.partitionBy("trace").orderBy("sid")
+
+def trace_order() -> WindowSpec:
+    return Window.partitionBy("trace").orderBy("sid")
 
 
 def merge_into_neighbours(rows: DataFrame, odd: Column, least: int = 0) -> DataFrame:
@@ -15,8 +17,8 @@ def merge_into_neighbours(rows: DataFrame, odd: Column, least: int = 0) -> DataF
 
     Texts are joined by spaces in order, tokens added. A trace of odd rows only, or of fewer than `least` rows, stays.
     """
-    after = F.first(F.when(~odd, F.col("sid")), ignorenulls=True).over(ORDER.rowsBetween(0, Window.unboundedFollowing))
-    before = F.last(F.when(~odd, F.col("sid")), ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(F.when(~odd, F.col("sid")), ignorenulls=True).over(trace_order().rowsBetween(0, Window.unboundedFollowing))
+    before = F.last(F.when(~odd, F.col("sid")), ignorenulls=True).over(trace_order().rowsBetween(Window.unboundedPreceding, 0))
     size = F.count("*").over(Window.partitionBy("trace"))
     target = F.when(size < least, F.col("sid")).otherwise(F.coalesce(after, before, F.col("sid")))
     marked = rows.withColumn("target", target)
@@ -43,7 +45,7 @@ def drop_cut_off_tail(rows: DataFrame, answered: Column, most: int = 10, longest
 
 def renumber(rows: DataFrame) -> DataFrame:
     """old_sid and a dense sid from 0."""
-    return rows.withColumn("new_sid", F.row_number().over(ORDER) - 1).withColumnRenamed("sid", "old_sid").withColumnRenamed("new_sid", "sid")
+    return rows.withColumn("new_sid", F.row_number().over(trace_order()) - 1).withColumnRenamed("sid", "old_sid").withColumnRenamed("new_sid", "sid")
 
 
 def split_oversized(rows: DataFrame, most: int = 100) -> DataFrame:

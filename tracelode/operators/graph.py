@@ -32,7 +32,7 @@ def degree_by_label(rows: DataFrame) -> DataFrame:
 
 def density(rows: DataFrame) -> DataFrame:
     """(trace, n_nodes, n_edges, density)."""
-    per = degrees(rows).groupBy("trace").agg(F.count("*").alias("n_nodes"), F.sum("n_declared").alias("n_edges"))
+    per = rows.groupBy("trace").agg(F.count("*").alias("n_nodes")).join(edges(rows).groupBy("trace").agg(F.count("*").alias("n_edges")), "trace", "left").na.fill(0)
     return per.withColumn("density", F.coalesce(F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), F.lit(0.0)))
 
 
@@ -123,8 +123,8 @@ def chains(rows: DataFrame) -> DataFrame:
     hypo = rows.where("label = 'HYPO'").select("trace", "sid", F.col("antecedent").alias("up"))
     child = hypo.where("up IS NOT NULL AND up < sid").groupBy("trace", "up").agg(F.min("sid").alias("next"))
     ptr = hypo.select("trace", "sid").join(child.withColumnRenamed("up", "sid"), ["trace", "sid"], "left").withColumn("steps", F.when(F.col("next").isNotNull(), 1).otherwise(0))
-    most = rows.agg(F.max("sid")).first()[0] or 0
-    for _ in range(int(most + 1).bit_length()):
+    most = child.groupBy("trace").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
         far = ptr.select("trace", F.col("sid").alias("next"), F.col("next").alias("far"), F.col("steps").alias("more"))
         ptr = ptr.join(far, ["trace", "next"], "left").select("trace", "sid", F.col("far").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
     roots = hypo.where("up IS NULL").select("trace", "sid")

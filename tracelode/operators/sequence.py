@@ -5,15 +5,17 @@ One shuffle by trace serves every window of an operator; aggregates over traces
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-TRACE = Window.partitionBy("trace").orderBy("sid")
+
+def trace_order() -> WindowSpec:
+    return Window.partitionBy("trace").orderBy("sid")
 
 
 def transitions(rows: DataFrame) -> DataFrame:
     """(from_label, to_label, n): bigrams within traces."""
-    pairs = rows.withColumn("to_label", F.lead("label").over(TRACE)).where(F.col("to_label").isNotNull())
+    pairs = rows.withColumn("to_label", F.lead("label").over(trace_order())).where(F.col("to_label").isNotNull())
     return pairs.groupBy(F.col("label").alias("from_label"), "to_label").agg(F.count("*").alias("n"))
 
 
@@ -45,14 +47,14 @@ def entropy(rows: DataFrame, group: str, *value: str) -> DataFrame:
 
 
 def transition_entropy(rows: DataFrame) -> DataFrame:
-    pairs = rows.withColumn("to_label", F.lead("label").over(TRACE)).where(F.col("to_label").isNotNull())
+    pairs = rows.withColumn("to_label", F.lead("label").over(trace_order())).where(F.col("to_label").isNotNull())
     return entropy(pairs, "trace", "label", "to_label")
 
 
 def runs(rows: DataFrame, least: int = 1) -> DataFrame:
     """(trace, label, first_sid, length) of maximal runs of a label with at least `least` rows."""
-    turn = (F.col("label") != F.lag("label").over(TRACE)).cast("int")
-    islands = rows.withColumn("turn", F.coalesce(turn, F.lit(0))).withColumn("island", F.sum("turn").over(TRACE))
+    turn = (F.col("label") != F.lag("label").over(trace_order())).cast("int")
+    islands = rows.withColumn("turn", F.coalesce(turn, F.lit(0))).withColumn("island", F.sum("turn").over(trace_order()))
     found = islands.groupBy("trace", "island").agg(F.first("label").alias("label"), F.min("sid").alias("first_sid"), F.count("*").alias("length"))
     return found.where(F.col("length") >= least).drop("island")
 
@@ -80,14 +82,14 @@ def phases(rows: DataFrame) -> DataFrame:
 
 def repetition_ratio(rows: DataFrame, n: int = 4) -> DataFrame:
     """(trace, ratio): share of label n-grams that repeat an earlier one; 0 for shorter traces."""
-    gram = F.when(F.lead("label", n - 1).over(TRACE).isNotNull(), F.concat_ws(">", *[F.lead("label", k).over(TRACE) for k in range(n)]))
+    gram = F.when(F.lead("label", n - 1).over(trace_order()).isNotNull(), F.concat_ws(">", *[F.lead("label", k).over(trace_order()) for k in range(n)]))
     found = rows.withColumn("gram", gram).groupBy("trace").agg(F.count("gram").alias("grams"), F.countDistinct("gram").alias("kinds"))
     return found.select("trace", F.coalesce(F.try_divide(F.col("grams") - F.col("kinds"), F.col("grams")), F.lit(0.0)).alias("ratio"))
 
 
 def adjacency_share(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(trace, share): bigrams that go between a and b, in either direction."""
-    pairs = rows.withColumn("t", F.lead("label").over(TRACE)).where(F.col("t").isNotNull())
+    pairs = rows.withColumn("t", F.lead("label").over(trace_order())).where(F.col("t").isNotNull())
     between = ((F.col("label") == a) & (F.col("t") == b)) | ((F.col("label") == b) & (F.col("t") == a))
     return pairs.groupBy("trace").agg(F.avg(between.cast("double")).alias("share"))
 
@@ -100,11 +102,11 @@ def presence(rows: DataFrame, first: int = 5) -> DataFrame:
 def latest(labels: tuple[str, ...], back: int, where: Column | None = None) -> Column:
     """sid of the nearest earlier row with one of the labels among the last `back`."""
     hit = F.col("label").isin(*labels) if where is None else F.col("label").isin(*labels) & where
-    return F.last(F.when(hit, F.col("sid")), ignorenulls=True).over(TRACE.rowsBetween(-back, -1))
+    return F.last(F.when(hit, F.col("sid")), ignorenulls=True).over(trace_order().rowsBetween(-back, -1))
 
 
 def _earlier(back: int) -> Column:
-    return F.collect_list(F.struct("sid", "label")).over(TRACE.rowsBetween(-back, -1))
+    return F.collect_list(F.struct("sid", "label")).over(trace_order().rowsBetween(-back, -1))
 
 
 def _newest(found: Column, k: int) -> Column:
@@ -114,7 +116,7 @@ def _newest(found: Column, k: int) -> Column:
 
 def preceding_run(labels: tuple[str, ...], back: int, k: int) -> Column:
     """sids of the unbroken run of these labels right before the row, its newest k, ascending."""
-    broken = F.max(F.when(~F.col("label").isin(*labels), F.col("sid"))).over(TRACE.rowsBetween(-back, -1))
+    broken = F.max(F.when(~F.col("label").isin(*labels), F.col("sid"))).over(trace_order().rowsBetween(-back, -1))
     run = F.filter(_earlier(back), lambda x: x["sid"] > F.coalesce(broken, F.lit(-1)))
     return _newest(F.transform(run, lambda x: x["sid"]), k)
 
@@ -126,7 +128,7 @@ def dependencies(rows: DataFrame, window: int = 20, hypo: int = 35, rule: int =
     has an empty one. All frames share one sort by trace and sid.
     """
     some = lambda *found: F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    before, before_sid = F.lag("label").over(TRACE), F.lag("sid").over(TRACE)
+    before, before_sid = F.lag("label").over(trace_order()), F.lag("sid").over(trace_order())
     anchor, judge = latest(("HYPO",), window), latest(("JUDGE",), hypo)
     tests = F.transform(F.filter(_earlier(window), lambda x: (x["label"] == "TEST") & (x["sid"] > F.coalesce(anchor, F.lit(-1)))), lambda x: x["sid"])
     moved = F.col("status").isin("revised", "repeated") & F.col("antecedent").isNotNull()
