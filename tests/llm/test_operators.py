@@ -288,7 +288,7 @@ def as_modelled(text: str | None) -> bytes:
 
 
 def test_context_tree_against_definition(spark, docs, rows, none, monkeypatch):
-    monkeypatch.setattr(context_tree, "PART_GRAMS", 150)
+    monkeypatch.setattr(context_tree, "PART_GRAMS", 60)
     texts = [prose(k, 12) for k in range(12)] + ["", None, " A\t b ", "éè"]
     train = spark.createDataFrame([(t,) for t in texts[:9]], "text string")
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")

@@ -37,6 +37,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
+    """A small table that lies in fewer files than there are cores is dealt out to all of them; any other stays as it is."""
+    spark = df.sparkSession
+    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > small:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches to Python workers are cut by bytes, so that long texts don't add up."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "16777216"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")):

@@ -216,7 +216,7 @@ def identify(docs: DataFrame, langs: list[str], prob: np.ndarray, pieces: list[s
                 runs = [letter_runs(t or "") for t in part.column("_text").to_pylist()]
                 if len(known) > CACHE:
                     known, values = {}, values[:0]
-                new = list(set().union(*runs).difference(known))
+                new = list(set().union(*runs).difference(known)) if langs else []
                 if new:
                     known.update(zip(new, range(len(known), len(known) + len(new))))
                     values = np.concatenate([values, *(lattice.forward(new[k : k + 50_000], prob) for k in range(0, len(new), 50_000))])
