@@ -51,7 +51,7 @@ deg AS (SELECT d.trace, d.sid, d.label, (SELECT count(*) FROM e WHERE e.trace =
 
 
 def _round(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(f"`{c}`").cast("bigint").alias(c) if t == "int" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`").cast("bigint").alias(c) if t == "int" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def _add(name: str, sql: str | None, fact: str | None = "s") -> Callable[[Query], Query]:
@@ -220,9 +220,9 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("sx01_kappa", "WITH n AS (SELECT count(*) AS n, avg((quality = toxic)::INT) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels) SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM n", None)(lambda spark, d: K.kappa(_rated(spark, d), []))
-_add("sx03_kappa_by_part", "WITH n AS (SELECT doc_id % 7 AS part, count(*) AS n, avg((quality = toxic)::INT) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels GROUP BY 1) SELECT part, n, round(po, 6) AS agreement, CASE WHEN n >= 2 AND pe < 1 THEN round((po - pe) / (1 - pe), 6) END AS kappa FROM n", None)(lambda spark, d: K.kappa(_rated(spark, d), ["part"]))
-_add("sx02_kappa_by_category", "WITH c AS (SELECT k::BIGINT AS category, (quality = k)::INT AS x, (toxic = k)::INT AS y FROM labels, (VALUES (0), (1)) v(k)), n AS (SELECT category, count(*) AS n, avg((x = y)::INT) AS po, avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)) AS pe FROM c GROUP BY category) SELECT category, n, round(po, 6) AS agreement, CASE WHEN n >= 2 AND pe < 1 THEN round((po - pe) / (1 - pe), 6) END AS kappa FROM n", None)(lambda spark, d: K.kappa_by_category(_rated(spark, d), [0, 1]))
-_add("sx05_gate", "WITH n AS (SELECT doc_id % 7 AS part, count(*) AS n, avg((quality = toxic)::INT) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels GROUP BY 1) SELECT part, CASE WHEN n < 2 OR pe >= 1 THEN 'N/A' WHEN (po - pe) / (1 - pe) >= 0.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM n", None)(lambda spark, d: K.kappa(_rated(spark, d), ["part"]).select("part", K.gate(F.col("kappa"), 0.0).alias("verdict")))
+_add("sx03_kappa_by_part", "WITH n AS (SELECT doc_id % 7 AS part, count(*) AS n, avg((quality = toxic)::INT) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels GROUP BY 1) SELECT part, n, round(po, 6) AS agreement, CASE WHEN n >= 2 AND pe < 1 THEN round((po - pe) / (1 - pe), 6) + 0.0::DOUBLE END AS kappa FROM n", None)(lambda spark, d: K.kappa(_rated(spark, d), ["part"]))
+_add("sx02_kappa_by_category", "WITH c AS (SELECT k::BIGINT AS category, (quality = k)::INT AS x, (toxic = k)::INT AS y FROM labels, (VALUES (0), (1)) v(k)), n AS (SELECT category, count(*) AS n, avg((x = y)::INT) AS po, avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)) AS pe FROM c GROUP BY category) SELECT category, n, round(po, 6) AS agreement, CASE WHEN n >= 2 AND pe < 1 THEN round((po - pe) / (1 - pe), 6) + 0.0::DOUBLE END AS kappa FROM n", None)(lambda spark, d: K.kappa_by_category(_rated(spark, d), [0, 1]))
+_add("sx05_gate", "WITH n AS (SELECT doc_id % 7 AS part, count(*) AS n, avg((quality = toxic)::INT) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels GROUP BY 1) SELECT part, CASE WHEN n < 2 OR pe >= 1 THEN 'N/A' WHEN round((po - pe) / (1 - pe), 6) >= 0.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM n", None)(lambda spark, d: K.kappa(_rated(spark, d), ["part"]).select("part", K.gate(F.round("kappa", 6), 0.0).alias("verdict")))
 _add("sx06_confusion", 'SELECT quality::BIGINT AS a, count(*) FILTER (toxic = 0) AS "0", count(*) FILTER (toxic = 1) AS "1" FROM labels GROUP BY quality', None)(lambda spark, d: K.confusion(_rated(spark, d), [0, 1]))
 _add("sx07_confusion_shares", "WITH c AS (SELECT quality::BIGINT AS a, toxic::BIGINT AS b, count(*) AS n FROM labels GROUP BY quality, toxic) SELECT *, round(n / sum(n) OVER (PARTITION BY a), 6) AS share FROM c", None)(lambda spark, d: K.row_shares(_rated(spark, d)))
 _F1 = "WITH v AS (SELECT k, count(*) FILTER (quality = k) AS t, count(*) FILTER (toxic = k) AS p, count(*) FILTER (quality = k AND toxic = k) AS c FROM labels, (VALUES (0), (1)) v(k) GROUP BY k), f AS (SELECT k::BIGINT AS label, t AS support, coalesce(c / nullif(p, 0), 0)::DOUBLE AS precision, coalesce(c / nullif(t, 0), 0)::DOUBLE AS recall, coalesce(2 * c / nullif(t + p, 0), 0)::DOUBLE AS f1 FROM v) "

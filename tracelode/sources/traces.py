@@ -23,7 +23,11 @@ def read_traces(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
 
 def file_state(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(path, state): ok, empty, corrupt or incomplete, for each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
+    # Scans pass over files without bytes; the listing has them.
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    sized = scan.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
+    listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], "path string").select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    files = listed.join(sized, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
     read = read_traces(spark, path, glob)
     whole = F.lit(True)
     for c in REQUIRED:
