@@ -27,7 +27,7 @@ LONGEST = 40
 #: Training documents, by hash, at most about so many; what they teach is one number for each piece and language.
 SAMPLE = 20_000
 ROUNDS = 3
-CACHE = 300_000
+CACHE = 150_000
 #: Languages that a model may have: the driver holds 32,000 or so numbers for each.
 LANGUAGES = 400
 MARK = "▁"
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, langs: list[str], prob: np.ndarray, pieces: list[s
                 new = list(set().union(*runs).difference(known)) if langs else []
                 if new:
                     known.update(zip(new, range(len(known), len(known) + len(new))))
-                    values = np.concatenate([values, *(lattice.forward(new[k : k + 50_000], prob) for k in range(0, len(new), 50_000))])
+                    values = np.concatenate([values, *(lattice.forward(new[k : k + 10_000], prob) for k in range(0, len(new), 10_000))])
                 said, score = [], np.zeros(len(runs))
                 for k, words in enumerate(runs):
                     if not words or not langs:

@@ -27,7 +27,7 @@ from tracelode.llm._shared import bound_batches, file_system, map_array, shared_
 from tracelode.llm.pretokens import Learned, Splitter
 
 #: Distinct pre-tokens whose ids a worker keeps between batches.
-CACHE = 500_000
+CACHE = 400_000
 #: Documents of a part that are read back at a time.
 READ_DOCS = 20_000
 
@@ -90,7 +90,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         fs, base = file_system(folder)
         sizes, keys, nulls, out = [], [], [], None
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", 2 << 20):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{name}.bin")
