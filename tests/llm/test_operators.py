@@ -465,3 +465,28 @@ def test_meeting_keeps_words_and_chances():
 
 def test_payload_hash_is_of_whole_text():
     assert hashlib.sha256(media.payload("a")).hexdigest() == hashlib.sha256(b"a" + bytes(63)).hexdigest()
+
+
+def test_letters_are_letters():
+    assert langid.letter_runs("\u00bd\u00b2 \u2167 12 _") == []
+    assert langid.letter_runs("a\u00bdB \u00c9t\u00e9_x") == ["a", "b", "\u00e9t\u00e9", "x"]
+
+
+def test_rare_language_beside_a_frequent_one(spark, pieces):
+    rare = "zorq vlim plux qort"
+    many = [(k, prose(k, 30), "often") for k in range(400)] + [(1000 + k, f"{rare} {rare} wq{k}", "seldom") for k in range(4)]
+    langs, prob = langid.fit(spark.createDataFrame(many, "doc_id bigint, text string, lang string"), pieces, sample=20)
+    asked = spark.createDataFrame([(1, "vlim zorq qort plux"), (2, prose(7777, 20))], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, langs, prob, pieces).collect()} == {1: "seldom", 2: "often"}
+
+
+def test_frequent_grams_are_counted_in_stretches(monkeypatch):
+    dice = random.Random(5)
+    items = [(k, "the same phrase again and again " * 3 + prose(500 + k, 30)) for k in range(20)]
+    index = decontamination.Index(items)
+    text = " ".join(x for k in range(12) for x in (prose(9000 + k, 60), items[dice.randrange(20)][1][40:200], "the same phrase again and again " * dice.randrange(6)))
+    data = decontamination.folded(np.frombuffer(text.encode(), np.uint8))
+    whole = set(decontamination._search(index, data))
+    for pairs in (1, 500, 20_000):
+        monkeypatch.setattr(decontamination, "PAIRS", pairs)
+        assert set(decontamination._search(index, data)) == whole and whole

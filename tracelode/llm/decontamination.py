@@ -31,6 +31,8 @@ Q = 8
 WINDOW, STRIDE = 64, 32
 #: Edits allowed for each byte of a window, and the shared q-grams that a window asks for at least.
 RATE, SHARED = 0.1, 9
+#: Pairs of a text's and a window's q-gram that are counted at a time.
+PAIRS = 1 << 20
 #: Characters of the benchmark in a broadcast block.
 BLOCK = 4_000_000
 #: Bytes of a document that are looked at together; parts overlap by more than a match is long.
@@ -120,14 +122,26 @@ class Index:
         if not enough.any():
             return none
         marks = np.zeros(len(gram) + 1, np.int64)
-        starts = np.flatnonzero(enough)
         marks[: len(enough)] += enough
         marks[width : width + len(enough)] -= enough
         place = np.flatnonzero(maybe & (np.cumsum(marks[:-1]) > 0))
         where = np.minimum(np.searchsorted(self.gram, gram[place]), len(self.gram) - 1)
         sure = self.gram[where] == gram[place]
         place, where = place[sure], where[sure]
-        del starts
+        before = np.concatenate([[0], np.cumsum(self.end[where] - self.first[where])])
+        if before[-1] <= PAIRS:
+            return self._bands(place, where)
+        # Frequent q-grams: a stretch at a time. Two stretches share `reach` bytes, so one of them holds all hits of a match.
+        found, start = [], 0
+        while True:
+            stop = max(int(np.searchsorted(before, before[start] + PAIRS, "right")) - 1, int(np.searchsorted(place, place[start] + self.reach)))
+            found.append(self._bands(place[start:stop], where[start:stop]))
+            if stop >= len(place):
+                return tuple(np.concatenate(x) for x in zip(*found))
+            start = int(np.searchsorted(place, place[stop] - self.reach, "right"))
+
+    def _bands(self, place: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and first diagonals of the bands in which the q-grams `where` at `place` reach a window's bound."""
         many = self.end[where] - self.first[where]
         entry = np.repeat(self.first[where] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         window, diagonal = self.of[entry], np.repeat(place, many) - self.at[entry]

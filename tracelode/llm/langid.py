@@ -24,7 +24,7 @@ from tracelode.llm._shared import bound_batches, slices, written
 
 #: Letters of a run that are segmented together.
 LONGEST = 40
-#: Training documents, by hash, at most about so many; what they teach is one number for each piece and language.
+#: Training documents, by hash, at most about so many, a like share for each language; what they teach is one number for each piece and language.
 SAMPLE = 20_000
 ROUNDS = 3
 CACHE = 150_000
@@ -38,6 +38,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 def letter_runs(text: str) -> list[str]:
     runs = LETTERS.findall(text.lower())
+    if not "".join(runs).isalpha():  # fractions, raised digits and the like are no letters
+        runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
     if any(len(r) > LONGEST for r in runs):
         runs = [r[k : k + LONGEST] for r in runs for k in range(0, len(r), LONGEST)]
     return runs
@@ -145,18 +147,20 @@ def sentencepieces(path: str) -> list[str]:
 def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", sample: int = SAMPLE, rounds: int = ROUNDS, smooth: float = 0.05) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities (a row for each piece and one for unknown letters, a column for each language).
 
-    Learns from rows with a lang, about `sample` of them, chosen by a hash of the text. No such row: no language.
+    Learns from rows with a lang, at most about `sample` of them. Each language has an equal share of these, so that a
+    rare one isn't lost beside a frequent one; rows are chosen by a hash of the text. No such row: no language.
     """
     bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"))
-    total = rows.count()
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    sizes = dict(tuple(r) for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect())
+    langs = sorted(sizes)
     if len(langs) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
     if not langs:
         return [], np.ones((1, 0))
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("_text", F.lit(7)), F.lit(1 << 20)) < int(sample / total * (1 << 20)))
+    if any(n > sample / len(langs) for n in sizes.values()):
+        share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / len(langs) / n))])
+        rows = rows.where(F.pmod(F.xxhash64("_text", F.lit(7)), F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
