@@ -114,6 +114,11 @@ def _newest(found: Column, k: int) -> Column:
     return F.slice(found, F.greatest(F.size(found) - k + 1, F.lit(1)), F.lit(k))
 
 
+def latest_few(labels: tuple[str, ...], back: int, k: int) -> Column:
+    """sids of the newest k rows with one of the labels among the last `back`, ascending."""
+    return _newest(F.transform(F.filter(_earlier(back), lambda x: x["label"].isin(*labels)), lambda x: x["sid"]), k)
+
+
 def preceding_run(labels: tuple[str, ...], back: int, k: int) -> Column:
     """sids of the unbroken run of these labels right before the row, its newest k, ascending."""
     broken = F.max(F.when(~F.col("label").isin(*labels), F.col("sid"))).over(trace_order().rowsBetween(-back, -1))
