@@ -32,9 +32,12 @@ def _first(rows: DataFrame, k: int, keys: list[str], *order) -> DataFrame:
 
 # --- sequences
 
-_HYPO = F.min(F.when(F.col("label") == "HYPO", F.col("sid")))
-_on("wn08_first_hypo", "SELECT trace, min(CASE WHEN label = 'HYPO' THEN sid END) AS first_hypo, round(min(CASE WHEN label = 'HYPO' THEN sid END) / greatest(any_value(n) - 1, 1), 6)::DOUBLE AS place FROM s GROUP BY trace", lambda s: s.groupBy("trace").agg(_HYPO.alias("first_hypo"), (_HYPO / F.greatest(F.first("n") - 1, F.lit(1))).alias("place")))
-_on("wn09_last_judge", PHASES + "SELECT trace, j AS last_judge FROM g", lambda s: s.withColumn("h", _HYPO.over(Window.partitionBy("trace"))).groupBy("trace").agg(F.max(F.when((F.col("label") == "JUDGE") & (F.col("sid") > F.col("h")), F.col("sid"))).alias("last_judge")))
+def _hypo():
+    return F.min(F.when(F.col("label") == "HYPO", F.col("sid")))
+
+
+_on("wn08_first_hypo", "SELECT trace, min(CASE WHEN label = 'HYPO' THEN sid END) AS first_hypo, round(min(CASE WHEN label = 'HYPO' THEN sid END) / greatest(any_value(n) - 1, 1), 6)::DOUBLE AS place FROM s GROUP BY trace", lambda s: s.groupBy("trace").agg(_hypo().alias("first_hypo"), (_hypo() / F.greatest(F.first("n") - 1, F.lit(1))).alias("place")))
+_on("wn09_last_judge", PHASES + "SELECT trace, j AS last_judge FROM g", lambda s: s.withColumn("h", _hypo().over(Window.partitionBy("trace"))).groupBy("trace").agg(F.max(F.when((F.col("label") == "JUDGE") & (F.col("sid") > F.col("h")), F.col("sid"))).alias("last_judge")))
 _on("wn18_latest_few", "SELECT trace, sid, array_to_string(([x.sid FOR x IN l20 IF x.label = 'TEST'])[-3:], ',') AS found FROM w2", lambda s: s.select("trace", "sid", _text(Q.latest_few(("TEST",), 20, 3)).alias("found")), "d")
 _on("wn22_write_back", """SELECT trace, sid, CASE WHEN event_id % 2 = 0 THEN 'novel' ELSE status END AS status, CASE WHEN event_id % 2 = 0 THEN NULL ELSE antecedent END AS antecedent FROM s WHERE label = 'HYPO'""", lambda s: _write_back(s.where("label = 'HYPO'")))
 _on("wn23_early_labels", "SELECT trace, label, min(sid) AS first_sid FROM s WHERE sid < 5 GROUP BY ALL", lambda s: s.where("sid < 5").groupBy("trace", "label").agg(F.min("sid").alias("first_sid")))
