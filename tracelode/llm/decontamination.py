@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.llm._shared import bound_batches, flat_text, slices, written
+from tracelode.llm._shared import bound_batches, flat_text, returned, slices, written
 
 Q = 8
 WINDOW, STRIDE = 64, 32
@@ -249,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                         numbers = [[len({w for _, _, w in h}) for h in hits.values()], [b[0] for b in best], [b[1] for b in best]]
                         yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in hits], kind), *(pa.array(c, pa.int64()) for c in numbers)], ["doc_id", "item_id", "n_windows", "edits", "ends"])
 
-        part = rows.mapInArrow(run, f"doc_id {keys[0]}, item_id {keys[1]}, n_windows bigint, edits bigint, ends bigint")
+        part = rows.mapInArrow(returned(run), f"doc_id {keys[0]}, item_id {keys[1]}, n_windows bigint, edits bigint, ends bigint")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min("edits").alias("edits"), F.min_by("ends", F.struct("edits", "ends")).alias("ends"))
 
@@ -267,5 +267,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
                     stay[[row for row, _ in _hits(shared.value, part)]] = False
                     yield part.filter(pa.array(stay))
 
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = rows.mapInArrow(returned(run), rows.schema)
     return rows.select(*names)

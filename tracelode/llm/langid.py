@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm._shared import bound_batches, slices, written
+from tracelode.llm._shared import bound_batches, returned, slices, written
 
 #: Letters of a run that are segmented together.
 LONGEST = 40
@@ -172,7 +172,7 @@ def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str =
                 if flat:
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*flat))), ["lang", "word", "n"])
 
-    words = rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = rows.mapInArrow(returned(count), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(words, "words")
     lattice = Lattice(pieces)
     prob = np.full((lattice.unknown + 1, len(langs)), 1 / (lattice.unknown + 1))
@@ -193,7 +193,7 @@ def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(k), pa.array(sums[at, k])], ["piece", "k", "n"])
 
         sums = np.zeros(prob.shape)
-        for piece, k, n in words.mapInArrow(expect, "piece bigint, k bigint, n double").groupBy("piece", "k").agg(F.sum("n")).collect():
+        for piece, k, n in words.mapInArrow(returned(expect), "piece bigint, k bigint, n double").groupBy("piece", "k").agg(F.sum("n")).collect():
             sums[piece, k] = n
         prob = (sums + smooth) / (sums + smooth).sum(axis=0)
         shared.unpersist()
@@ -236,4 +236,4 @@ def identify(docs: DataFrame, langs: list[str], prob: np.ndarray, pieces: list[s
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(said, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(returned(run), f"{schema}, lang_pred string, score double")

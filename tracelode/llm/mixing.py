@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.llm._shared import bound_batches, written
+from tracelode.llm._shared import bound_batches, returned, written
 
 ROWS_PER_LEAF = 4096
 FAN = 64
@@ -132,7 +132,7 @@ def _pass(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
             yield from out
 
     order = ["_group", *[c for c in ("_key", "_size", "_source") if c in rows.columns]]
-    return rows.repartition("_group").sortWithinPartitions(*order).mapInArrow(run, rows.schema)
+    return rows.repartition("_group").sortWithinPartitions(*order).mapInArrow(returned(run), rows.schema)
 
 
 def mix(docs: DataFrame, source: str = "source", size: str | None = None, text: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:

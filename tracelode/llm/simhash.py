@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm._shared import bound_batches, slices, written
+from tracelode.llm._shared import bound_batches, returned, slices, written
 
 #: A fingerprint that this share of all rows has is joined apart: there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(returned(run), f"doc_id {kind}, fp bigint")
 
 
 def linked(fps: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
