@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import decontamination, langid, mixing, simhash, token_files
+from tracelode.llm import decontamination, langid, mixing, near_copies as copies, token_files
 from tracelode.llm._shared import written
 from tracelode.llm.queries import BYTE_BPE, END_ID, PIECES, documents, fold, tokenizer_path
 
@@ -23,7 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    return copies.one_of_each(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
