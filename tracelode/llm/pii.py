@@ -13,7 +13,10 @@ different values keep different pseudonyms, and a value has the same one in ever
     date        1900 to 2099                 yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, mm/dd/yyyy (if only that is valid)
     mail        name@domain                  letters and digits of the name within their kind
 
-What has the form and isn't valid stays as it is.
+What has the form and isn't valid stays as it is. Digits and capitals next to a value may have the form together with
+it; so a match that isn't valid as a whole is searched for valid parts from one separator to another: first IBANs of
+their country's length and cards of an issuer's prefix and length in its groups, then dates, SSNs and phones, then
+other cards, the longest first. Parts don't overlap, and what lies between them stays.
 
 Scale: a projection; no shuffle, no state. Texts without a match pass after one search.
 """
@@ -34,8 +37,30 @@ FORMS = {
     "card": r"(?<![\w.+])[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
     "phone": r"(?<![\w+.])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){1,5}|\+[0-9]{8,15})(?!\w)",
 }
+#: A further number of a run, unless an address or a date starts with it.
+NEXT = r"[0-9]+(?!\w|[./][0-9]{1,3}[./][0-9]|[.%+-]*[\w.%+-]*@)"
+#: IBANs, cards and other plans' phones are searched as runs: with all numbers that follow, so that no value is cut by the end of a match.
+RUNS = FORMS | {
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]|[\w.%+-]*@|[./][0-9]{1,3}[./][0-9])(?:[ -]" + NEXT + ")*+",
+    "card": r"(?<![\w.+])(?=[0-9](?:[ -]?[0-9]){12})[0-9]+(?:[ -]" + NEXT + r")*+(?!\w)",
+    "phone": FORMS["phone"].replace("{2,8}){1,5}", r"{2,8}(?!\w|[./][0-9]{1,3}[./][0-9])){1,5}+(?:[ -]" + NEXT + ")*+"),
+}
+KINDS = ("mail", "iban", "date", "ssn", "ip", "card", "phone")
 #: One search for all kinds; a match starts with a letter, digit, plus or bracket after none of its own kind.
-ANY = "|".join(f"(?:{form})" for form in (FORMS["mail"], FORMS["iban"], FORMS["date"], FORMS["ssn"], FORMS["ip"], FORMS["card"], FORMS["phone"]))
+ANY = "|".join(f"(?:{RUNS[kind]})" for kind in KINDS)
+#: A part of a match with the characters around it, if any: a value from one separator to another.
+PART = "^[ .-]?(?:" + "|".join(f"(?:{FORMS[kind]})" for kind in KINDS) + ")[ .-]?$"
+#: Separators that a part has at most: 13 to 19 digits one by one.
+MOST_TOKENS = 19
+#: Prefixes and lengths of issuers.
+ISSUED = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7]|35)[0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|6[0-9]{15,18})$"
+#: A card's groups as printed, in a part with the characters around it: no other separator next to them.
+GROUPED = r"^ ?(?:[0-9]+|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,4}(?: [0-9]{3})?|[0-9]{4} [0-9]{6} [0-9]{4,5}) ?$|^[ -]?(?:[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,4}(?:-[0-9]{3})?|[0-9]{4}-[0-9]{6}-[0-9]{4,5})[ -]?$"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def _hash(key: str, kind: str, turn: Column, *over: Column) -> Column:
@@ -193,19 +218,82 @@ def _mail(key: str, m: Column) -> Column:
 
 
 def pseudonym(key: str, match: Column) -> Column:
-    """The pseudonym of one match of ANY; null if it isn't valid."""
+    """The pseudonym of a match of ANY or a part of one; null if it isn't valid as a whole."""
     whole = lambda kind: match.rlike(f"^(?:{FORMS[kind]})$")
     return (
         F.when(F.contains(match, F.lit("@")), _mail(key, match))
-        .when(match.rlike("^[A-Z]{2}"), _iban(key, match))
+        .when(match.rlike("^[A-Z]{2}"), F.when(whole("iban"), _iban(key, match)))
         .when(whole("date"), _date(key, match))
         .when(whole("ssn"), _ssn(key, match))
         .when(whole("ip"), _ip(key, match))
         .when(whole("card"), F.coalesce(_card(key, match), F.when(whole("phone"), _phone(key, match))))
-        .otherwise(_phone(key, match))
+        .when(whole("phone"), _phone(key, match))
     )
 
 
+def _bound(value: Column, to) -> Column:
+    """to(value) with value computed once and named, which keeps expressions small."""
+    return F.element_at(F.transform(F.array(value), to), 1)
+
+
+def _spans(m: Column) -> Column:
+    """array<struct<s, e>>: the first and last place of a match, then of its parts from one separator to another."""
+    at = lambda k: F.substr(m, k, F.lit(1))
+    places = F.sequence(F.lit(1), F.length(m))
+    starts = F.filter(places, lambda k: (k == 1) | at(k - 1).rlike("^[ .-]$"))
+    ends = F.filter(places, lambda k: (k == F.length(m)) | at(k + 1).rlike("^[ .-]$"))
+    span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    # The k-th start goes with the k-th end and later ones.
+    each = F.flatten(F.transform(starts, lambda s, k: F.transform(F.slice(ends, k + 1, MOST_TOKENS), lambda e: span(s, e))))
+    parts = F.filter(each, lambda x: (x["e"] - x["s"]).between(6, 44) & (x["e"] - x["s"] + 1 < F.length(m)))
+    whole = F.array(span(F.lit(1), F.length(m)))
+    # Dates, SSNs, addresses and names of mail have no parts.
+    return F.when(m.rlike("[ -]") & ~F.contains(m, F.lit("@")) & (F.length(m) > 11), F.concat(whole, parts)).otherwise(whole)
+
+
+def _judged(key: str, m: Column, x: Column) -> Column:
+    """struct<rank, short, s, e, p> for a span of a match; p is null if it isn't valid."""
+    length = F.create_map(*[F.lit(v) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for v in (c, n)])
+    all_of_it = x["e"] - x["s"] + 1 == F.length(m)
+    before = F.greatest(x["s"] - 1, F.lit(1))
+    around = F.substr(m, before, x["e"] + 2 - before)
+
+    def ranked(part: Column) -> Column:
+        size = F.length(F.replace(part, F.lit(" "), F.lit("")))
+        fits = ~part.rlike("^[A-Z]{2}") | (size == F.coalesce(F.try_element_at(length, F.substring(part, 1, 2)), size))
+        card = part.rlike(f"^(?:{FORMS['card']})$")
+        issued = _digits(part).rlike(ISSUED)
+        rank = F.when(part.rlike("^[A-Z]{2}") | (card & issued & around.rlike(GROUPED)), 0).when(~card, 1).when(issued, 2).otherwise(3)
+        p = F.when(all_of_it | (around.rlike(PART) & fits), pseudonym(key, part))
+        return F.struct(rank.alias("rank"), (x["s"] - x["e"]).alias("short"), x["s"].alias("s"), x["e"].alias("e"), p.alias("p"))
+
+    return _bound(F.substr(m, x["s"], x["e"] - x["s"] + 1), ranked)
+
+
+def _replaced(key: str, m: Column) -> Column:
+    """struct<t, p> for a match of ANY: what takes its place, and the pseudonyms in it."""
+    kind = "array<struct<rank:int,short:int,s:int,e:int,p:string>>"
+    none = F.array().cast(kind)
+
+    def step(found: Column, x: Column) -> Column:
+        # The whole match comes first; if it is valid, its parts aren't looked at.
+        known = (F.size(found) > 0) & (F.element_at(found, 1)["short"] == 1 - F.length(m))
+        judged = F.filter(F.array(_judged(key, m, x)), lambda j: j["p"].isNotNull())
+        return F.when(F.coalesce(known, F.lit(False)), found).otherwise(F.concat(found, judged))
+
+    apart = lambda taken, x: ~F.exists(taken, lambda t: (x["s"] <= t["e"]) & (t["s"] <= x["e"]))
+    valid = F.array_sort(F.aggregate(_spans(m), none, step))
+    taken = F.aggregate(valid, none, lambda taken, x: F.when(apart(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    in_order = F.array_sort(F.transform(taken, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"))))
+
+    def joined(parts: Column) -> Column:
+        start = F.struct(F.lit("").alias("t"), F.lit(1).alias("at"))
+        done = F.aggregate(parts, start, lambda r, x: F.struct(F.concat(r["t"], F.substr(m, r["at"], x["s"] - r["at"]), x["p"]).alias("t"), (x["e"] + 1).alias("at")), lambda r: F.concat(r["t"], F.substr(m, r["at"])))
+        return F.struct(done.alias("t"), F.transform(parts, lambda x: x["p"]).alias("p"))
+
+    return _bound(in_order, joined)
+
+
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with pseudonyms in the text, and n_replaced (bigint) and pseudonyms (array<string>, in order) added.
 
@@ -216,9 +304,9 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     matches = F.coalesce(F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))), F.array().cast("array<string>"))
     rows = docs.withColumn("_m", matches)
     # With no match the row keeps its text: neither the split nor the pseudonyms are computed.
-    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(key, m))))
+    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.transform("_m", lambda m: _replaced(key, m))))
     between = F.split(F.col(text), ANY, -1)
-    put = F.zip_with(F.zip_with(F.col("_m"), F.col("_p"), lambda m, p: F.coalesce(p, m)), F.slice(between, F.lit(2), F.size("_m")), lambda p, rest: F.concat(p, rest))
+    put = F.zip_with(F.col("_p"), F.slice(between, F.lit(2), F.size("_m")), lambda p, rest: F.concat(p["t"], rest))
     whole = F.when(F.size("_m") > 0, F.concat(F.element_at(between, 1), F.array_join(put, ""))).otherwise(F.col(text))
-    valid = F.filter(F.coalesce("_p", F.array().cast("array<string>")), lambda p: p.isNotNull())
+    valid = F.coalesce(F.flatten(F.transform("_p", lambda p: p["p"])), F.array().cast("array<string>"))
     return rows.withColumn(text, whole).withColumn("pseudonyms", valid).withColumn("n_replaced", F.size("pseudonyms").cast("bigint")).drop("_m", "_p")
