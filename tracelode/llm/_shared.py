@@ -1,9 +1,10 @@
-"""What the corpus operators share: the cluster's shared folder and views of Arrow text."""
+"""What the corpus operators share: the cluster's shared folder, prefix sums, column names and views of Arrow text."""
 
 from __future__ import annotations
 
 import ctypes
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,23 +12,33 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that a worker turns into arrays at a time (a longer single text is taken alone).
 SLICE_BYTES = 4 << 20
 
 
+#: Folders of this process that no discard() has removed.
+_FOLDERS: set[str] = set()
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir, as a URI. Only where that is unset, a local one takes its place."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """A new folder below spark.checkpoint.dir, as a URI. Only a local session may do without that setting: a folder of its own takes its place."""
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", "") or conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="tracelode-")
         spark.conf.set("spark.checkpoint.dir", base)
     if base.startswith("file:/") and not base.startswith("file:///"):
         base = "file:///" + base[6:].lstrip("/")
     elif "://" not in base:
         base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/tracelode-{tag}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/tracelode-{tag}-{uuid.uuid4().hex}"
+    _FOLDERS.add(folder)
+    return folder
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -35,15 +46,70 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark, tag)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table._folder = folder
+    return table
+
+
+def discard(*tables: DataFrame | str | None) -> None:
+    """Removes the folders of written() tables that nothing reads any more. One that this machine can't reach stays."""
+    for table in tables:
+        if folder := table if isinstance(table, str) else getattr(table, "_folder", None):
+            try:
+                fs, path = file_system(folder)
+                fs.delete_dir(path)
+            except (OSError, pa.ArrowException):
+                continue
+            _FOLDERS.discard(folder)
+
+
+def clear() -> None:
+    """Removes all folders that this process made; for when results are saved elsewhere."""
+    discard(*list(_FOLDERS))
 
 
 def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
     """A small table that lies in fewer files than there are cores is dealt out to all of them; any other stays as it is."""
-    spark = df.sparkSession
-    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > small:
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
         return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
+    return df if size > small else df.repartition(cores)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as set it apart from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def before(counts: DataFrame, at: str, n: str, keys: tuple[str, ...] = (), width: int = 4096) -> DataFrame:
+    """counts with _base: the sum of n over rows of the same keys and a smaller `at` (whole numbers from 0, no repeats).
+
+    In two levels: within stretches of `width` values of `at`, then over the stretches' sums, so that no task sorts more
+    than a stretch, or a 1 / width part of all rows.
+    """
+    part = F.floor(F.col(at) / width)
+    low = counts.withColumn("_part", part)
+    inner = Window.partitionBy(*keys, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = low.groupBy(*keys, "_part").agg(F.sum(n).alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(outer), F.lit(0))).drop("_sum")
+    found = low.withColumn("_base", F.coalesce(F.sum(n).over(inner), F.lit(0))).join(sums, [*keys, "_part"])
+    return found.withColumn("_base", F.col("_base") + F.col("_before")).drop("_part", "_before")
+
+
+def repeated_rows(rows: DataFrame, n: str, index: str, block: int = 8192) -> DataFrame:
+    """Each row n times, numbered from 0 in `index`. Rows of large n are dealt out in blocks before they are repeated."""
+    few = rows.where(F.col(n) <= block).withColumn(index, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)))
+    many = rows.where(F.col(n) > block).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / block))))
+    many = many.repartition(rows.sparkSession.sparkContext.defaultParallelism, "_block")
+    first = F.col("_block") * block
+    many = many.withColumn(index, F.explode(F.sequence(first, F.least(first + block, F.col(n)) - 1))).drop("_block")
+    return few.unionByName(many).drop(n)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -86,6 +152,36 @@ def write_bytes(uri: str, *parts: bytes | memoryview | np.ndarray) -> None:
             out.write(np.ascontiguousarray(part).tobytes() if isinstance(part, np.ndarray) else part)
 
 
+def save_object(uri: str, value) -> None:
+    """A pickled object; its arrays lie apart from it, so that load_object() can map them to memory."""
+    buffers: list[pickle.PickleBuffer] = []
+    body = pickle.dumps(value, protocol=5, buffer_callback=buffers.append)
+    parts = [body, *(b.raw() for b in buffers)]
+    sizes = np.array([len(parts), *(p.nbytes if isinstance(p, memoryview) else len(p) for p in parts)], "<i8")
+    fs, path = file_system(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        place = 0
+        for part in [sizes.tobytes(), *parts]:
+            out.write(bytes(-place % 64))
+            place += -place % 64
+            out.write(part)
+            place += len(part) if isinstance(part, bytes) else part.nbytes
+
+
+def load_object(uri: str):
+    """The object that save_object() wrote; its arrays are mapped to memory where the shared folder is mounted."""
+    data = map_array(uri, "u1")
+    count = int(data[:8].view("<i8")[0])
+    sizes = data[8 : 8 * (count + 1)].view("<i8").tolist()
+    place, parts = 8 * (count + 1), []
+    for size in sizes:
+        place += -place % 64
+        parts.append(data[place : place + size])
+        place += size
+    return pickle.loads(parts[0].tobytes(), buffers=parts[1:])
+
+
 def map_array(uri: str, dtype: str) -> np.ndarray:
     """The file as an array, memory-mapped if the shared folder is mounted and read otherwise."""
     if path := local_path(uri):
