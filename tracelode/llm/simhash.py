@@ -6,8 +6,11 @@ fingerprints differ by at most radius // m bits in some segment; so each fingerp
 its m segment values and looked up under every value of the ball of that radius around each segment.
 Matches are verified over all 64 bits.
 
+A ball around a segment is enumerated from one side: the value itself and those with one more bit set. Of two values
+that differ in one bit, the one without it finds the other; so a pair is fetched once, and half of the ball is left out.
+
 Scale: texts are read once, for fingerprints of 8 bytes. Equal fingerprints fall together before any
-join, so the size of a group of copies doesn't matter to the search. A ball has 33 values of a 32-bit
+join, so the size of a group of copies doesn't matter to the search. Half a ball has 17 values of a 32-bit
 segment, so a table of 10^10 fingerprints holds about two candidates under each.
 """
 
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm._shared import bound_batches, returned, slices, written
+from tracelode.llm._shared import bound_batches, discard, returned, slices, written
 
 #: A fingerprint that this share of all rows has is joined apart: there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
@@ -71,6 +74,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(returned(run), f"doc_id {kind}, fp bigint")
 
 
+def ball(value: Column, width: int, radius: int) -> list[Column]:
+    """What a segment's value asks for: itself and, at radius 1, the values with one more bit set; null for a bit it has."""
+    more = [F.when(value.bitwiseAND(F.lit(1 << i)) == 0, value.bitwiseOR(F.lit(1 << i))) for i in range(width)]
+    return [value, *(more if radius else [])]
+
+
 def linked(fps: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints (column fp, no repeats) within `radius` bits, each once.
 
@@ -83,24 +92,42 @@ def linked(fps: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     mask = (1 << width) - 1
     fp = F.col("fp")
     segment = [F.shiftrightunsigned(fp, width * (segments - 1 - k)).bitwiseAND(F.lit(mask)) for k in range(segments)]
-    tagged = lambda k, value: F.struct(F.lit(k).alias("k"), value.alias("v"))
-    stored = fps.select(fp.alias("b"), F.explode(F.array(*[tagged(k, s) for k, s in enumerate(segment)])).alias("s"))
-    flips = [0, *(1 << i for i in range(width))] if near else [0]
-    balls = [tagged(k, s.bitwiseXOR(F.lit(flip))) for k, s in enumerate(segment) for flip in flips]
-    asked = fps.select(fp.alias("a"), F.explode(F.array(*balls)).alias("s"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
+    tagged = lambda k, value: F.when(value.isNotNull(), F.struct(F.lit(k).alias("k"), value.alias("v")))
+    stored = fps.select(fp.alias("y"), F.explode(F.array(*[tagged(k, s) for k, s in enumerate(segment)])).alias("s"))
+    asked = fps.select(fp.alias("x"), F.explode(F.array_compact(F.array(*[tagged(k, v) for k, s in enumerate(segment) for v in ball(s, width, near)]))).alias("s"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
     distance = lambda k: F.bit_count(F.shiftrightunsigned(differ, width * (segments - 1 - k)).bitwiseAND(F.lit(mask)))
-    first = F.lit(True)
-    for k in range(segments - 1):
+    first, here = F.lit(True), F.lit(0)
+    for k in range(segments):
+        here = F.when(F.col("s.k") == k, distance(k)).otherwise(here)
         first = first & ((F.col("s.k") <= k) | (distance(k) > near))
-    return asked.join(stored, "s").where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & first).select("a", "b")
+    # Values that are equal in the segment fetch each other; of values at distance 1 only one fetches the other.
+    found = asked.join(stored, "s").where((F.bit_count(differ) <= radius) & first & ((F.col("x") < F.col("y")) | (here == 1)))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+#: A key with this share of all rows is joined apart.
+HUB_SHARE = 0.001
+
+
+def with_least(rows: DataFrame, least: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with least (key, n and others; no repeats of a key) without n, which counts a key's rows among `total`.
+
+    Rows of a key with over HUB_SHARE of them stay where they are: of such keys there are at most 1 / HUB_SHARE, which
+    are broadcast.
+    """
+    more = [c for c in least.columns if c not in (key, "n")]
+    hubs = F.broadcast(least.where(F.col("n") > total * HUB_SHARE).select(key, F.struct(*more).alias("_hub")))
+    split = rows.join(hubs, key, "left")
+    rest = split.where("_hub IS NULL").drop("_hub").join(least.drop("n"), key)
+    return split.where("_hub IS NOT NULL").select(*rows.columns, "_hub.*").unionByName(rest.select(*rows.columns, *more))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of edges (a, b), by alternating large and small stars.
 
-    Each round is written to the shared folder. A node's smallest neighbour comes from a map-side combined
-    minimum and is joined back, so a hub's neighbours are never gathered in one place.
+    Each round is written to the shared folder, and the one before is removed. A node's smallest neighbour comes from a
+    map-side combined minimum and is joined back, hubs by broadcast, so a hub's neighbours are never gathered in one place.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -110,13 +137,15 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        paired = large.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both.where("b > a"), least, "a", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        paired = with_least(large, least, "a", seen[0])
         small = paired.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         then = written(small.union(paired.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        was, seen, now = seen, state(then), then
+        was, seen = seen, state(then)
+        discard(now)
+        now = then
         if was == seen:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
@@ -134,32 +163,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     tied = components(linked(classes.select("fp"), radius))
     members = classes.join(tied, classes.fp == tied.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     members = written(members, "members")
-    least = members.where("fp <> root OR n < 0").select("root").distinct().join(members, "root").groupBy("root").agg(F.min("least").alias("of_group"))
+    least = members.where("fp <> root").select("root").distinct().join(members, "root").groupBy("root").agg(F.min("least").alias("of_group"))
     named = members.join(least, "root", "left").select("fp", F.coalesce("of_group", "least").alias("component_id"), "n")
     named = written(named, "named")
+    discard(classes, members)
     total = named.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(named.where(F.col("n") > total * HOT_SHARE).select("fp", F.col("component_id").alias("_hot"), F.lit(True).alias("_is")))
     split = rows.join(hot, "fp", "left")
     cold = split.where("_is IS NULL").select("doc_id", "fp").join(named.select("fp", "component_id"), "fp")
     return split.where("_is").select("doc_id", "fp", F.col("_hot").alias("component_id")).unionByName(cold.select("doc_id", "fp", "component_id"))
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without near copies: of each group the row of its smallest doc_id stays, one only where that is repeated.
-
-    Rows without a doc_id go if their group has a row with one; else one of them stays.
-    """
-    groups = written(near_groups(docs, doc_id, text, **how), "groups")
-    keep = groups.where("component_id IS NOT NULL").select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[doc_id] == keep["_keep"], "left_semi").dropDuplicates([doc_id])
-    bare = groups.where("component_id IS NULL")
-    if bare.isEmpty():
-        return kept
-    # Components without any doc_id: exact copies fall together by text, near ones by fingerprint.
-    loose = docs.where(F.col(doc_id).isNull()).dropDuplicates([text])
-    marked = fingerprints(loose.select(F.xxhash64(text).alias("doc_id"), text), "doc_id", text, how.get("shingle", 3), how.get("seed", 42))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("pick")).join(bare.select("fp").distinct(), "fp", "left_semi")
-    classes = written(classes, "loose")
-    tied = components(linked(classes.select("fp"), how.get("radius", 2)))
-    picks = classes.join(tied, classes.fp == tied.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("pick").alias("_pick"))
-    return kept.unionByName(loose.join(picks, F.xxhash64(text) == picks["_pick"], "left_semi"))
