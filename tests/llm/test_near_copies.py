@@ -34,17 +34,31 @@ def edited(text, seed, n):
 
 
 def test_edited_copies_go(spark):
+    """All near copies from 0.83 on, here; a few at 0.8 itself may pass the tables, which test_recall measures."""
     rows = [(k, prose(5000 + k, 200)) for k in range(8)]
-    rows += [(100 + 10 * k + n, edited(rows[k][1], 10 * k + n, n)) for k in range(8) for n in range(1, 7)]
+    rows += [(100 + 10 * k + n, edited(rows[k][1], 10 * k + n, n)) for k in range(8) for n in (1, 2, 3, 6, 7)]
     rows += [(300, ""), (301, None), (302, "two words"), (303, "two words "), (304, rows[0][1])]
     table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     wanted = brute(rows)
     got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near copies"](spark, table, "").collect())
-    assert got == wanted and len(wanted) < 30
+    assert got == wanted and len(wanted) < 35
 
 
-def test_all_pairs_of_a_band_are_compared(spark):
-    """Chains: neighbours are near copies, the ends are not, so most have no link to the least of their bands."""
+def test_recall(spark):
+    """Pairs at 0.8 to 0.85, found by one link or not at all, and no pair below 0.8."""
+    rows = []
+    for k in range(150):
+        text = prose(9000 + k, 200)
+        rows += [(1000 + k, text), (5000 + k, edited(text, k, 4)), (9000 + k, edited(text, 500 + k, 6))]
+    pairs = {k: exact(rows[3 * (k - 5000)][1]) for k in range(5000, 5150)}
+    near = {k for k, s in pairs.items() if 5 * len(s & exact(rows[3 * (k - 5000) + 1][1])) >= 4 * len(s | exact(rows[3 * (k - 5000) + 1][1]))}
+    kept = {r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert len(near) > 100 and len(near - kept) >= 0.93 * len(near)
+    assert {k for k, _ in rows if k < 5000} <= kept and set(pairs) - near <= kept
+
+
+def test_all_pairs_of_a_value_are_compared(spark):
+    """Chains: neighbours are near copies, the ends are not, so most have no link to the least of their segments."""
     words, rows = prose(1, 300).split(), []
     for k in range(40):
         words = list(words)

@@ -1,19 +1,28 @@
 """Near copies by similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash: BANDS bands of ROWS minima each, and two texts with an equal band are a candidate pair.
-A pair at similarity s is found with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8, 0.99999 at 0.85. Whether a
-candidate is a near copy is decided by its exact similarity, from both texts; groups are the components of such links.
-
-A band value that m texts share would give m * (m - 1) / 2 pairs. Each of its texts is first compared with the least of
-them. After that only pairs whose texts are not in one group yet are left, and all of those are compared: the groups
-are the same as if every pair had been.
-
-Scale: texts are read once for 8 bytes a band and a digest; texts that are equal fall together before any join. Only
-texts of candidate pairs are moved, as sets of 64-bit shingle hashes.
+Candidates come from SimHash tables as in `simhash`, over longer fingerprints of each text's distinct shingles:
+SEGMENTS segments of WIDTH bits and 64 more. A segment's value is stored under it and looked up under every value of
+the ball of radius 1 around it. What a table holds is verified by the distance of the 64 other bits, by the complete
+distance, and then by the exact similarity of both texts. Groups are the components of the links that remain.
+
+Two sets at similarity s have a cosine of 2 s / (1 + s), so a bit differs with probability p = acos(.) / pi. A segment
+is within its ball with probability q = (1 - p) ** WIDTH + WIDTH * p * (1 - p) ** (WIDTH - 1), and a pair is found
+with 1 - (1 - q) ** SEGMENTS: 0.95 at a similarity of exactly 0.8, 0.994 at 0.85, 0.9999 at 0.9. A group's members are
+linked in many ways, and one is enough. Distances may be DEVIATIONS standard deviations over their mean at 0.8.
+
+A value that m texts meet under would give pairs by m squared. Each of its texts is first compared with the least of
+those stored under it. After that only pairs whose texts are not in one group yet are left, and all of those are
+compared: the groups are the same as if every pair had been.
+
+Scale: texts are read once for their fingerprints; texts that are equal fall together before any join. A table's rows
+are two or three numbers. Only texts of candidate pairs are moved, as sets of 64-bit shingle hashes. A segment of WIDTH
+bits suits up to 2 ** WIDTH texts; beyond, take more of both (28 and 48 up to 2 ** 28 texts), which keeps the chance and
+the candidates for each text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm._shared import bound_batches, returned, slices, written
-from tracelode.llm.simhash import components, fingerprint_words
+from tracelode.llm._shared import bound_batches, discard, returned, slices, unused, written
+from tracelode.llm.simhash import ball, components, fingerprint_words, with_least
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
+WIDTH, SEGMENTS = 24, 28
+DEVIATIONS = 3.5
 SEED = 42
-#: Texts of a slice are few enough for its shingle hashes to stay in cache while all minima are taken.
-MINHASH_BYTES = 1 << 20
+#: Bytes of text whose bits a worker counts at a time.
+PRINT_BYTES = 1 << 20
+#: Shingles whose bits are unpacked at a time.
+UNPACKED = 1 << 14
 #: Shingle hashes of pairs that a worker compares at a time.
 PAIR_BYTES = 4 << 20
 
@@ -38,23 +50,33 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(fingerprint_words((text or "").encode().lower().split(), SHINGLE, SEED))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS hashes for each set of shingles; an empty set has those of the number 0."""
+def most_bits(bits: int, similarity: float = SIMILARITY) -> int:
+    """The complete distance up to which a pair is a candidate."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
+def prints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """Fingerprints of `words` times 64 bits: a bit is set where over half of a set's hashes have it; zero for an empty set."""
     dice = np.random.default_rng(SEED)
-    factor = dice.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = dice.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-    sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
-    flat = np.concatenate(sets)
-    first = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    held = np.empty_like(flat)
-    for band in range(BANDS):
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            np.multiply(flat, factor[k], out=held)
-            np.add(held, shift[k], out=held)
-            least = np.minimum.reduceat(held, first)
-            mixed = (out[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            out[:, band] = mixed ^ (mixed >> np.uint64(29))
+    factor = dice.integers(0, 1 << 63, words, np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = dice.integers(0, 1 << 63, words, np.uint64)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    out = np.zeros((len(sets), words), np.uint64)
+    ones = np.zeros((len(sets), 64), np.int64)
+    for w in range(words):
+        ones[:] = 0
+        for at in range(0, len(flat), UNPACKED):
+            mixed = flat[at : at + UNPACKED] * factor[w] + shift[w]
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
+            own = owner[at : at + UNPACKED]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out[:, w] = np.packbits(2 * ones > sizes[:, None], axis=1).view(np.uint64).ravel()
     return out
 
 
@@ -63,29 +85,48 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def _bands(docs: DataFrame) -> DataFrame:
-    """(node, bands array<bigint>) for each row of docs (node, _text)."""
+def _prints(docs: DataFrame, width: int, segments: int) -> DataFrame:
+    """(node, doc_id, print, segments, other): of each text its digest, least doc_id, whole fingerprint, each segment's number and value in one, and 64 other bits."""
+    words = -(-width * segments // 64) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", MINHASH_BYTES):
-                found = signatures([shingles(t) for t in part.column("_text").to_pylist()]).view(np.int64)
-                bands = pa.ListArray.from_arrays(np.arange(0, found.size + 1, BANDS, dtype=np.int32), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("node"), bands], ["node", "bands"])
+            for part in slices(batch, "_text", PRINT_BYTES):
+                found = prints([shingles(t) for t in part.column("_text").to_pylist()], words)
+                bits = np.unpackbits(found.view(np.uint8).reshape(len(found), -1), axis=1)[:, : width * segments].reshape(len(found), segments, width)
+                value = bits @ (1 << np.arange(width, dtype=np.int64)) | np.arange(segments) << width
+                listed = pa.ListArray.from_arrays(np.arange(0, value.size + 1, segments, dtype=np.int32), pa.array(value.ravel()))
+                columns = [part.column("node"), part.column("doc_id"), pa.array([p.tobytes() for p in found], pa.binary()), listed, pa.array(found[:, -1].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "print", "segments", "other"])
 
-    return docs.mapInArrow(returned(run), "node binary, bands array<bigint>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.mapInArrow(returned(run), f"node binary, doc_id {kind}, print binary, segments array<bigint>, other bigint")
+    return found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("print", "segments", "other")])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(node, s binary): the sorted shingle hashes of each row of docs (node, _text)."""
+    """(id, s): the sorted shingle hashes of each row of docs (id, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", MINHASH_BYTES):
+            for part in slices(batch, "_text", PRINT_BYTES):
                 found = pa.array([shingles(t).tobytes() for t in part.column("_text").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("node"), found], ["node", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), found], ["id", "s"])
+
+    return docs.mapInArrow(returned(run), "id bigint, s binary")
+
+
+def close(pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b): the rows of pairs (a, b, p, q) whose fingerprints p and q differ in at most `most` bits."""
 
-    return docs.mapInArrow(returned(run), "node binary, s binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "pq")
+                keep = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= most
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -104,55 +145,82 @@ def similar(pairs: DataFrame) -> DataFrame:
                     keep.append(common * 5 >= (len(both) - common) * 4)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(returned(run), "a binary, b binary")
+    return pairs.mapInArrow(returned(run), "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
-    """Those of pairs (a, b) that are near copies; texts has (node, _text), repeats included."""
-    pairs = written(pairs.distinct(), f"{tag}-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(_sets(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])), f"{tag}-sets")
-    one = pairs.join(sets.withColumnRenamed("node", "a"), "a")
+def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
+    """Those of pairs (a, b) that are near copies; marks has the fingerprints, texts (doc_id, node, _text), repeats included."""
+    of = lambda name, value: marks.select(F.col("id").alias(name), F.col("print").alias(value))
+    bits = 64 * (-(-WIDTH * SEGMENTS // 64) + 1)
+    pairs = written(close(pairs.distinct().join(of("a", "p"), "a").join(of("b", "q"), "b").select("a", "b", "p", "q"), most_bits(bits)), f"{tag}-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Of a text's exact copies the one with its least doc_id is read, so that they don't meet in one task.
+    wanted = marks.select("id", F.struct("node", "doc_id").alias("_at")).join(wanted, "id", "left_semi")
+    once = texts.select(F.struct("node", "doc_id").alias("_at"), "_text").join(wanted, "_at").dropDuplicates(["id"])
+    sets = written(_sets(once.select("id", "_text")), f"{tag}-sets")
+    one = pairs.join(sets.withColumnRenamed("id", "a"), "a")
     # Sizes alone rule a pair out where the smaller set has under 4/5 of the larger one's shingles.
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    both = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     both = both.where(F.least(F.octet_length("s"), F.octet_length("t")) * 5 >= F.greatest(F.octet_length("s"), F.octet_length("t")) * 4)
-    return written(similar(both.select("a", "b", "s", "t")), f"{tag}-links")
+    links = written(similar(both.select("a", "b", "s", "t")), f"{tag}-links")
+    discard(pairs, sets)
+    return links
+
+
+def _near(one: str, two: str) -> Column:
+    return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= most_bits(64)
+
+
+def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
+    return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, root): for each row of docs its text's digest, and one digest for all of its near copies."""
+    """(doc_id, node, root): for each row of docs its text's digest, and one number for all of its near copies."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text")).withColumn("node", _node(F.col("_text")))
     texts = texts.select("doc_id", "node", "_text")
-    rows = texts.select("doc_id", "node")
-    marks = written(_bands(texts.select("node", "_text")).dropDuplicates(["node"]), "bands")
-    banded = marks.select("node", F.posexplode("bands").alias("k", "v"))
-    # Map-side minima: a band value that many texts share is not gathered in one place.
-    least = banded.groupBy("k", "v").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = written(banded.join(least, ["k", "v"]).select("k", "v", "node", "a"), "shared")
-    links = _verified(shared.where("node > a").select("a", F.col("node").alias("b")), texts, "star")
+    # A text's number is given once, when the table is written; which one it gets changes no group.
+    marks = written(_prints(texts, WIDTH, SEGMENTS).withColumn("id", F.monotonically_increasing_id()), "prints")
+    stored = marks.select(F.explode("segments").alias("v"), "id", "other")
+    asked = stored.select(F.explode(F.array_compact(F.array(*ball(F.col("v"), WIDTH, 1)[1:]))).alias("v"), (-1 - F.col("id")).alias("id"), "other")
+    # Map-side minima: a value that many texts share is not gathered in one place.
+    first = F.min(F.struct("id", "other"))
+    least = stored.groupBy("v").agg(first["id"].alias("a"), first["other"].alias("others"), F.count("*").alias("n"), (F.count("*") > 1).alias("many"))
+    met = with_least(stored.unionByName(asked), least, "v", marks.count())  # at most SEGMENTS / HUB_SHARE values are broadcast
+    own = F.col("id") >= 0
+    shared = written(met.where("many OR id < 0").select("v", F.when(own, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), own.alias("own"), "other", "a", "others"), "shared")
+    tried = _pairs(shared.where((F.col("id") != F.col("a")) & _near("other", "others")), "id", "a").distinct()
+    links = _verified(tried, marks, texts, "star")
     tied = written(components(links), "tied")
-    # Band values whose texts are in several groups still: all pairs across groups.
-    placed = shared.join(tied, "node", "left").select("k", "v", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("k", "v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "v")
-    placed = written(placed.join(split, ["k", "v"]), "placed")
-    other = placed.select("k", "v", F.col("node").alias("b"), F.col("root").alias("other"))
-    across = placed.join(other, ["k", "v"]).where(F.col("root") < F.col("other"))
-    across = across.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    # Pairs with the least of a band value were compared before.
-    known = shared.where("node > a").select("a", F.col("node").alias("b")).distinct()
-    more = _verified(across.distinct().join(known, ["a", "b"], "left_anti"), texts, "across")
+    # Values whose texts are in several groups still: all pairs across groups of a stored text and any other.
+    alone = shared.where("NOT own").select("v", F.col("a").alias("id"), F.lit(True).alias("own"), F.col("others").alias("other"))
+    placed = shared.select("v", "id", "own", "other").unionByName(alone).distinct()
+    placed = placed.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high AND k > 2").select("v")
+    placed = written(placed.join(split, "v"), "placed")
+    other = placed.where("own").select("v", F.col("id").alias("b"), F.col("other").alias("others"), F.col("root").alias("roots"))
+    across = placed.join(other, "v").where((F.col("root") != F.col("roots")) & (~F.col("own") | (F.col("id") < F.col("b"))) & _near("other", "others"))
+    # Pairs with the least of a value were compared before.
+    more = _verified(_pairs(across, "id", "b").distinct().join(tried, ["a", "b"], "left_anti"), marks, texts, "across")
+    discard(shared, placed, tied)
     tied = written(components(links.union(more)), "tied")
-    return rows.join(tied, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    named = marks.select("id", "node").join(tied.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    named = written(named, "named")
+    discard(marks, links, more, tied)
+    return texts.select("doc_id", "node").join(named, "node")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near copies: of each group the row of its smallest doc_id stays, one only where that is repeated.
 
-    Of rows with that doc_id and different texts, the one with the least digest. Rows without a doc_id come last.
+    Of rows with that doc_id and different texts, the one with the least digest; a text that has no near copy always
+    stays, whatever other rows its doc_id has. Rows without a doc_id come last. A null text counts as empty. Columns are
+    those of docs, whatever their names; a row that stays is whole. An empty table gives an empty one.
     """
+    at = unused(docs.columns, "_at")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
     picks = groups(docs, doc_id, text).groupBy("root").agg(F.min(rank).alias("_pick")).select("_pick.doc_id", "_pick.node")
-    picks = picks.select(F.struct("doc_id", "node").alias("_at"))
-    marked = docs.withColumn("_at", F.struct(F.col(doc_id).alias("doc_id"), _node(F.col(text)).alias("node")))
-    return marked.join(picks, "_at", "left_semi").dropDuplicates(["_at"]).drop("_at")
+    picks = picks.select(F.struct("doc_id", "node").alias(at))
+    marked = docs.withColumn(at, F.struct(F.col(doc_id).alias("doc_id"), _node(F.col(text)).alias("node")))
+    return marked.join(picks, at, "left_semi").dropDuplicates([at]).drop(at)
