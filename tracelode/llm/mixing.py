@@ -7,8 +7,10 @@ is whole, and the other goes on to meet the next. The words of the two together
 source's taken words differ from its target by less than its last document.
 
 Scale: rows are dealt by a hash into leaves of about ROWS_PER_LEAF rows, whatever their source, so a source
-with most rows is spread like the rest. A leaf leaves one unfinished document a source; these meet in a tree
-of fan-in FAN, a pass over ever fewer rows each.
+with most rows is spread like the rest. Equal rows share their hash; those of a row that HOT_SHARE of all rows repeat
+are counted, numbered and dealt apart. A leaf leaves one unfinished document a source; these meet in a tree
+of fan-in FAN, a pass over ever fewer rows each. Sources are ranked and summed in one task up to BROADCAST_SOURCES of
+them, and by ranges with prefix sums beyond.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.llm._shared import bound_batches, returned, written
+from tracelode.llm._shared import bound_batches, discard, repeated_rows, returned, written
 
 ROWS_PER_LEAF = 4096
 FAN = 64
@@ -29,30 +31,48 @@ FAN = 64
 PARTS = 64
 #: Source tables up to this many rows are broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 50_000
+#: A row repeated by over this share of all rows, and more than a leaf has, is dealt apart: there are at most 1 / HOT_SHARE.
+HOT_SHARE = 0.001
 WORD = "[^\\x20\\x09-\\x0D]+"
 EPS = 1e-9
 
 
+def running(rows: DataFrame, order: list, sums: dict) -> DataFrame:
+    """rows with, for each name of sums, the sum of its column over the rows before in that order; and _all of it over all rows.
+
+    Up to BROADCAST_SOURCES rows in one task; more of them in ranges, whose totals are summed on the way.
+    """
+    if rows.count() <= BROADCAST_SOURCES:
+        earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(n) for n, c in sums.items()], *[F.sum(c).over(Window.partitionBy()).alias(f"{n}_all") for n, c in sums.items()])
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(n).over(outer), F.lit(0)).alias(f"{n}_low") for n in sums], *[F.sum(n).over(Window.partitionBy()).alias(f"{n}_all") for n in sums])
+    found = ranged.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(n) for n, c in sums.items()]).join(F.broadcast(totals), "_range")
+    for n in sums:
+        found = found.withColumn(n, F.col(n) + F.col(f"{n}_low")).drop(f"{n}_low")
+    return found.drop("_range")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) of rows (source, size).
 
     Sources by code point, null last, get the weights in turn. Targets are `share` of all sizes by weight; one
     above `most` times its source's size stops there and the rest is shared again. That ends at one level L with
-    target = least(most * size, L * weight), found by a running sum over sources sorted by size / weight.
+    target = least(most * size, L * weight), found by running sums over sources sorted by size / weight.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_fill = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("_n"))
-    each = sizes.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")).withColumn("_n", F.row_number().over(order))
-    each = each.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_n") - 1) % len(weights) + 1))
+    each = sizes.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
+    each = running(each, [F.col("source").asc_nulls_last()], {"_n": F.lit(1)}).drop("_n_all")
+    each = each.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_n") % len(weights) + 1).cast("int")))
     each = each.withColumn("_cap", F.col("source_size") * F.lit(float(most)))
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    each = each.withColumn("_level", level).withColumn("_at", F.row_number().over(by_fill))
+    each = running(each, [F.col("_cap") / F.col("_w"), F.col("_n")], {"_at": F.lit(1), "_caps": F.col("_cap"), "_ws": F.col("_w"), "_sizes": F.col("source_size")})
+    level = (F.col("_sizes_all") * F.lit(float(share)) - F.col("_caps")) / (F.col("_ws_all") - F.col("_ws"))
+    each = written(each.withColumn("_level", level), "levels")
     fits = F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct("_at", "_level"))
-    each = each.withColumn("_L", F.min(fits).over(everything)["_level"])
-    return each.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_L") * F.col("_w"), F.col("_cap"))).alias("target"))
+    found = each.agg(F.min(fits)["_level"]).first()[0]
+    return each.select("source", "source_size", (F.col("_cap") if found is None else F.least("_cap", F.lit(found) * F.col("_w"))).alias("target"))
 
 
 def meet(size_a: float, x: float, size_b: float, y: float, u: float) -> tuple[float, float]:
@@ -135,18 +155,46 @@ def _pass(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     return rows.repartition("_group").sortWithinPartitions(*order).mapInArrow(returned(run), rows.schema)
 
 
+def _keyed(docs: DataFrame, counted: Column, source: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(_row, _size, _source, _key, _copy): rows of docs in a struct, so that no name of theirs meets another. And (_source, _key, _n, _words): how many rows share a key, and their words.
+
+    _copy numbers the repetitions of a row that HOT_SHARE of all rows repeat, in stretches of ROWS_PER_LEAF; 0 elsewhere.
+    """
+    maps = "map<" in docs.schema.simpleString()  # can be neither hashed nor grouped
+    key = F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), counted.cast("bigint").alias("_size"), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("_source"), key.alias("_key"))
+    tally = written(rows.groupBy("_source", "_key").agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")), "tally")
+    numbered = rows.withColumn("_copy", F.lit(0).cast("bigint"))
+    total = tally.agg(F.sum("_n")).first()[0] or 0
+    hot = tally.where(F.col("_n") > max(ROWS_PER_LEAF, HOT_SHARE * total)).select("_key").distinct()
+    if maps or hot.isEmpty():
+        return numbered, tally
+    hot = F.broadcast(hot)
+    once = rows.join(hot, "_key", "left_semi").groupBy("_row", "_size", "_source", "_key").agg(F.count("*").alias("_n"))
+    apart = repeated_rows(written(once, "hot"), "_n", "_copy").withColumn("_copy", F.floor(F.col("_copy") / ROWS_PER_LEAF))
+    return numbered.join(hot, "_key", "left_anti").unionByName(apart.select(*numbered.columns)), tally
+
+
 def mix(docs: DataFrame, source: str = "source", size: str | None = None, text: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target and copies added as _size, _source_size, _target and _copies.
 
     size: a column of sizes; without one, the words of the text count. Nulls: a null text has size 0, a null
     source is a source of its own. A document of size 0 is rounded by itself, since it carries no words.
     Equal rows are rounded apart. The result depends on rows and seed alone: not on partitions, nor on their order.
+    Columns of docs that are named like the four added ones give way to them; all others stay, whatever their names.
     """
+    return _mixed(docs, source, size, text, weights, share, most, seed).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ADDED], *ADDED)
+
+
+ADDED = ("_size", "_source_size", "_target", "_copies")
+
+
+def _mixed(docs: DataFrame, source: str, size: str | None, text: str, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
     bound_batches(docs.sparkSession)
-    counted = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) if size is None else F.coalesce(F.col(size), F.lit(0))
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")])
-    rows = docs.select("*", counted.cast("bigint").alias("_size"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_source"), key.alias("_key"))
-    sizes = written(rows.groupBy(F.col(source).alias("source")).agg(F.sum("_size").alias("size"), F.count("*").alias("n")), "sizes")
+    counted = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)) if size is None else F.coalesce(F.col(size), F.lit(0))
+    rows, tally = _keyed(docs, counted, source, seed)
+    name = F.when(F.col("_source") != "n", F.substring("_source", 2, 1 << 30))
+    sizes = written(tally.groupBy(name.alias("source")).agg(F.sum("_words").alias("size"), F.sum("_n").alias("n")), "sizes")
     targets = source_targets(sizes, weights, share, most)
     targets = written(targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")), "targets")
     total, sources = sizes.agg(F.sum("n"), F.count("*")).first()
@@ -155,10 +203,10 @@ def mix(docs: DataFrame, source: str = "source", size: str | None = None, text:
         rows = rows.join(F.broadcast(targets), "_source")
     else:  # a copy of each target for each part of a source, so that a large source is spread
         parts = targets.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        rows = rows.withColumn("_part", F.pmod("_key", F.lit(PARTS)).cast("int")).join(parts, ["_source", "_part"]).drop("_part")
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("_key", "_copy"), F.lit(PARTS)).cast("int")).join(parts, ["_source", "_part"]).drop("_part")
     expected = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     expected = F.when(F.abs(expected - F.round(expected)) < EPS, F.round(expected)).otherwise(expected)
-    rows = rows.withColumn("_copies", F.floor(expected).cast("int")).withColumn("_rest", expected - F.floor(expected)).withColumn("_leaf", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(leaves)))
+    rows = rows.withColumn("_copies", F.floor(expected).cast("int")).withColumn("_rest", expected - F.floor(expected)).withColumn("_leaf", F.pmod(F.xxhash64(F.lit(seed + 1), "_key", "_copy"), F.lit(leaves)))
     rows = rows.withColumn("_group", F.col("_leaf"))
     done, level = [], 0
     while True:
@@ -171,13 +219,14 @@ def mix(docs: DataFrame, source: str = "source", size: str | None = None, text:
         leaves, level = math.ceil(leaves / FAN), level + 1
         node = F.floor(F.col("_leaf") / FAN).cast("bigint")
         rows = rounded.where(open_).withColumn("_leaf", node).withColumn("_group", node * PARTS + F.pmod(F.xxhash64("_source"), F.lit(PARTS)))
+    discard(tally, sizes, targets)
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
-    return whole.withColumn("_copies", F.col("_copies") + F.col("_rest").cast("int")).select(*docs.columns, "_size", "_source_size", "_target", "_copies")
+    return whole.withColumn("_copies", F.col("_copies") + F.col("_rest").cast("int"))
 
 
-def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() takes it, with the columns of docs."""
-    mixed = mix(docs, **how).where("_copies > 0")
-    return mixed.withColumn("_k", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+def repeated(docs: DataFrame, source: str = "source", size: str | None = None, text: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it, with the columns of docs and no others, whatever their names."""
+    mixed = _mixed(docs, source, size, text, weights, share, most, seed).where("_copies > 0")
+    return mixed.withColumn("_k", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
