@@ -1,5 +1,7 @@
 """Texts as grey PNG images in a binary column, and low-frequency cosine hashes of the images read back.
 
+Scale: a projection, a table written between the two steps; no shuffle.
+
 Written: one IHDR, one zlib stream in IDAT chunks, IEND; 8-bit samples, rows of 64, each row filtered by Sub or Up,
 whichever has the smaller sum of signed residues. Read: any non-interlaced 8-bit grey PNG with all five row filters;
 signature, chunk checksums, zlib checksum and sizes are tested and a fault raises ValueError.
@@ -149,7 +151,7 @@ def _images(texts: pd.Series) -> pd.Series:
 def _features(media: pd.Series) -> pd.DataFrame:
     out = []
     for one in media:
-        image = read_png(bytes(one))
+        image = read_png(bytes(one or b""))
         data = image.tobytes()
         out.append((data, zlib.crc32(data[-WIDTH:]), f"{cosine_hash(image):016x}"))
     return pd.DataFrame(out, columns=["payload", "tail_crc32", "feature"])
@@ -159,12 +161,19 @@ IMAGE = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("t
 
 
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs with the text of each row as a PNG in a binary column. Null and empty texts are an image of one row of zeros."""
+    """docs with the text of each row as a PNG in a binary column. Null and empty texts are an image of one row of zeros.
+
+    A column of docs that is named like `media` gives way to it. Write the rows before with_features() reads them: in
+    one plan the images would be made anew for it.
+    """
     bound_batches(docs.sparkSession)
     return docs.withColumn(media, F.pandas_udf(_images, T.BinaryType())(F.col(text)))
 
 
-def with_features(media_rows: DataFrame, media: str = "media") -> DataFrame:
-    """Adds `image`: payload read back, crc32 of its last 64 bytes, cosine hash as 16 hex digits. A damaged image raises."""
+def with_features(media_rows: DataFrame, media: str = "media", image: str = "image") -> DataFrame:
+    """Adds the struct `image`: payload read back, crc32 of its last 64 bytes, cosine hash as 16 hex digits.
+
+    A damaged image raises; a null one does, too. A column of media_rows that is named like `image` gives way to it.
+    """
     bound_batches(media_rows.sparkSession)
-    return media_rows.withColumn("image", F.pandas_udf(_features, IMAGE)(F.col(media)))
+    return media_rows.withColumn(image, F.pandas_udf(_features, IMAGE)(F.col(media)))
