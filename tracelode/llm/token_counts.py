@@ -101,7 +101,8 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     """(doc_id, n_bytes, n_tokens): one row for each row of docs. A null text is empty and has no token.
 
     tokenizer: the path of a byte-level BPE file, the same on all machines. Strings of its added tokens inside
-    texts count as one token each, which is its library's default.
+    texts count as one token each, which is its library's default. Repeated rows are counted each; an empty table gives
+    no row. Other columns of docs, whatever their names, are not touched.
     """
     bound_batches(docs.sparkSession)
 

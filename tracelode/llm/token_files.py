@@ -4,8 +4,8 @@ A part has three files: `.bin`, all ids as unsigned integers (16 bits if the voc
 n + 1 offsets in ids as 64-bit integers; `.doc`, n document ids as 64-bit integers followed by n bytes that are 1
 where the id is null. Parts follow each other in document order; `parts` names them with the ids before them.
 
-Scale: one range shuffle of the texts; a task encodes and writes its range as it reads it, and a part's base is a
-prefix sum over part sizes. File names carry the attempt, and only names in the written `parts` table count, so
+Scale: one range shuffle of the texts into parts of about PART_BYTES; a task encodes and writes its range as it reads
+it, keeping 17 bytes a document, and a part's base is a prefix sum over part sizes. File names carry the attempt, and only names in the written `parts` table count, so
 tasks can be repeated at any time.
 """
 
@@ -28,6 +28,8 @@ from tracelode.llm.pretokens import Learned, Splitter
 
 #: Distinct pre-tokens whose ids a worker keeps between batches.
 CACHE = 400_000
+#: UTF-8 bytes of text in a part, about.
+PART_BYTES = 64 << 20
 #: Documents of a part that are read back at a time.
 READ_DOCS = 20_000
 
@@ -78,7 +80,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     """Writes docs to a folder every machine sees and returns its parts: (part, name, kind, n_docs, n_tokens, base).
 
     Documents are in ascending order of doc_id, nulls first, then of text. A null text is empty: the end id alone.
-    Repeated rows are written each. An empty table has no parts.
+    Repeated rows are written each. An empty table has no parts. Other columns of docs, whatever their names, are not
+    touched.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -96,22 +99,24 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                     out = fs.open_output_stream(f"{base}/{name}.bin")
                 ids, counts = encode([t or "" for t in part.column("_text").to_pylist()], end_id)
                 out.write(ids.tobytes())
-                sizes += counts.tolist()
+                sizes.append(counts)
                 found = part.column("doc_id")
                 keys.append(found.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(found.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
         if out is None:
             return
         out.close()
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
         for tail, body in ((".off", offsets.tobytes()), (".doc", np.concatenate(keys).tobytes() + np.concatenate(nulls).tobytes())):
             with fs.open_output_stream(f"{base}/{name}{tail}") as file:
                 file.write(body)
-        row = [[TaskContext.get().partitionId()], [f"{folder}/{name}"], [encode.kind], [len(sizes)], [int(offsets[-1])]]
+        row = [[TaskContext.get().partitionId()], [f"{folder}/{name}"], [encode.kind], [len(offsets) - 1], [int(offsets[-1])]]
         yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *map(pa.array, row[1:])], ["part", "name", "kind", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("_text")).sortWithinPartitions("doc_id", "_text")
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")) + 16)).first()[0] or 0
+    count = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    ordered = rows.repartitionByRange(count, "doc_id", F.xxhash64("_text")).sortWithinPartitions("doc_id", "_text")
     parts = written(ordered.mapInArrow(run, "part int, name string, kind string, n_docs bigint, n_tokens bigint"), "parts")
     return parts.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens"))
 
