@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.llm._shared import unused
+
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FORMS = {
@@ -301,12 +303,13 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     give way. Repeated rows and equal values give equal results everywhere.
     """
     # Every form has a digit or an @; a text without is not searched for forms.
+    found, made = unused(docs.columns, "_m"), unused(docs.columns, "_p")
     matches = F.coalesce(F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))), F.array().cast("array<string>"))
-    rows = docs.withColumn("_m", matches)
+    rows = docs.withColumn(found, matches)
     # With no match the row keeps its text: neither the split nor the pseudonyms are computed.
-    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.transform("_m", lambda m: _replaced(key, m))))
+    rows = rows.withColumn(made, F.when(F.size(found) > 0, F.transform(found, lambda m: _replaced(key, m))))
     between = F.split(F.col(text), ANY, -1)
-    put = F.zip_with(F.col("_p"), F.slice(between, F.lit(2), F.size("_m")), lambda p, rest: F.concat(p["t"], rest))
-    whole = F.when(F.size("_m") > 0, F.concat(F.element_at(between, 1), F.array_join(put, ""))).otherwise(F.col(text))
-    valid = F.coalesce(F.flatten(F.transform("_p", lambda p: p["p"])), F.array().cast("array<string>"))
-    return rows.withColumn(text, whole).withColumn("pseudonyms", valid).withColumn("n_replaced", F.size("pseudonyms").cast("bigint")).drop("_m", "_p")
+    put = F.zip_with(F.col(made), F.slice(between, F.lit(2), F.size(found)), lambda p, rest: F.concat(p["t"], rest))
+    whole = F.when(F.size(found) > 0, F.concat(F.element_at(between, 1), F.array_join(put, ""))).otherwise(F.col(text))
+    valid = F.coalesce(F.flatten(F.transform(made, lambda p: p["p"])), F.array().cast("array<string>"))
+    return rows.withColumn(text, whole).withColumn("pseudonyms", valid).withColumn("n_replaced", F.size("pseudonyms").cast("bigint")).drop(found, made)
