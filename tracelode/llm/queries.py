@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import context_tree, decontamination, langid, media, mixing, pii, sharding, simhash, token_counts, token_files
-from tracelode.llm._shared import spread
+from tracelode.llm._shared import spread, written
 
 #: Production parameters.
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID, TOKEN_LIMIT, SHARDS, SHARD_SEED = 2, 512, 40, 11
-PII_KEY = "corpus-pseudonyms-1"
+#: The session's setting that names the key of pseudonyms; without it the key is the one of the tests.
+PII_KEY_CONF, PII_KEY = "spark.tracelode.pseudonym.key", "corpus-pseudonyms-1"
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,14 +33,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get(PII_KEY_CONF, PII_KEY))
 
 
 def op2_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media.with_features(media.with_media(documents(spark, sf_dir).select("doc_id", "text")))
-    return rows.select(
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    stored = written(media.with_media(docs).drop("text"), "media")
+    return media.with_features(stored).select(
         "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "n_bytes",
         F.octet_length("image.payload").cast("bigint").alias("payload_bytes"),
         F.sha2("image.payload", 256).alias("payload_sha256"),
         F.col("image.tail_crc32").alias("tail_crc32"),
@@ -107,11 +109,14 @@ raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documen
 sized AS (
   SELECT doc_id, source, length(h) // 2 + 16 AS size,
     xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h) // 2 + 1), lambda k: ('0x' || substr(h, 2 * k - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
-    coalesce('s' || source, 'n') AS s,
-    CAST('0x' || substr(md5('{SHARD_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+    coalesce('s' || source, 'n') AS s
   FROM raw, crc_table),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY s, doc_id, text_crc32, size) - 1 AS copy FROM sized),
+hashed AS (
+  SELECT *, CAST('0x' || substr(md5('{SHARD_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || ':' || size || ':' || copy), 1, 15) AS BIGINT) AS hash,
+    (CAST('0x' || substr(md5('{SHARD_SEED}:' || s), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS phase FROM numbered),
 ranked AS (
-  SELECT *, (row_number() OVER (PARTITION BY s ORDER BY hash, doc_id NULLS FIRST, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY s) AS f FROM sized),
+  SELECT *, (row_number() OVER (PARTITION BY s ORDER BY hash, doc_id NULLS FIRST, text_crc32, size, copy) - 1 + phase) / count(*) OVER (PARTITION BY s) AS f FROM hashed),
 placed AS (SELECT *, row_number() OVER (ORDER BY f, s) - 1 AS p, count(*) OVER () AS n FROM ranked),
 cut AS (
   SELECT *, n // {SHARDS} AS few, n % {SHARDS} AS larger FROM placed),
