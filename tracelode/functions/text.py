@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -62,6 +62,11 @@ def thinking(raw: Column) -> Column:
     return F.when(at > 0, stripped(F.replace(F.substr(raw, F.lit(1), at - 1), F.lit("<think>"), F.lit(""))))
 
 
+def without_tags(raw: Column) -> Column:
+    """Text without opening and closing tags of thinking, stripped."""
+    return stripped(F.regexp_replace(raw, "</?think>", ""))
+
+
 def answer(raw: Column) -> Column:
     at = F.instr(raw, "</think>")
     return F.when(at > 0, stripped(F.substr(raw, at + 8)))
@@ -73,17 +78,17 @@ def preview(text: Column, most: int = 180) -> Column:
 
 
 def repeats(text: Column, size: int = 80, times: int = 5, starts: int = 500) -> Column:
-    """Whether one of up to `starts` evenly spaced pieces of `size` characters occurs `times` times without overlap.
+    """Whether one of about `starts` evenly spaced pieces of `size` characters occurs `times` times without overlap.
 
     An Arrow UDF: the same by replace() in SQL walks the UTF-8 of a text anew for every piece, 70 times as long.
     """
 
     def found(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> bool:
-            if t is None or len(t) < size:
+            if t is None or len(t) < size * times:
                 return False
-            last = len(t) - size
-            return any(t.count(t[p : p + size]) >= times for p in range(0, last + 1, max(last // starts, 1)))
+            pieces = dict.fromkeys(t[p : p + size] for p in range(0, len(t) - size, max(len(t) // starts, 1)))
+            return any(t.count(p) >= times for p in pieces)
 
         return texts.map(one, na_action=None).astype(bool)
 
@@ -117,3 +122,32 @@ def condition_parts(name: Column) -> Column:
     form = r"^(?:[a-z]+_)??([a-z]+)_(pos|neg)_([0-9]+(?:\.[0-9]+)?)$"
     found = F.struct(F.upper(F.regexp_extract(name, form, 1)).alias("category"), F.when(F.regexp_extract(name, form, 2) == "pos", 1).otherwise(-1).alias("direction"), F.try_to_number(F.regexp_extract(name, form, 3), F.lit("999.99")).cast("double").alias("alpha"))
     return F.when(name.rlike(form), found)
+
+
+def token_places(text: Column, token: str = "[A-Za-z0-9]+") -> Column:
+    """array<struct<k, first, last>>: number, first and last place (from 0) of each token of a text; a token is a match of a pattern of single characters repeated."""
+    words = F.regexp_extract_all(text, F.lit(token), F.lit(0))
+    gaps = F.split(text, token, -1)
+    both = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda w, g: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
+    none = F.struct(F.array().cast("array<struct<k:bigint,first:bigint,last:bigint>>").alias("l"), F.lit(0).cast("bigint").alias("at"))
+
+    def step(s: Column, x: Column) -> Column:
+        first = s["at"] + x["g"]
+        place = F.struct(F.size(s["l"]).cast("bigint").alias("k"), first.alias("first"), (first + x["w"] - 1).alias("last"))
+        return F.struct(F.array_append(s["l"], place).alias("l"), (first + x["w"]).alias("at"))
+
+    return F.aggregate(both, none, step, lambda s: s["l"])
+
+
+def token_spans(spans: DataFrame, tokens: DataFrame, reach: int = 30) -> DataFrame:
+    """spans (trace, sid, start_char, end_char) with span_start and span_end: the tokens at their first and last character.
+
+    tokens: (trace, tokens) of token_places(). Where no token lies at a character, the nearest within `reach` characters
+    counts: after it for the start, before it for the end; null without one. One join by trace, the search in its row.
+    """
+    joined = spans.join(tokens, "trace")
+    last = F.col("end_char") - 1
+    after = F.filter("tokens", lambda t: (t["last"] >= F.col("start_char")) & (t["first"] - F.col("start_char") < reach))
+    before = F.filter("tokens", lambda t: (t["first"] <= last) & (last - t["last"] < reach))
+    ends = joined.withColumn("span_start", F.array_min(F.transform(after, lambda t: t["k"]))).withColumn("span_end", F.array_max(F.transform(before, lambda t: t["k"])))
+    return ends.drop("tokens")

@@ -108,3 +108,29 @@ def sample(rows: DataFrame, k: int, seed: int, *key: str) -> DataFrame:
 def closest(rows: DataFrame, keys: list[str], value: str, target: float, tie: str) -> DataFrame:
     """Of each group the row whose value is nearest to target."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.abs(F.col(value) - target), tie))).where("_r = 1").drop("_r")
+
+
+def binned(rows: DataFrame, value: str, starts: list[int]) -> DataFrame:
+    """(bin, n): counts by bins of whole numbers, each from its start to the next one's; the last is open, the first open below."""
+    names = [f"{a}-{b - 1}" for a, b in zip(starts, starts[1:])] + [f"{starts[-1]}+"]
+    name = F.lit(names[0])
+    for start, text in zip(starts[1:], names[1:]):
+        name = F.when(F.col(value) >= start, text).otherwise(name)
+    return rows.groupBy(name.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def domain_shares(rows: DataFrame, published: dict[str, float]) -> DataFrame:
+    """(domain, share, published, difference): shares of all rows by domain, JUDGE by its judgement; uncertainty and self-checking as one."""
+    label, judgement = F.col("label"), F.col("judgement")
+    merged = "uncertainty_management+self_checking"
+    domain = (
+        F.when(label == "ORIENT", "problem_setup").when(label.isin("HYPO", "PLAN"), "plan_generation").when(label == "DESCRIBE", "fact_retrieval").when(label == "TEST", "active_computation")
+        .when((label == "MONITOR") | ((label == "JUDGE") & judgement.isin("reject", "uncertain")), merged).when((label == "SYNTHESIZE") | ((label == "JUDGE") & (judgement == "accept")), "result_consolidation").when(label == "RULE", "final_answer_emission")
+    )
+    counts = rows.groupBy(domain.alias("domain")).agg(F.count("*").alias("n"))
+    shares = counts.select("domain", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))  # eight rows
+    apart = merged.split("+")
+    values = [(d, p) for d, p in published.items() if d not in apart] + [(merged, round(sum(published[d] for d in apart), 6))]
+    known = rows.sparkSession.createDataFrame(values, "domain string, published double")
+    found = known.join(F.broadcast(shares), "domain", "left").withColumn("share", F.round(F.coalesce("share", F.lit(0.0)), 4))
+    return found.select("domain", "share", "published", F.round(F.col("share") - F.col("published"), 4).alias("difference"))

@@ -19,7 +19,7 @@ from tracelode.operators import graph as G
 from tracelode.operators import rank_tests as R
 from tracelode.operators import sequence as Q
 from tracelode.operators import vectors as V
-from tracelode.plans.facts import LABELS, MACRO, SQL, sentences, table
+from tracelode.plans.facts import LABELS, SQL, sentences, table
 from tracelode.sources import traces as S
 from tracelode.streaming import sessions as ST
 
@@ -132,35 +132,41 @@ _on("ag08_corpus_summary", "+t AS (SELECT trace, any_value(completed) AS c, coun
 _on("ag10_rollup", 'SELECT "set", task, ' + _DESC.format("tokens") + ' FROM s GROUP BY ROLLUP ("set", task)', lambda s: A.subtotals(s, ["set", "task"], "tokens"))
 _on("ag11_grouping_sets", "+u AS (SELECT 'tokens' AS metric, task, completed, tokens::DOUBLE AS v FROM s UNION ALL SELECT 'value', task, completed, value FROM s) SELECT metric, task, completed, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS most FROM u GROUP BY GROUPING SETS ((metric), (metric, task), (metric, completed))", lambda s: A.grouped(s, [[], ["task"], ["completed"]], ["tokens", "value"]))
 _on("ag13_completion_rates", "+t AS (SELECT trace, any_value(task) AS task, any_value(completed) AS c FROM s GROUP BY trace) SELECT task, count(*) AS n, round(avg(c::INT), 6) AS rate FROM t GROUP BY task", lambda s: s.groupBy("trace").agg(F.first("task").alias("task"), F.first("completed").alias("c")).groupBy("task").agg(F.count("*").alias("n"), F.avg(F.col("c").cast("int")).alias("rate")))
-_on("ag14_token_bins", "SELECT CASE WHEN tokens <= 3 THEN '1-3' WHEN tokens <= 6 THEN '4-6' WHEN tokens <= 10 THEN '7-10' ELSE '11+' END AS bin, count(*) AS n FROM s GROUP BY 1", lambda s: s.groupBy(F.when(F.col("tokens") <= 3, "1-3").when(F.col("tokens") <= 6, "4-6").when(F.col("tokens") <= 10, "7-10").otherwise("11+").alias("bin")).agg(F.count("*").alias("n")))
+#: The first token of each of ten bins.
+_BINS = [1, 6, 11, 21, 31, 51, 76, 101, 151, 201]
+_add("ag14_token_bins", """WITH p AS (SELECT unnest(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) AS p FROM documents), t AS (SELECT len(regexp_extract_all(p, '[^ \\t\\n\\r\\f\\v]+')) AS n FROM p)
+SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' WHEN n <= 30 THEN '21-30' WHEN n <= 50 THEN '31-50' WHEN n <= 75 THEN '51-75' WHEN n <= 100 THEN '76-100' WHEN n <= 150 THEN '101-150' WHEN n <= 200 THEN '151-200' ELSE '201+' END AS bin, count(*) AS n FROM t GROUP BY 1""", None)(lambda spark, d: A.binned(_docs(spark, d).select(F.explode(T.sentences(F.col("text"))).alias("p")).select(T.word_count(F.col("p")).alias("n")), "n", _BINS))
 _on("ag15_histogram", "+b AS (SELECT min(value) AS lo, max(value) AS hi FROM s) SELECT CAST(least(floor((value - lo) / (hi - lo) * 10) + 1, 10) AS BIGINT) AS bin, count(*) AS n FROM s, b GROUP BY 1", lambda s: A.histogram(s, "value", 10))
 _on("ag18_checks", """SELECT 'no_judgement' AS "check", count(*) FILTER (label = 'JUDGE' AND judgement IS NULL) AS n_issues FROM s UNION ALL SELECT 'stray_status', count(*) FILTER (status IS NOT NULL AND label <> 'HYPO') FROM s UNION ALL SELECT 'no_antecedent', count(*) FILTER (status = 'revised' AND antecedent IS NULL) FROM s""", lambda s: A.checks(s, {"no_judgement": (F.col("label") == "JUDGE") & F.col("judgement").isNull(), "stray_status": F.col("status").isNotNull() & (F.col("label") != "HYPO"), "no_antecedent": (F.col("status") == "revised") & F.col("antecedent").isNull()}))
-_on("ag21_dominance", "+c AS (SELECT trace, label, count(*) AS k FROM s GROUP BY ALL), t AS (SELECT trace, label, k / sum(k) OVER (PARTITION BY trace) AS share, row_number() OVER (PARTITION BY trace ORDER BY k DESC, label DESC) AS r FROM c) SELECT trace, label, round(share, 6) AS share FROM t WHERE r = 1 AND share > 0.35", lambda s: A.dominance(s, 0.35))
+_on("ag21_dominance", "+c AS (SELECT trace, label, count(*) AS k FROM s GROUP BY ALL), t AS (SELECT trace, label, k / sum(k) OVER (PARTITION BY trace) AS share, row_number() OVER (PARTITION BY trace ORDER BY k DESC, label DESC) AS r FROM c) SELECT trace, label, round(share, 6) AS share, share > 0.7 AS dominant FROM t WHERE r = 1", lambda s: A.dominance(s, -1.0).withColumn("dominant", F.col("share") > 0.7))
 _on("ag28_status_shares", "+h AS (SELECT task, status, count(*) AS n FROM s WHERE label = 'HYPO' GROUP BY ALL) SELECT task, status, n, round(n / sum(n) OVER (PARTITION BY task), 6) AS share FROM h", lambda s: s.where("label = 'HYPO'").groupBy("task", "status").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("task"))))
 _on("ag31_macro_average", "+t AS (SELECT trace, count(*) AS k FROM s GROUP BY trace), c AS (SELECT trace, label, count(*) AS n FROM s GROUP BY ALL) SELECT l AS label, round(avg(100 * coalesce(n, 0) / k), 6) AS mean_pct FROM t CROSS JOIN (VALUES " + LIST + ") v(l, o) LEFT JOIN c ON c.trace = t.trace AND c.label = l GROUP BY l", lambda s: A.macro_average(s, LABELS))
 _on("ag32_robust", "+q AS (SELECT task, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM s GROUP BY task) SELECT task, n, round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, round(q1 - 1.5 * (q3 - q1), 6)::DOUBLE AS low, round(q3 + 1.5 * (q3 - q1), 6)::DOUBLE AS high FROM q", lambda s: A.robust(s, "task", "value"))
 _on("ag33_class_weights", f"+c AS (SELECT label, count(*) AS n FROM s GROUP BY label) SELECT l AS label, coalesce(round((SELECT sum(n) FROM c) / (9 * n)::DOUBLE, 3), 1) AS weight FROM (VALUES {LIST}) v(l, o) LEFT JOIN c ON c.label = l", lambda s: A.class_weights(s, LABELS))
 _on("ag34_fold_by_label", "+f AS (SELECT task, trace, (row_number() OVER (PARTITION BY task ORDER BY md5(CAST(trace AS VARCHAR)), trace) - 1) % 5 AS fold FROM (SELECT DISTINCT task, trace FROM s)) SELECT fold, " + _cols + " FROM s JOIN f USING (task, trace) GROUP BY fold", lambda s: A.contingency(s.join(V.group_folds(s, "task", "trace"), ["task", "trace"]), "fold", LABELS))
-_on("ag35_cost", "SELECT task, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens * 1.5 + 7.5) / 1000000, 6)::DOUBLE AS cost FROM s GROUP BY task", lambda s: s.groupBy("task").agg(F.sum("tokens").alias("tokens"), (F.sum(F.col("tokens") * 1.5 + 7.5) / 1e6).alias("cost")))
-_on("ag36_macro_domains", "SELECT CASE " + " ".join(f"WHEN label = '{k}' THEN '{v}'" for k, v in MACRO.items()) + " END AS domain, count(*) AS n FROM s GROUP BY 1", lambda s: s.groupBy(F.create_map(*[F.lit(x) for kv in MACRO.items() for x in kv])[F.col("label")].alias("domain")).agg(F.count("*").alias("n")))
+_add("ag35_cost", "WITH t AS (SELECT conv_id, sum(CASE WHEN role <> 'assistant' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) ELSE 0 END)::BIGINT AS tokens_in, sum(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) ELSE 0 END)::BIGINT AS tokens_out FROM conversations GROUP BY conv_id) SELECT *, round((tokens_in * 1.5::DOUBLE + tokens_out * 7.5::DOUBLE) / 1000000, 6) AS cost, round((tokens_in * 3.0::DOUBLE + tokens_out * 15.0::DOUBLE) / 1000000, 6) AS full_cost FROM t", None)(lambda spark, d: _costs(table(spark, d, "conversations")))
+#: Published shares of eight domains, in the table's order; the two that are told apart there and not here come together.
+DOMAINS = {"problem_setup": 0.024, "plan_generation": 0.155, "fact_retrieval": 0.201, "active_computation": 0.327, "uncertainty_management": 0.140, "result_consolidation": 0.101, "self_checking": 0.045, "final_answer_emission": 0.007}
+_on("ag36_macro_domains", """+m AS (SELECT CASE WHEN label = 'ORIENT' THEN 'problem_setup' WHEN label IN ('HYPO', 'PLAN') THEN 'plan_generation' WHEN label = 'DESCRIBE' THEN 'fact_retrieval' WHEN label = 'TEST' THEN 'active_computation' WHEN label = 'MONITOR' OR judgement IN ('reject', 'uncertain') THEN 'uncertainty_management+self_checking' WHEN label = 'SYNTHESIZE' OR judgement = 'accept' THEN 'result_consolidation' WHEN label = 'RULE' THEN 'final_answer_emission' END AS domain, 1.0 / count(*) OVER () AS w FROM s),
+b AS (SELECT * FROM (VALUES ('problem_setup', 0.024), ('plan_generation', 0.155), ('fact_retrieval', 0.201), ('active_computation', 0.327), ('uncertainty_management+self_checking', 0.185), ('result_consolidation', 0.101), ('final_answer_emission', 0.007)) v(domain, published)), c AS (SELECT domain, sum(w) AS share FROM m GROUP BY domain)
+SELECT b.domain, round(coalesce(share, 0), 4)::DOUBLE AS share, published::DOUBLE AS published, round(round(coalesce(share, 0), 4) - published, 4)::DOUBLE AS difference FROM b LEFT JOIN c ON c.domain = b.domain""", lambda s: A.domain_shares(s, DOMAINS))
 _on("ag44_modes", "+e AS (SELECT trace, arg_min(label, sid) AS o, arg_max(label, sid) AS c FROM s GROUP BY trace) SELECT mode(o) AS opening, mode(c) AS closing FROM e", lambda s: Q.ends(s).agg(F.mode("opening").alias("opening"), F.mode("closing").alias("closing")))
 _on("pj03_position_thirds", "+p AS (SELECT *, sid / greatest(n - 1, 1) AS x FROM s) SELECT CASE WHEN x <= 1/3 THEN 'early' WHEN x <= 2/3 THEN 'middle' ELSE 'late' END AS third, count(*) AS n, round(avg(x), 6) AS mean FROM p GROUP BY 1", lambda s: s.withColumn("x", F.col("sid") / F.greatest(F.col("n") - 1, F.lit(1))).groupBy(F.when(F.col("x") <= 1 / 3, "early").when(F.col("x") <= 2 / 3, "middle").otherwise("late").alias("third")).agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
 _on("sx08_chi_squared", "+c AS (SELECT completed, label, count(*)::DOUBLE AS o FROM s GROUP BY ALL), x AS (SELECT *, sum(o) OVER (PARTITION BY completed) * sum(o) OVER (PARTITION BY label) / sum(o) OVER () AS e FROM c) SELECT round(sum(o * o / e) - sum(o), 4) AS chi2 FROM x", lambda s: R.chi_squared(s, "completed", "label", len(LABELS) - 1).select(F.round("chi2", 4).alias("chi2")))
 _RANK = "k AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r, count(*) OVER (PARTITION BY v) AS t FROM x), c AS (SELECT sum(t * t - 1)::DOUBLE AS tie FROM k), n AS (SELECT count(*)::DOUBLE AS n FROM k)"
 _on("sx09_kruskal", f"+x AS (SELECT task AS g, tokens AS v FROM s), {_RANK}, q AS (SELECT sum(r)::DOUBLE AS r, count(*)::DOUBLE AS m FROM k GROUP BY g) SELECT round((12 / (n * (n + 1)) * (SELECT sum(r * r / m) FROM q) - 3 * (n + 1)) / (1 - tie / (n * n * n - n)), 5) AS h, 3::BIGINT AS df FROM n, c", lambda s: R.kruskal(s, "tokens", "task", 4).select(F.round("h", 5).alias("h"), "df"))
 _on("sx11_mann_whitney", f"+x AS (SELECT completed AS g, tokens AS v FROM s), {_RANK}, q AS (SELECT sum(r) FILTER (g)::DOUBLE AS r, count(*) FILTER (g)::DOUBLE AS a, count(*) FILTER (NOT g)::DOUBLE AS b FROM k), u AS (SELECT *, r - a * (a + 1) / 2 AS u FROM q) SELECT round(u, 3) AS u, round((greatest(u, a * b - u) - a * b / 2 - 0.5) / sqrt(a * b / 12 * (n + 1 - tie / (n * (n - 1)))), 5) AS z FROM u, n, c", lambda s: R.mann_whitney(s, "tokens", "completed").select(F.round("u", 3).alias("u"), F.round("z", 5).alias("z")))
-_on("sx10_dunn", None, lambda s: R.dunn(s, "tokens", "task"))
 _PAIRED = "+t AS (SELECT trace, any_value(task) AS task, count(*) FILTER (label = 'TEST') AS x, count(*) FILTER (label = 'HYPO') AS y FROM s GROUP BY trace)"
 _paired = lambda s: s.groupBy("trace").agg(F.first("task").alias("task"), F.count_if(F.col("label") == "TEST").alias("x"), F.count_if(F.col("label") == "HYPO").alias("y"))
 _on("sx13_cohens_d", _PAIRED + " SELECT task, count(*) AS n, round(coalesce(avg(x - y) / nullif(stddev_pop(x - y), 0), 0), 6) AS d FROM t GROUP BY task", lambda s: R.cohens_d(_paired(s), "task", "x", "y"))
 _on("sx12_wilcoxon", _PAIRED + ", z AS (SELECT x - y AS d FROM t WHERE x <> y), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM z), w AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS p FROM k) SELECT n, round(least(p, n * (n + 1) / 2 - p), 3) AS w FROM w", lambda s: R.wilcoxon(_paired(s), "x", "y").select("n", F.round("w", 3).alias("w")))
-_on("sx15_outliers", "+t AS (SELECT trace, any_value(task) AS task, count(*)::DOUBLE AS v FROM s GROUP BY trace), q AS (SELECT task, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM t GROUP BY task) SELECT trace, task, v::BIGINT AS v FROM t JOIN q USING (task) WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)", lambda s: _outliers(s))
+_on("sx15_outliers", "+t AS (SELECT trace, any_value(task) AS task, count(*)::DOUBLE AS v FROM s GROUP BY trace), q AS (SELECT task, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM t GROUP BY task) SELECT trace, task, v::BIGINT AS v, v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) AS outlier FROM t JOIN q USING (task)", lambda s: _outliers(s))
 
 
 def _outliers(s: DataFrame) -> DataFrame:
     lengths = s.groupBy("trace").agg(F.first("task").alias("task"), F.count("*").alias("v"))
     fences = A.robust(lengths, "task", "v").select("task", "low", "high")
-    return lengths.join(F.broadcast(fences), "task").where("v < low OR v > high").select("trace", "task", "v")  # one row a task
+    return lengths.join(F.broadcast(fences), "task").select("trace", "task", "v", ((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).alias("outlier"))  # one row a task
 
 
 _on("sx16_trace_status", "+t AS (SELECT trace, count(*) AS n, count(*) FILTER (label = 'HYPO') AS h, bool_or(label = 'RULE') AS r FROM s GROUP BY trace) SELECT trace, n, CASE WHEN NOT r OR h = 0 THEN 'FAIL' WHEN h < 3 THEN 'WARN' ELSE 'PASS' END AS status FROM t", lambda s: s.groupBy("trace").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "HYPO").alias("h"), F.bool_or(F.col("label") == "RULE").alias("r")).select("trace", "n", F.when(~F.col("r") | (F.col("h") == 0), "FAIL").when(F.col("h") < 3, "WARN").otherwise("PASS").alias("status")))
@@ -177,6 +183,15 @@ _on("jn20_duplicate_values", "SELECT tokens, count(DISTINCT trace) AS n FROM s W
 _on("ex03_condition_grid", "SELECT 'baseline' AS condition, NULL::VARCHAR AS category, 0::BIGINT AS direction, NULL::DOUBLE AS alpha UNION ALL SELECT lower(c) || '_' || CASE WHEN d = 1 THEN 'pos' ELSE 'neg' END || '_' || a, c, d, a::DOUBLE FROM (VALUES ('HYPO'), ('TEST'), ('JUDGE'), ('MONITOR'), ('PLAN')) x(c), (VALUES (1::BIGINT), (-1)) y(d), (VALUES ('0.5'), ('1.0'), ('1.5')) z(a)", lambda s: _grid(s.sparkSession))
 
 
+def _costs(turns: DataFrame) -> DataFrame:
+    """Words sent and answered, and what a batch of them costs a million: $1.50 in and $7.50 out, twice that outside of a batch; fixed values."""
+    words = T.word_count(F.coalesce("text", F.lit("")))
+    said = lambda own: F.sum(F.when(own, words).otherwise(0)).cast("bigint")
+    out = turns.groupBy("conv_id").agg(said(F.col("role") != "assistant").alias("tokens_in"), said(F.col("role") == "assistant").alias("tokens_out"))
+    price = lambda a, b: (F.col("tokens_in") * a + F.col("tokens_out") * b) / 1e6
+    return out.withColumn("cost", price(1.5, 7.5)).withColumn("full_cost", price(3.0, 15.0))
+
+
 def _keys(s: DataFrame) -> DataFrame:
     return s.select("trace", "set", "task").distinct().withColumn("key", S.trace_key(F.col("set"), F.col("task"), F.col("trace")))
 
@@ -195,7 +210,6 @@ def _grid(spark: SparkSession) -> DataFrame:
 _on("gr01_edges", "SELECT trace, src, dst FROM e", G.edges, "d")
 _on("gr04_degrees", "SELECT label, count(*) AS n, round(avg(n_declared), 6) AS mean_declared, round(stddev_pop(n_declared), 6) AS sd_declared, round(avg(n_referenced_by), 6) AS mean_referenced_by, round(stddev_pop(n_referenced_by), 6) AS sd_referenced_by, round(stddev_pop(n_declared) / sqrt(count(*)), 6) AS se_declared FROM deg GROUP BY label", G.degree_by_label, "d")
 _on("gr06_density", "SELECT trace, count(*) AS n_nodes, CAST(sum(n_declared) AS BIGINT) AS n_edges, round(coalesce(sum(n_declared) / nullif(count(*) * (count(*) - 1), 0), 0), 6)::DOUBLE AS density FROM deg GROUP BY trace", G.density, "d")
-_on("gr07_components_longest_path", None, G.shape, "d")
 _on("gr10_hypothesis_cycles", "+h AS (SELECT e.trace, e.src AS hypo_sid, e.dst AS judge_sid, j.judgement FROM e JOIN d j ON j.trace = e.trace AND j.sid = e.dst AND j.label = 'JUDGE' JOIN d h ON h.trace = e.trace AND h.sid = e.src AND h.label = 'HYPO' WHERE e.dst > e.src) SELECT trace, hypo_sid, min(judge_sid) AS judge_sid, min(judge_sid) - hypo_sid + 1 AS length, arg_min(judgement, judge_sid) AS outcome FROM h GROUP BY trace, hypo_sid", G.hypothesis_cycles, "d")
 _on("gr12_chains", "+h AS (SELECT trace, sid, antecedent FROM s WHERE label = 'HYPO'), c AS (SELECT trace, antecedent AS sid, min(sid) AS nx FROM h WHERE antecedent IS NOT NULL GROUP BY ALL), g AS (WITH RECURSIVE g AS (SELECT trace, sid AS root, sid AS at, 1::BIGINT AS length FROM h WHERE antecedent IS NULL UNION ALL SELECT g.trace, root, nx, length + 1 FROM g JOIN c ON c.trace = g.trace AND c.sid = g.at) SELECT * FROM g) SELECT trace, root, max(length) AS length FROM g GROUP BY ALL", G.chains)
 _on("gr13_longest_chain", "+h AS (SELECT trace, sid, antecedent FROM s WHERE label = 'HYPO'), c AS (SELECT trace, antecedent AS sid, min(sid) AS nx FROM h WHERE antecedent IS NOT NULL GROUP BY ALL), g AS (WITH RECURSIVE g AS (SELECT trace, sid AS root, sid AS at, 1::BIGINT AS length FROM h WHERE antecedent IS NULL UNION ALL SELECT g.trace, root, nx, length + 1 FROM g JOIN c ON c.trace = g.trace AND c.sid = g.at) SELECT * FROM g) SELECT trace, max(length) AS most FROM g GROUP BY trace", lambda s: G.chains(s).groupBy("trace").agg(F.max("length").alias("most")))
@@ -237,7 +251,9 @@ _add("tx04_sentence_counts", f"SELECT doc_id, len({_SENT})::BIGINT AS n FROM doc
 _add("tx05_text_stats", f"WITH p AS (SELECT doc_id, {_SENT} AS p FROM documents) SELECT doc_id, len(p)::BIGINT AS n, round(coalesce(list_avg(list_transform(p, lambda x: length(x))), 0), 6) AS mean_chars FROM p", None)(lambda spark, d: _docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n"), F.coalesce(F.try_divide(F.aggregate("p", F.lit(0.0), lambda s, x: s + F.length(x)), F.size("p")), F.lit(0.0)).alias("mean_chars")))
 _add("tx03_word_counts", "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+'))::BIGINT AS n FROM documents", None)(lambda spark, d: _docs(spark, d).select("doc_id", T.word_count(F.coalesce("text", F.lit(""))).alias("n")))
 _add("tx26_foreign_share", "SELECT doc_id, round(coalesce(length(regexp_replace(text, '[\\x20-\\x7e\\t\\n\\r]', '', 'g')) / nullif(length(text), 0), 0), 6)::DOUBLE AS share FROM documents", None)(lambda spark, d: _docs(spark, d).select("doc_id", T.foreign_share(F.col("text")).alias("share")))
-_add("tx24_repetition", "WITH l AS (SELECT doc_id, text, length(text) AS n, length(text) - 80 AS m FROM documents) SELECT doc_id, m >= 0 AND coalesce(len(list_filter(range(0, greatest(m, 0) + 1, greatest(m // 500, 1)), lambda p: n - length(replace(text, substr(text, p + 1, 80), '')) >= 400)) > 0, false) AS found FROM l", None)(lambda spark, d: _docs(spark, d).select("doc_id", T.repeats(F.col("text")).alias("found")))
+_REPEATS = "WITH l AS (SELECT doc_id, text, length(text) AS n FROM documents) SELECT doc_id, coalesce(n >= {0} * {1} AND len(list_filter(range(0, n - {0}, greatest(n // 500, 1)), lambda p: n - length(replace(text, substr(text, p + 1, {0}), '')) >= {0} * {1})) > 0, false) AS found FROM l"
+_add("tx24_repetition", _REPEATS.format(80, 5), None)(lambda spark, d: _docs(spark, d).select("doc_id", T.repeats(F.col("text")).alias("found")))
+_add("tx25_loose_repetition", _REPEATS.format(50, 3), None)(lambda spark, d: _docs(spark, d).select("doc_id", T.repeats(F.col("text"), 50, 3).alias("found")))
 _add("pj17_previews", "WITH t AS (SELECT doc_id, trim(replace(text, chr(10), ' '), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE substr(t, 1, 177) || '...' END AS preview FROM t", None)(lambda spark, d: _docs(spark, d).select("doc_id", T.preview(F.col("text")).alias("preview")))
 _add("jn19_duplicate_texts", "SELECT doc_id, min(doc_id) OVER (PARTITION BY source, text) AS first_id FROM documents QUALIFY doc_id <> min(doc_id) OVER (PARTITION BY source, text)", None)(lambda spark, d: _duplicates(_docs(spark, d)))
 
@@ -279,11 +295,9 @@ _add("tx16_split_lines", "WITH x AS (SELECT doc_id, unnest(CASE WHEN len(regexp_
 _vecs = lambda spark, d: table(spark, d, "embeddings")
 _V = "CAST(embedding AS DOUBLE[])"
 _add("ve03_norms", f"SELECT vec_id, round(sqrt(list_dot_product({_V}, {_V})), 5) AS norm FROM embeddings", None)(lambda spark, d: _vecs(spark, d).select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm")))
-_add("ve09_centroids", "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL) SELECT label::BIGINT AS label, max(n) AS n, round(sqrt(sum(m * m)), 5) AS norm FROM m GROUP BY label", None)(lambda spark, d: V.centroids(_vecs(spark, d), "label", "embedding").select("label", "n", F.round(V.norm(F.col("centroid")), 5).alias("norm")))
 _add("ve05_centroid_cosines", "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS v FROM m GROUP BY label) SELECT p.label::BIGINT AS a, q.label::BIGINT AS b, round(list_cosine_similarity(p.v, q.v), 5) AS cos FROM c p JOIN c q ON p.label < q.label", None)(lambda spark, d: V.pair_cosines(V.centroids(_vecs(spark, d), "label", "embedding"), "label", "centroid").select("a", "b", F.round("cos", 5).alias("cos")))
 _add("wn21_status", f"WITH p AS (SELECT a.label, a.vec_id AS sid, b.vec_id AS earlier, list_cosine_similarity(a.v, b.v) AS c FROM (SELECT *, {_V} AS v FROM embeddings) a JOIN (SELECT *, {_V} AS v FROM embeddings) b ON a.label = b.label AND b.vec_id < a.vec_id), t AS (SELECT label, sid, max(c) AS best FROM p GROUP BY ALL) SELECT e.label::BIGINT AS label, vec_id AS sid, round(best, 5) AS best, CASE WHEN best >= 0.9 THEN 'repeated' WHEN best >= 0.7 THEN 'revised' ELSE 'novel' END AS status FROM embeddings e LEFT JOIN t ON t.label = e.label AND t.sid = e.vec_id", None)(lambda spark, d: V.status_by_similarity(_vecs(spark, d), "label", "vec_id", "embedding").select("label", "sid", F.round("best", 5).alias("best"), "status"))
 _add("ve08_vector_checks", "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_size, count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS not_finite, count(*) FILTER (list_dot_product(embedding, embedding) = 0) AS zero FROM embeddings", None)(lambda spark, d: _vecs(spark, d).agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != 64).alias("wrong_size"), F.count_if(F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("not_finite"), F.count_if(V.norm(F.col("embedding")) == 0).alias("zero")))
-_add("ml04_probe", None)(lambda spark, d: K.overall_scores(V.probe(_vecs(spark, d).withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(5))), "embedding", "label", "fold", 0), "label", "prediction"))
 
 # --- keyed pairs of conditions, trees of orders, streams as batches
 
@@ -302,4 +316,4 @@ _add("ag39_keyed_shifts", _SHIFT, None)(_shift)
 _add("st_tumbling_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", None)(lambda spark, d: ST.tumbling_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4)))
 _add("st_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM k GROUP BY user_id, k", None)(lambda spark, d: ST.sessions(table(spark, d, "events")))
 
-from tracelode.plans import more, stages  # noqa: E402, F401 - they add their queries to those above
+from tracelode.plans import more, stages, coding, files, experiments  # noqa: E402, F401 - they add their queries to those above

@@ -85,7 +85,7 @@ def _mismatches(s: DataFrame) -> DataFrame:
 
 # --- joins and lookups
 
-_on("jn02_inner_merge", "SELECT a.trace, a.sid, a.label AS label_auto, b.confidence AS label_manual FROM s a JOIN s b ON a.trace = b.trace AND a.sid = b.sid WHERE a.sid % 2 = 0 AND b.sid % 3 = 0", lambda s: s.where("sid % 2 = 0").select("trace", "sid", F.col("label").alias("label_auto")).join(s.where("sid % 3 = 0").select("trace", "sid", F.col("confidence").alias("label_manual")), ["trace", "sid"]))
+_add("jn02_inner_merge", "SELECT d.doc_id, d.lang AS label_auto, l.quality AS label_manual FROM documents d JOIN labels l ON l.doc_id = d.doc_id", None)(lambda spark, d: _docs(spark, d).select("doc_id", F.col("lang").alias("label_auto")).join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label_manual")), "doc_id"))
 _on("jn03_common_keys", "SELECT trace FROM s WHERE label = 'HYPO' INTERSECT SELECT trace FROM s WHERE label = 'JUDGE'", lambda s: s.where("label = 'HYPO'").select("trace").distinct().join(s.where("label = 'JUDGE'").select("trace"), "trace", "left_semi"))
 _on("jn04_listed_traces", "SELECT trace, sid, label FROM s WHERE trace IN (1, 2, 3, 5, 8, 13)", lambda s: s.where(F.col("trace").isin(1, 2, 3, 5, 8, 13)).select("trace", "sid", "label"))
 _add("jn05_lookup", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey", None)(lambda spark, d: table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name"))
@@ -93,11 +93,10 @@ _on("jn06_sentence_folds", "+g AS (SELECT DISTINCT task, trace FROM s), f AS (SE
 _on("jn07_default_lookup", "SELECT s.trace, s.sid, coalesce(j.tokens, -1) AS span FROM s LEFT JOIN (SELECT trace, sid, tokens FROM s WHERE label = 'JUDGE') j ON j.trace = s.trace AND j.sid = s.sid", lambda s: s.select("trace", "sid").join(s.where("label = 'JUDGE'").select("trace", "sid", F.col("tokens").alias("span")), ["trace", "sid"], "left").na.fill(-1, ["span"]))
 _add("jn12_not_yet_labelled", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)", None)(lambda spark, d: S.missing(_docs(spark, d).select("doc_id"), table(spark, d, "labels").select("doc_id"), ["doc_id"]))
 _on("gr02_acyclic", "SELECT n.trace, coalesce(bool_and(src < dst), true) AS acyclic FROM (SELECT DISTINCT trace FROM s) n LEFT JOIN e ON e.trace = n.trace GROUP BY n.trace", lambda s: G.shape(s).select("trace", "acyclic"), "d")
-_on("gr09_metric_row", None, lambda s: G.density(s).join(G.shape(s), "trace"), "d")
 
 # --- top lists and set operations
 
-_on("st03_most_flagged", "SELECT trace, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (judgement = 'unclear') AS unclear FROM s GROUP BY trace ORDER BY medium DESC, unclear DESC, trace DESC LIMIT 20", lambda s: s.groupBy("trace").agg(F.count_if(F.col("confidence") == "medium").alias("medium"), F.count_if(F.col("judgement") == "unclear").alias("unclear")).orderBy(F.desc("medium"), F.desc("unclear"), F.desc("trace")).limit(20))
+_on("st03_most_flagged", "SELECT trace, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (judgement = 'uncertain') AS uncertain FROM s GROUP BY trace ORDER BY medium DESC, uncertain DESC, trace DESC LIMIT 20", lambda s: s.groupBy("trace").agg(F.count_if(F.col("confidence") == "medium").alias("medium"), F.count_if(F.col("judgement") == "uncertain").alias("uncertain")).orderBy(F.desc("medium"), F.desc("uncertain"), F.desc("trace")).limit(20))
 _of("st04_reason_histogram", "tx13_cut_off_reasons", "SELECT r AS reason, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(string_split(reason, '+')) AS r, n FROM q) GROUP BY r", lambda q: q.select(F.explode(F.split("reason", r"\+")).alias("reason"), "n").groupBy("reason").agg(F.sum("n").alias("n")))
 _of("st05_top_confusions", "wn01_transitions", "SELECT from_label, to_label, n FROM q WHERE from_label <> to_label ORDER BY n DESC, from_label, to_label LIMIT 10", lambda q: q.where("from_label <> to_label").orderBy(F.desc("n"), "from_label", "to_label").limit(10))
 _of("st06_top_and_bottom", "ve05_centroid_cosines", "SELECT * FROM (SELECT 'top' AS side, a, b, cos FROM q ORDER BY cos DESC, a, b LIMIT 5) UNION ALL SELECT * FROM (SELECT 'bottom', a, b, cos FROM q ORDER BY cos, a, b LIMIT 3)", lambda q: q.orderBy(F.desc("cos"), "a", "b").limit(5).withColumn("side", F.lit("top")).unionByName(q.orderBy("cos", "a", "b").limit(3).withColumn("side", F.lit("bottom"))))
@@ -122,13 +121,13 @@ _add("ve07_span_means", "SELECT vec_id, round(list_avg(CAST(embedding AS DOUBLE[
 # --- projections and text
 
 _on("pj08_label_index", "SELECT trace, sid, CASE label " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(LABELS)) + " END::BIGINT AS k FROM s", lambda s: s.select("trace", "sid", F.create_map(*[F.lit(x) for kv in zip(LABELS, range(len(LABELS))) for x in kv])[F.col("label")].alias("k")))
-_on("pj09_groups", """+t AS (SELECT trace, any_value("set") AS "set", sum(tokens) AS k FROM s GROUP BY trace) SELECT "set" || CASE WHEN k > 400 THEN '_extended' ELSE '_standard' END AS grp, count(*) AS n FROM t GROUP BY 1""", lambda s: s.groupBy("trace").agg(F.first("set").alias("set"), F.sum("tokens").alias("k")).groupBy(F.concat("set", F.when(F.col("k") > 400, "_extended").otherwise("_standard")).alias("grp")).agg(F.count("*").alias("n")))
-_on("pj13_seeds", "SELECT DISTINCT trace, CASE WHEN \"set\" = 'a' THEN 0 ELSE 1000 END + task * 100 + trace AS seed FROM s", lambda s: s.select("trace", (F.when(F.col("set") == "a", 0).otherwise(1000) + F.col("task") * 100 + F.col("trace")).alias("seed")).distinct())
+_GROUP = "CASE WHEN \"set\" = 'a' THEN 'Set A' WHEN \"set\" = 'b' AND budget = 4096 THEN 'Set B (4096)' WHEN \"set\" = 'b' AND budget = 6144 THEN 'Set B (6144)' ELSE 'UNEXPECTED' END"
+_on("pj09_groups", f"SELECT {_GROUP} AS grp, count(DISTINCT trace) AS n FROM s GROUP BY 1", lambda s: s.groupBy(S.trace_group(F.col("set"), F.col("budget")).alias("grp")).agg(F.countDistinct("trace").alias("n")))
+_on("pj10_groups_and_unexpected", f"SELECT DISTINCT trace, {_GROUP} AS grp, {_GROUP} = 'UNEXPECTED' AS unexpected FROM s", lambda s: s.select("trace", S.trace_group(F.col("set"), F.col("budget")).alias("grp")).distinct().withColumn("unexpected", F.col("grp") == "UNEXPECTED"))
+_on("pj13_seeds", "SELECT DISTINCT trace, task * 1000 + CASE WHEN \"set\" = 'b' THEN 500 ELSE 0 END + trace AS seed, task * 1000 + 800 + trace AS steered_seed FROM s", lambda s: s.select("trace", S.seed(F.col("set"), F.col("task"), F.col("trace")).alias("seed"), S.steered_seed(F.col("task"), F.col("trace")).alias("steered_seed")).distinct())
 _on("pj18_safe_share", "SELECT trace, round(coalesce(100 * (count(*) FILTER (judgement = 'accept')) / nullif(count(judgement), 0), 0), 6)::DOUBLE AS pct FROM s GROUP BY trace", lambda s: s.groupBy("trace").agg(F.count_if(F.col("judgement") == "accept").alias("a"), F.count("judgement").alias("b")).select("trace", T.share(F.col("a"), F.col("b")).alias("pct")))
 _on("sc13_key_from_path", "SELECT DISTINCT trace, 'set_' || \"set\" || '/task' || task || '/trace_' || lpad(trace::VARCHAR, 3, '0') AS key FROM s", lambda s: s.select("trace", "set", "task").distinct().select("trace", S.key_from_path(F.concat(F.lit("file:/in/"), S.trace_key(F.col("set"), F.col("task"), F.col("trace")), F.lit(".json"))).alias("key")))
-_add("tx01_segments", None)(lambda spark, d: _docs(spark, d).select("doc_id", F.explode(T.segments(F.col("text"))).alias("x")).select("doc_id", "x.*"))
 _add("tx06_to_budget", "SELECT doc_id, CASE WHEN n_chars > 4096 THEN CAST(floor(length(text) * 4096.0::DOUBLE / n_chars) AS BIGINT) ELSE length(text) END AS n FROM documents", None)(lambda spark, d: _docs(spark, d).select("doc_id", F.length(T.to_budget(F.col("text"), F.col("n_chars"))).alias("n")))
 _on("tx14_cut_off_short", _CUT + "SELECT trace, sid FROM r WHERE cut AND tokens <= 8", lambda s: _texts(s).where(T.is_cut_off(F.col("text"), F.col("tokens"), 8)).select("trace", "sid"))
 _on("tx07_fragments", _TEXTS + " SELECT trace, sid, text FROM x WHERE tokens <= 2 AND regexp_matches(trim(text), '^([A-F0-9]\\.?|\\.)$')", lambda s: _texts(s).where(T.is_fragment(F.col("text"), F.col("tokens"))).select("trace", "sid", "text"))
 _add("tx21_answered", "SELECT conv_id, coalesce(bool_or(role = 'assistant' AND regexp_matches(text, '[^ \\t\\n\\r\\f\\v]')), false) AS answered FROM conversations GROUP BY conv_id", None)(lambda spark, d: table(spark, d, "conversations").groupBy("conv_id").agg(F.coalesce(F.bool_or((F.col("role") == "assistant") & (T.stripped(F.col("text")) != "")), F.lit(False)).alias("answered")))
-_add("tx25_loose_repetition", "WITH l AS (SELECT doc_id, text, length(text) AS n, length(text) - 50 AS m FROM documents) SELECT doc_id, m >= 0 AND coalesce(len(list_filter(range(0, greatest(m, 0) + 1, greatest(m // 500, 1)), lambda p: n - length(replace(text, substr(text, p + 1, 50), '')) >= 150)) > 0, false) AS found FROM l", None)(lambda spark, d: _docs(spark, d).select("doc_id", T.repeats(F.col("text"), 50, 3).alias("found")))

@@ -12,7 +12,8 @@ from tracelode.operators import rank_tests as R
 from tracelode.operators import sequence as Q
 from tracelode.operators import vectors as V
 from tracelode.plans.catalog import _PAIRED, _TEXTS, LIST, PHASES, A, _add, _docs, _on, _paired, _texts, _vecs
-from tracelode.plans.facts import LABELS, MACRO, table
+from tracelode.operators import responses as R_
+from tracelode.plans.facts import LABELS, table
 from tracelode.plans.more import _of
 from tracelode.sources import traces as S
 
@@ -68,47 +69,29 @@ _on("sk13_metric_rows", "SELECT trace, printf('%05d', count(*)) AS n, printf('%0
 _on("sk14_summary_json", """SELECT '{"n":' || count(*) || ',"traces":' || count(DISTINCT trace) || '}' AS payload FROM s""", lambda s: s.agg(F.count("*").alias("n"), F.countDistinct("trace").alias("traces")).select(F.to_json(F.struct("n", "traces")).alias("payload")))
 _on("sk16_output_check", _KEYS + ", h AS (SELECT DISTINCT trace FROM s WHERE label = 'HYPO') SELECT key, h.trace IS NOT NULL AS there FROM k LEFT JOIN h USING (trace)", lambda s: _keys(s).join(s.where("label = 'HYPO'").select("trace", F.lit(True).alias("_t")).distinct(), "trace", "left").select("key", F.coalesce("_t", F.lit(False)).alias("there")))
 
-# --- responses of a model
+# --- messages and their parts
 
-_REPLY = "+r AS (SELECT trace, sid, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE event_id END AS id, event_id % 4 = 0 AS lost FROM s)"
-
-
-def _replies(s: DataFrame) -> DataFrame:
-    """Responses of all forms: none, an empty array, a fenced one, one in a sentence."""
-    e = F.col("event_id")
-    item = F.concat(F.lit('[{"id": '), e.cast("string"), F.lit("}]"))
-    reply = F.when(e % 4 == 0, "I can't say.").when(e % 4 == 1, "[]").when(e % 4 == 2, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), item, F.lit(" as asked")))
-    return s.select("trace", "sid", T.json_array(reply, "array<struct<id:bigint>>").alias("items"))
-
-
-_on("tx23_response_arrays", _REPLY + " SELECT trace, sid, id FROM r WHERE id IS NOT NULL", lambda s: _replies(s).select("trace", "sid", F.explode("items.id").alias("id")))
-_on("sk08_dead_letters", _REPLY + " SELECT trace, sid FROM r WHERE lost", lambda s: _replies(s).where("items IS NULL").select("trace", "sid"))
-_on(
-    "ex10_results_by_type",
-    _REPLY + " SELECT CASE WHEN lost THEN 'errored' WHEN id IS NULL THEN 'empty' ELSE 'succeeded' END AS type, count(*) AS n FROM r GROUP BY 1",
-    lambda s: _replies(s).groupBy(F.when(F.col("items").isNull(), "errored").when(F.size("items") == 0, "empty").otherwise("succeeded").alias("type")).agg(F.count("*").alias("n")),
-)
-_on(
-    "pj23_validated_codings",
-    "SELECT trace, count(*) FILTER (label IN ('MONITOR', 'RULE')) AS invalid, count(*) FILTER (label = 'JUDGE' AND judgement = 'unclear') AS no_judgement, count(*) FILTER (coalesce(nullif(confidence, 'medium'), 'high') = 'high') AS sure FROM s GROUP BY trace",
-    lambda s: s.groupBy("trace").agg(
-        F.count_if(~F.col("label").isin(LABELS[:7])).alias("invalid"),
-        F.count_if((F.col("label") == "JUDGE") & F.nullif(F.col("judgement"), F.lit("unclear")).isNull()).alias("no_judgement"),
-        F.count_if(F.coalesce(F.nullif(F.col("confidence"), F.lit("medium")), F.lit("high")) == "high").alias("sure"),
-    ),
-)
 _add("pj16_numbered_turns", "SELECT conv_id, string_agg(turn || '. ' || coalesce(text, ''), chr(10) ORDER BY turn, text) AS message FROM conversations GROUP BY conv_id", None)(
     lambda spark, d: table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["turn"].cast("string"), F.lit(". "), x["text"])), "\n").alias("message"))
 )
-_add("pj11_thinking_and_answer", "SELECT doc_id, length(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS n_thinking, 'so ' || doc_id AS answer FROM documents WHERE text NOT LIKE '%think>%'", None)(
-    lambda spark, d: _docs(spark, d).where(~F.col("text").contains("think>")).withColumn("raw", F.concat(F.lit("<think>"), "text", F.lit("</think> so "), F.col("doc_id").cast("string"))).select("doc_id", F.length(T.thinking(F.col("raw"))).cast("bigint").alias("n_thinking"), T.answer(F.col("raw")).alias("answer"))
+_RAW = "CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN '<think>' || coalesce(text, '') || '</think> so ' || doc_id WHEN 2 THEN coalesce(text, '') || '</think> so </think> ' || doc_id ELSE '<think>' || coalesce(text, '') END"
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_add("pj11_thinking_and_answer", f"WITH r AS (SELECT doc_id, {_RAW} AS raw FROM documents), p AS (SELECT *, instr(raw, '</think>') AS z FROM r) SELECT doc_id, CASE WHEN z > 0 THEN length(trim(replace(substr(raw, 1, z - 1), '<think>', ''), {_WS})) END AS n_thinking, CASE WHEN z > 0 THEN trim(substr(raw, z + 8), {_WS}) END AS answer FROM p", None)(
+    lambda spark, d: _raw(spark, d).select("doc_id", F.length(T.thinking(F.col("raw"))).cast("bigint").alias("n_thinking"), T.answer(F.col("raw")).alias("answer"))
 )
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Generated text of four forms: without tags, with both, with a closing one alone and a second in the answer, never closed."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    closed = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<think>"), text, F.lit("</think> so "), k)).when(F.col("doc_id") % 4 == 2, F.concat(text, F.lit("</think> so </think> "), k))
+    return _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 4 == 0, text).when(F.col("doc_id") % 4 == 3, F.concat(F.lit("<think>"), text)).otherwise(closed).alias("raw"))
+
+
 _add("pj12_truncated", "SELECT doc_id, n_chars >= 4096 AS truncated FROM documents", None)(lambda spark, d: _docs(spark, d).select("doc_id", (F.col("n_chars") >= 4096).alias("truncated")))
-_add("tx28_length_mismatches", "SELECT doc_id, n_chars - length(text) AS off FROM documents WHERE abs(n_chars - length(text)) > 5", None)(
-    lambda spark, d: _docs(spark, d).select("doc_id", (F.col("n_chars") - F.length("text")).cast("bigint").alias("off")).where("abs(off) > 5")
+_add("tx28_length_mismatches", "SELECT conv_id, turn, length(text) - 5 * len(string_split(text, ' ')) AS off, abs(length(text) - 5 * len(string_split(text, ' '))) > 5 AS mismatch FROM conversations", None)(
+    lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") - 5 * F.size(F.split("text", " "))).cast("bigint").alias("off")).withColumn("mismatch", F.abs("off") > 5)
 )
-_on("tx10_guarded_merge", None, lambda s: C.merge_fragments(_texts(s), least=5))
-_on("tx22_segment_stages", None, lambda s: C.renumber(C.drop_cut_off_tail(C.merge_fragments(_texts(s), least=5).join(s.select("trace", "completed").distinct(), "trace"), F.col("completed"))))
 _on(
     "ag46_fragment_examples",
     _TEXTS + " SELECT text, count(*) AS n, min(trace * 1000000 + sid) AS first_at FROM x WHERE tokens <= 2 AND regexp_matches(trim(text), '^([A-F0-9]\\.?|\\.)$') GROUP BY text",
@@ -132,16 +115,11 @@ _on(
 _add("pj05_completed", "SELECT conv_id, turn, coalesce(regexp_matches(text, '[^ \\t\\n\\r\\f\\v]'), false) AS completed FROM conversations", None)(
     lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.length(T.stripped(F.col("text"))) > 0, F.lit(False)).alias("completed"))
 )
-_on("pj06_value_fix", "SELECT CASE judgement WHEN 'unclear' THEN 'undecided' ELSE judgement END AS judgement, count(*) AS n FROM s GROUP BY 1", lambda s: s.groupBy(F.when(F.col("judgement") == "unclear", "undecided").otherwise(F.col("judgement")).alias("judgement")).agg(F.count("*").alias("n")))
+_on("pj06_value_fix", "SELECT CASE specificity WHEN 'across_panel' THEN 'across_panels' ELSE specificity END AS specificity, count(*) AS n FROM s WHERE label = 'TEST' GROUP BY 1", lambda s: s.where("label = 'TEST'").groupBy(S.plural_panels(F.col("specificity")).alias("specificity")).agg(F.count("*").alias("n")))
 _on(
     "pj07_broad_labels",
-    "SELECT CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MACRO.items() if k != "MONITOR") + " ELSE 'UNKNOWN' END AS macro, count(*) AS n FROM s GROUP BY 1",
-    lambda s: s.groupBy(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MACRO.items() if kv[0] != "MONITOR" for x in kv]), F.col("label")), F.lit("UNKNOWN")).alias("macro")).agg(F.count("*").alias("n")),
-)
-_on(
-    "pj10_groups_and_unexpected",
-    "SELECT DISTINCT trace, CASE WHEN task IN (1, 2) THEN \"set\" || '_' || task ELSE 'unexpected' END AS grp FROM s",
-    lambda s: s.select("trace", F.when(F.col("task").isin(1, 2), F.concat_ws("_", "set", F.col("task").cast("string"))).otherwise("unexpected").alias("grp")).distinct(),
+    "+m AS (SELECT *, CASE WHEN label = 'RULE' AND event_id % 3 = 0 THEN 'other' ELSE label END AS micro FROM s) SELECT CASE micro WHEN 'ORIENT' THEN 'SETUP' WHEN 'DESCRIBE' THEN 'OBSERVE' WHEN 'SYNTHESIZE' THEN 'OBSERVE' WHEN 'HYPO' THEN 'INVESTIGATE' WHEN 'TEST' THEN 'INVESTIGATE' WHEN 'JUDGE' THEN 'INVESTIGATE' WHEN 'PLAN' THEN 'REGULATE' WHEN 'MONITOR' THEN 'REGULATE' WHEN 'RULE' THEN 'CONCLUDE' ELSE 'UNKNOWN' END AS macro, count(*) AS n FROM m GROUP BY 1",
+    lambda s: s.groupBy(R_.macro(F.when((F.col("label") == "RULE") & (F.col("event_id") % 3 == 0), "other").otherwise(F.col("label"))).alias("macro")).agg(F.count("*").alias("n")),
 )
 _NAME = "CASE trace % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN lower(label) || '_pos_' || tokens ELSE lower(label) || '_neg_' || tokens || '.5' END"
 
@@ -201,7 +179,6 @@ _add("jn16_layer_pairs", _HALVES + "p AS (SELECT a.label, list_cosine_similarity
     lambda spark, d: _layers(spark, d).select("label", F.round(V.cosine(F.col("v0"), F.col("v1")), 5).alias("cos"))
 )
 _on("jn17_keyed_pairs", _PAIRED + " SELECT trace, x, y, x - y AS shift FROM t", lambda s: _paired(s).select("trace", "x", "y", (F.col("x") - F.col("y")).alias("shift")))
-_on("gr08_longest_path", None, lambda s: G.shape(s).select("trace", "longest_path"), "d")
 _on("gr05_standard_errors", "SELECT label, count(*) AS n, round(stddev_samp(tokens) / sqrt(count(*)), 6) AS se FROM s GROUP BY label", lambda s: s.groupBy("label").agg(F.count("*").alias("n"), (F.stddev_samp("tokens") / F.sqrt(F.count("*"))).alias("se")))
 _on("ag37_stage_summary", "SELECT label, count(*) AS n, count(*) FILTER (len(depends_on) > 0) AS n_with, CAST(sum(len(depends_on)) AS BIGINT) AS n_deps FROM d GROUP BY label", lambda s: G.coverage(s).select("label", "n", "n_with", "n_deps"), "d")
 _of("wn14_longest_run_label", "wn13_longest_run", "SELECT trace, label FROM q", lambda q: q.select("trace", "label"))
@@ -213,24 +190,6 @@ def _stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
-_on("sx14_stars", None, lambda s: R.kruskal(s, "tokens", "task", 4).withColumn("stars", _stars(F.col("p"))))
-_GAPS = "abs(avg({0}) FILTER (\"set\" = 'a') - avg({0}) FILTER (\"set\" = 'b'))"
-_on(
-    "sx20_confound_verdict",
-    f"+g AS (SELECT task % 2 AS half, ({_GAPS.format('tokens')} > 0.1)::INT + ({_GAPS.format('length(label)')} > 0.05)::INT + ({_GAPS.format('completed::INT')} > 0.3)::INT AS flags FROM s GROUP BY half) SELECT half, flags::BIGINT AS flags, CASE WHEN flags IS NULL THEN 'UNKNOWN' WHEN flags = 0 THEN 'CLEAN' WHEN flags <= 1 THEN 'MINOR' ELSE 'CONFOUNDED' END AS verdict FROM g",
-    lambda s: _confounds(s),
-)
-
-
-def _confounds(s: DataFrame) -> DataFrame:
-    """How many attributes differ between the two sets, and what that means."""
-    rows = s.withColumn("chars", F.length("label")).withColumn("done", F.col("completed").cast("int"))
-    gap = lambda c: F.abs(F.avg(F.when(F.col("set") == "a", F.col(c))) - F.avg(F.when(F.col("set") == "b", F.col(c))))
-    flags = sum(((gap(c) > most).cast("int") for c, most in (("tokens", 0.1), ("chars", 0.05), ("done", 0.3))), F.lit(0))
-    out = rows.groupBy((F.col("task") % 2).alias("half")).agg(flags.alias("flags"))
-    return out.withColumn("verdict", F.when(F.col("flags").isNull(), "UNKNOWN").when(F.col("flags") == 0, "CLEAN").when(F.col("flags") <= 1, "MINOR").otherwise("CONFOUNDED"))
-
-
 _DIMS = f"WITH x AS (SELECT vec_id, label, unnest({_V}) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), z AS (SELECT i, avg(x) AS mean, stddev_pop(x) AS sd FROM x GROUP BY i) "
 
 
@@ -276,16 +235,8 @@ def _grid(spark: SparkSession) -> DataFrame:
     return out.drop("id")
 
 
-_CELL = '+c AS (SELECT "set", task, label, sum(tokens) AS score FROM s GROUP BY ALL)'
-_on("ml08_best_configuration", _CELL + ' SELECT "set", task, label, CAST(score AS BIGINT) AS score FROM c QUALIFY row_number() OVER (PARTITION BY "set", task ORDER BY score DESC, label DESC) = 1', lambda s: s.groupBy("set", "task", "label").agg(F.sum("tokens").alias("score")).groupBy("set", "task").agg(F.max_by("label", F.struct("score", "label")).alias("label"), F.max("score").alias("score")))
-_on("ml09_old_and_new", _CELL + ", k AS (SELECT label, CAST(sum(score) FILTER (\"set\" = 'a') AS BIGINT) AS old, CAST(sum(score) FILTER (\"set\" = 'b') AS BIGINT) AS new FROM c GROUP BY label) SELECT *, new - old AS change FROM k", lambda s: s.groupBy("label").agg(F.sum(F.when(F.col("set") == "a", F.col("tokens"))).alias("old"), F.sum(F.when(F.col("set") == "b", F.col("tokens"))).alias("new")).withColumn("change", F.col("new") - F.col("old")))
-_CHECKS = {"no_label": "label IS NULL", "unknown_label": "label = 'MONITOR'", "no_tokens": "tokens <= 0", "bad_place": "sid >= n", "no_task": "task IS NULL", "stray_antecedent": "antecedent IS NOT NULL AND label <> 'HYPO'", "late_antecedent": "antecedent >= sid"}
+_CHECKS = {"no_label": "label IS NULL", "unknown_label": "label NOT IN ('ORIENT', 'PLAN', 'DESCRIBE', 'SYNTHESIZE', 'HYPO', 'TEST', 'JUDGE', 'MONITOR', 'RULE')", "no_tokens": "tokens <= 0", "bad_place": "sid >= n", "no_task": "task IS NULL", "stray_antecedent": "antecedent IS NOT NULL AND label <> 'HYPO'", "late_antecedent": "antecedent >= sid"}
 _on("ml13_preparation_checks", " UNION ALL ".join(f'SELECT \'{k}\' AS "check", count(*) FILTER ({v}) AS n_issues FROM s' for k, v in _CHECKS.items()), lambda s: A.checks(s, {k: F.expr(v) for k, v in _CHECKS.items()}))
-_on(
-    "ml14_dose_response",
-    "SELECT label AS category, CASE trace % 3 WHEN 1 THEN tokens ELSE -(tokens + 0.5) END::DOUBLE AS dose, count(*) AS n, round(avg(value), 6) AS mean FROM s WHERE trace % 3 > 0 GROUP BY ALL",
-    lambda s: _conditions(s).where("c IS NOT NULL").groupBy("c.category", (F.col("c.direction") * F.col("c.alpha")).alias("dose")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")),
-)
 _on(
     "ex07_pilot_verdict",
     "SELECT task, CASE WHEN bool_and(tokens <= 12) AND count(DISTINCT label) >= 2 AND bool_and(label <> '') THEN 'GO' ELSE 'NO-GO' END AS verdict FROM s GROUP BY task",

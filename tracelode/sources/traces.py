@@ -41,6 +41,25 @@ def trace_key(set_: Column, task: Column, trace: Column) -> Column:
     return F.concat(F.lit("set_"), F.lower(set_), F.lit("/task"), task.cast("string"), F.lit("/trace_"), F.lpad(trace.cast("string"), 3, "0"))
 
 
+def trace_group(set_: Column, budget: Column) -> Column:
+    """A trace's group by set and token budget; fixed values."""
+    in_b = F.when(budget == 4096, "Set B (4096)").when(budget == 6144, "Set B (6144)").otherwise("UNEXPECTED")
+    return F.when(F.upper(set_) == "A", "Set A").when(F.upper(set_) == "B", in_b).otherwise("UNEXPECTED")
+
+
+def seed(set_: Column, task: Column, trace: Column) -> Column:
+    """The seed that a trace is generated with: thousands by task, the second set 500 on."""
+    return task * 1000 + F.when(F.upper(set_) == "A", 0).otherwise(500) + trace
+
+
+def plural_panels(specificity: Column) -> Column:
+    return F.when(specificity == "across_panel", "across_panels").otherwise(specificity)
+
+
+def steered_seed(task: Column, trace: Column) -> Column:
+    return task * 1000 + 800 + trace
+
+
 def key_from_path(path: Column) -> Column:
     return F.regexp_extract(path, r"(set_[a-z]/task\d+/trace_\d+)", 1)
 
@@ -93,7 +112,7 @@ def flatten(traces: DataFrame) -> DataFrame:
     return rows.select(
         "trace_key", "set", "task_id", "trace_id", "completed", F.col("s.sentence_id").alias("sentence_id"), F.col("s.text").alias("text"), F.col("s.token_count").alias("token_count"), "position_idx", "trace_length", at.alias("position_norm"),
         F.when(at <= 1 / 3, "early").when(at <= 2 / 3, "middle").otherwise("late").alias("position_third"), c["micro_label"].alias("micro_label"), c["macro_label"].alias("macro_label"), c["confidence"].alias("confidence"), c["test_context"].alias("test_context"),
-        F.when(c["specificity"] == "across_panel", "across_panels").otherwise(c["specificity"]).alias("specificity"), c["judgement"].alias("judgement"), c["depends_on"].alias("depends_on"), F.coalesce(F.size(c["depends_on"]), F.lit(0)).alias("n_dependencies"), c["hypo_status"].alias("hypo_status"), c["hypo_antecedent_sid"].alias("hypo_antecedent_sid"),
+        plural_panels(c["specificity"]).alias("specificity"), c["judgement"].alias("judgement"), c["depends_on"].alias("depends_on"), F.coalesce(F.size(c["depends_on"]), F.lit(0)).alias("n_dependencies"), c["hypo_status"].alias("hypo_status"), c["hypo_antecedent_sid"].alias("hypo_antecedent_sid"),
     )
 
 
