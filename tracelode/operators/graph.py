@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,31 +32,23 @@ def degree_by_label(rows: DataFrame) -> DataFrame:
     )
 
 
-def density(rows: DataFrame) -> DataFrame:
-    """(trace, n_nodes, n_edges, density)."""
-    per = rows.groupBy("trace").agg(F.count("*").alias("n_nodes")).join(edges(rows).groupBy("trace").agg(F.count("*").alias("n_edges")), "trace", "left").na.fill(0)
-    return per.withColumn("density", F.coalesce(F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), F.lit(0.0)))
+def collected(rows: DataFrame, *columns: str) -> DataFrame:
+    """(trace, nodes array<struct<sid, ...>>): a row a trace, in order of sid. Its size is that of a trace."""
+    return rows.groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("sid", *columns))).alias("nodes"))
 
 
-def _shape(part: pd.DataFrame) -> pd.DataFrame:
-    """Weak components, cycle, and longest path of one trace's graph; a cycle's nodes count as one."""
-    n = sorted(part["sid"])
-    at = {s: k for k, s in enumerate(n)}
-    out = [[at[d] for d in deps if d in at] for deps in part.set_index("sid").loc[n, "srcs"]]
-    group = list(range(len(n)))
+def density(rows: DataFrame) -> DataFrame:
+    """(trace, n_nodes, n_edges, density), from one pass over the collected traces."""
+    per = collected(rows, "depends_on").withColumn("sids", F.col("nodes.sid"))
+    many = F.aggregate("nodes", F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.size(F.array_intersect(x["depends_on"], F.col("sids"))), F.lit(0)))
+    per = per.select("trace", F.size("nodes").cast("bigint").alias("n_nodes"), many.alias("n_edges"))
+    return per.withColumn("density", F.coalesce(F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), F.lit(0.0)))
 
-    def root(k: int) -> int:
-        while group[k] != k:
-            group[k] = group[group[k]]
-            k = group[k]
-        return k
 
-    for k, deps in enumerate(out):
-        for d in deps:
-            group[root(k)] = root(d)
-    # Strong components by Tarjan, without recursion; they come out dependencies first.
-    index, low, on, stack, where, order = {}, {}, set(), [], {}, []
-    for start in range(len(n)):
+def _strong(out: list[list[int]]) -> list[list[int]]:
+    """Strong components by Tarjan, without recursion; they come out dependencies first."""
+    index, low, on, stack, order = {}, {}, set(), [], []
+    for start in range(len(out)):
         work = [] if start in index else [(start, iter(out[start]))]
         if work:
             index[start] = low[start] = len(index)
@@ -80,18 +74,91 @@ def _shape(part: pd.DataFrame) -> pd.DataFrame:
                     while not members or members[-1] != node:
                         members.append(stack.pop())
                         on.discard(members[-1])
-                        where[members[-1]] = len(order)
                     order.append(members)
+    return order
+
+
+def _indexed(nodes: list[dict]) -> list[list[int]]:
+    """The places of each node's dependencies among the nodes, each once; others are left out."""
+    place = {x["sid"]: k for k, x in enumerate(nodes)}
+    return [list(dict.fromkeys(place[d] for d in x["depends_on"] or () if d in place)) for x in nodes]
+
+
+def _shape(nodes: list[dict]) -> tuple[int, int, bool]:
+    """Weak components, longest path (a cycle's nodes count as one) and whether there is no cycle."""
+    out = _indexed(nodes)
+    group = list(range(len(out)))
+
+    def root(k: int) -> int:
+        while group[k] != k:
+            group[k] = group[group[k]]
+            k = group[k]
+        return k
+
+    for k, deps in enumerate(out):
+        for d in deps:
+            group[root(k)] = root(d)
+    components = len({root(k) for k in range(len(out))})
+    if all(d < k for k, deps in enumerate(out) for d in deps):  # every edge goes backwards: one pass in order
+        depth: list[int] = []
+        for deps in out:
+            depth.append(max((depth[d] + 1 for d in deps), default=0))
+        return components, max(depth, default=0), True
+    order = _strong(out)
+    where = {m: c for c, members in enumerate(order) for m in members}
     depth = []
     for c, members in enumerate(order):
         depth.append(max((depth[where[d]] + 1 for m in members for d in out[m] if where[d] != c), default=0))
-    cyclic = len(order) < len(n) or any(k in deps for k, deps in enumerate(out))
-    return pd.DataFrame({"trace": [part["trace"].iloc[0]], "n_components": [len({root(k) for k in range(len(n))})], "longest_path": [max(depth, default=0)], "acyclic": [not cyclic]})
+    return components, max(depth, default=0), len(order) == len(out) and not any(k in deps for k, deps in enumerate(out))
 
 
 def shape(rows: DataFrame) -> DataFrame:
-    """(trace, n_components, longest_path, acyclic). A trace's graph goes to one task: its size is that of a trace."""
-    return rows.select("trace", "sid", F.coalesce("depends_on", F.array().cast("array<bigint>")).alias("srcs")).groupBy("trace").applyInPandas(_shape, "trace bigint, n_components bigint, longest_path bigint, acyclic boolean")
+    """(trace, n_components, longest_path, acyclic): many traces of a batch in one call."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shape(nodes) for nodes in batch.column("nodes").to_pylist()]
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("trace"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_())))], ["trace", "n_components", "longest_path", "acyclic"])
+
+    return collected(rows, "depends_on").mapInArrow(run, "trace bigint, n_components bigint, longest_path bigint, acyclic boolean")
+
+
+def metric_row(rows: DataFrame) -> DataFrame:
+    """The twelve columns of a trace's graph: what it is of, size, density, components, longest path, mean and most of dependencies declared, most of references."""
+    about = rows.groupBy("trace").agg(*[F.first(c).alias(c) for c in ("task", "set", "completed")])
+    per = degrees(rows).groupBy("trace").agg(F.round(F.avg("n_declared"), 3).alias("mean_declared"), F.max("n_declared").alias("most_declared"), F.max("n_referenced_by").alias("most_referenced_by"))
+    return about.join(density(rows), "trace").join(shape(rows).drop("acyclic"), "trace").join(per, "trace")
+
+
+def simple_cycles(rows: DataFrame) -> DataFrame:
+    """(trace, cycle array<bigint>): every simple cycle of a trace's graph, from its smallest node on along dependencies. Only strong components are searched."""
+
+    def search(nodes: list[dict]) -> list[list[int]]:
+        out, found = _indexed(nodes), []
+        for members in _strong(out):
+            inside = set(members)
+            for start in sorted(members):
+                path, work = [start], [iter(out[start])]
+                while work:
+                    for d in work[-1]:
+                        if d == start:
+                            found.append([nodes[k]["sid"] for k in path])
+                        elif d in inside and d > start and d not in path:
+                            path.append(d)
+                            work.append(iter(out[d]))
+                            break
+                    else:
+                        work.pop()
+                        path.pop()
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, c) for t, nodes in zip(batch.column("trace").to_pylist(), batch.column("nodes").to_pylist()) for c in search(nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.list_(pa.int64()))], ["trace", "cycle"])
+
+    return collected(rows, "depends_on").mapInArrow(run, "trace bigint, cycle array<bigint>")
 
 
 def distances(rows: DataFrame) -> DataFrame:
@@ -116,19 +183,22 @@ def hypothesis_cycles(rows: DataFrame) -> DataFrame:
 
 
 def chains(rows: DataFrame) -> DataFrame:
-    """(trace, root, length): from every HYPO without antecedent along first children; by doubling, so log2(length) joins.
-
-    Pointers are next child and steps to it; each round a pointer jumps to its target's target.
-    """
-    hypo = rows.where("label = 'HYPO'").select("trace", "sid", F.col("antecedent").alias("up"))
-    child = hypo.where("up IS NOT NULL AND up < sid").groupBy("trace", "up").agg(F.min("sid").alias("next"))
-    ptr = hypo.select("trace", "sid").join(child.withColumnRenamed("up", "sid"), ["trace", "sid"], "left").withColumn("steps", F.when(F.col("next").isNotNull(), 1).otherwise(0))
-    most = child.groupBy("trace").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
-    for _ in range(int(most).bit_length()):
-        far = ptr.select("trace", F.col("sid").alias("next"), F.col("next").alias("far"), F.col("steps").alias("more"))
-        ptr = ptr.join(far, ["trace", "next"], "left").select("trace", "sid", F.col("far").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-    roots = hypo.where("up IS NULL").select("trace", "sid")
-    return ptr.join(roots, ["trace", "sid"], "left_semi").select("trace", F.col("sid").alias("root"), (F.col("steps") + 1).cast("bigint").alias("length"))
+    """(trace, root, length): from every HYPO without antecedent along first children, in one pass over each collected trace."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for trace, nodes in zip(batch.column("trace").to_pylist(), batch.column("nodes").to_pylist()):
+                child, length = {}, {}
+                for x in reversed(nodes):  # a child comes after its antecedent, so it is done first
+                    length[x["sid"]] = 1 + length.get(child.get(x["sid"]), 0)
+                    if x["antecedent"] is not None and x["antecedent"] < x["sid"]:
+                        child[x["antecedent"]] = x["sid"]
+                found += [(trace, x["sid"], length[x["sid"]]) for x in nodes if x["antecedent"] is None]
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["trace", "root", "length"])
+
+    return collected(rows.where("label = 'HYPO'"), "antecedent").mapInArrow(run, "trace bigint, root bigint, length bigint")
 
 
 def provenance(rows: DataFrame) -> DataFrame:

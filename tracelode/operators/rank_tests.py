@@ -16,8 +16,18 @@ def ranked(rows: DataFrame, value: str, group: str) -> DataFrame:
     """(group, value, n, ties, rank): counts of a group's values with their average rank over all groups."""
     cells = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
     ties = cells.groupBy("v").agg(F.sum("n").alias("ties"))
-    below = F.sum("ties").over(Window.orderBy("v")) - F.col("ties")
-    return cells.join(ties.withColumn("rank", below + (F.col("ties") + 1) / 2), "v")
+    return cells.join(_below(ties).withColumn("rank", F.col("below") + (F.col("ties") + 1) / 2).drop("below"), "v")
+
+
+def _below(ties: DataFrame, ranges: int = 64) -> DataFrame:
+    """ties (v, ties) with the sum of ties over smaller v: in ranges between approximate quantiles, so that no task sorts all values."""
+    bounds = sorted(set(ties.select(F.col("v").cast("double").alias("v")).approxQuantile("v", [k / ranges for k in range(1, ranges)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("v"))) if bounds else F.lit(0)
+    ranged = ties.withColumn("part", part)
+    own = F.sum("ties").over(Window.partitionBy("part").orderBy("v")) - F.col("ties")
+    totals = ranged.groupBy("part").agg(F.sum("ties").alias("n"))
+    lower = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("lower"))  # a row a range
+    return ranged.withColumn("own", own).join(F.broadcast(lower), "part").select("v", "ties", (F.col("own") + F.col("lower")).alias("below"))
 
 
 def chi2_tail(x: Column, df: int) -> Column:

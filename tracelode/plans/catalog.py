@@ -144,7 +144,7 @@ _on("ag31_macro_average", "+t AS (SELECT trace, count(*) AS k FROM s GROUP BY tr
 _on("ag32_robust", "+q AS (SELECT task, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM s GROUP BY task) SELECT task, n, round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, round(q1 - 1.5 * (q3 - q1), 6)::DOUBLE AS low, round(q3 + 1.5 * (q3 - q1), 6)::DOUBLE AS high FROM q", lambda s: A.robust(s, "task", "value"))
 _on("ag33_class_weights", f"+c AS (SELECT label, count(*) AS n FROM s GROUP BY label) SELECT l AS label, coalesce(round((SELECT sum(n) FROM c) / (9 * n)::DOUBLE, 3), 1) AS weight FROM (VALUES {LIST}) v(l, o) LEFT JOIN c ON c.label = l", lambda s: A.class_weights(s, LABELS))
 _on("ag34_fold_by_label", "+f AS (SELECT task, trace, (row_number() OVER (PARTITION BY task ORDER BY md5(CAST(trace AS VARCHAR)), trace) - 1) % 5 AS fold FROM (SELECT DISTINCT task, trace FROM s)) SELECT fold, " + _cols + " FROM s JOIN f USING (task, trace) GROUP BY fold", lambda s: A.contingency(s.join(V.group_folds(s, "task", "trace"), ["task", "trace"]), "fold", LABELS))
-_add("ag35_cost", "WITH t AS (SELECT conv_id, sum(CASE WHEN role <> 'assistant' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) ELSE 0 END)::BIGINT AS tokens_in, sum(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) ELSE 0 END)::BIGINT AS tokens_out FROM conversations GROUP BY conv_id) SELECT *, round((tokens_in * 1.5::DOUBLE + tokens_out * 7.5::DOUBLE) / 1000000, 6) AS cost, round((tokens_in * 3.0::DOUBLE + tokens_out * 15.0::DOUBLE) / 1000000, 6) AS full_cost FROM t", None)(lambda spark, d: _costs(table(spark, d, "conversations")))
+_add("ag35_cost", "WITH t AS (SELECT conv_id, sum(CASE WHEN role <> 'assistant' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) ELSE 0 END)::BIGINT AS tokens_in, sum(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) ELSE 0 END)::BIGINT AS tokens_out FROM conversations GROUP BY conv_id) SELECT *, round((tokens_in * 1.5::DOUBLE + tokens_out * 7.5::DOUBLE) / 1000, 6) AS cost, round((tokens_in * 3.0::DOUBLE + tokens_out * 15.0::DOUBLE) / 1000, 6) AS full_cost FROM t", None)(lambda spark, d: _costs(table(spark, d, "conversations")))
 #: Published shares of eight domains, in the table's order; the two that are told apart there and not here come together.
 DOMAINS = {"problem_setup": 0.024, "plan_generation": 0.155, "fact_retrieval": 0.201, "active_computation": 0.327, "uncertainty_management": 0.140, "result_consolidation": 0.101, "self_checking": 0.045, "final_answer_emission": 0.007}
 _on("ag36_macro_domains", """+m AS (SELECT CASE WHEN label = 'ORIENT' THEN 'problem_setup' WHEN label IN ('HYPO', 'PLAN') THEN 'plan_generation' WHEN label = 'DESCRIBE' THEN 'fact_retrieval' WHEN label = 'TEST' THEN 'active_computation' WHEN label = 'MONITOR' OR judgement IN ('reject', 'uncertain') THEN 'uncertainty_management+self_checking' WHEN label = 'SYNTHESIZE' OR judgement = 'accept' THEN 'result_consolidation' WHEN label = 'RULE' THEN 'final_answer_emission' END AS domain, 1.0 / count(*) OVER () AS w FROM s),
@@ -184,11 +184,11 @@ _on("ex03_condition_grid", "SELECT 'baseline' AS condition, NULL::VARCHAR AS cat
 
 
 def _costs(turns: DataFrame) -> DataFrame:
-    """Words sent and answered, and what a batch of them costs a million: $1.50 in and $7.50 out, twice that outside of a batch; fixed values."""
+    """Words sent and answered, and what they cost in thousandths of a dollar: a million are $1.50 in and $7.50 out in a batch, twice that outside; fixed values."""
     words = T.word_count(F.coalesce("text", F.lit("")))
     said = lambda own: F.sum(F.when(own, words).otherwise(0)).cast("bigint")
     out = turns.groupBy("conv_id").agg(said(F.col("role") != "assistant").alias("tokens_in"), said(F.col("role") == "assistant").alias("tokens_out"))
-    price = lambda a, b: (F.col("tokens_in") * a + F.col("tokens_out") * b) / 1e6
+    price = lambda a, b: (F.col("tokens_in") * a + F.col("tokens_out") * b) / 1e3
     return out.withColumn("cost", price(1.5, 7.5)).withColumn("full_cost", price(3.0, 15.0))
 
 
@@ -296,7 +296,7 @@ _vecs = lambda spark, d: table(spark, d, "embeddings")
 _V = "CAST(embedding AS DOUBLE[])"
 _add("ve03_norms", f"SELECT vec_id, round(sqrt(list_dot_product({_V}, {_V})), 5) AS norm FROM embeddings", None)(lambda spark, d: _vecs(spark, d).select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm")))
 _add("ve05_centroid_cosines", "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS v FROM m GROUP BY label) SELECT p.label::BIGINT AS a, q.label::BIGINT AS b, round(list_cosine_similarity(p.v, q.v), 5) AS cos FROM c p JOIN c q ON p.label < q.label", None)(lambda spark, d: V.pair_cosines(V.centroids(_vecs(spark, d), "label", "embedding"), "label", "centroid").select("a", "b", F.round("cos", 5).alias("cos")))
-_add("wn21_status", f"WITH p AS (SELECT a.label, a.vec_id AS sid, b.vec_id AS earlier, list_cosine_similarity(a.v, b.v) AS c FROM (SELECT *, {_V} AS v FROM embeddings) a JOIN (SELECT *, {_V} AS v FROM embeddings) b ON a.label = b.label AND b.vec_id < a.vec_id), t AS (SELECT label, sid, max(c) AS best FROM p GROUP BY ALL) SELECT e.label::BIGINT AS label, vec_id AS sid, round(best, 5) AS best, CASE WHEN best >= 0.9 THEN 'repeated' WHEN best >= 0.7 THEN 'revised' ELSE 'novel' END AS status FROM embeddings e LEFT JOIN t ON t.label = e.label AND t.sid = e.vec_id", None)(lambda spark, d: V.status_by_similarity(_vecs(spark, d), "label", "vec_id", "embedding").select("label", "sid", F.round("best", 5).alias("best"), "status"))
+_add("wn21_status", f"WITH v AS (SELECT vec_id // 50 AS trace, vec_id AS sid, {_V} AS v FROM embeddings), p AS (SELECT a.trace, a.sid, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.trace = b.trace AND b.sid < a.sid), t AS (SELECT trace, sid, max(c) AS best FROM p GROUP BY ALL) SELECT v.trace, v.sid, round(best, 5) AS best, CASE WHEN best >= 0.9 THEN 'repeated' WHEN best >= 0.7 THEN 'revised' ELSE 'novel' END AS status FROM v LEFT JOIN t ON t.trace = v.trace AND t.sid = v.sid", None)(lambda spark, d: V.status_by_similarity(_vecs(spark, d).withColumn("trace", F.floor(F.col("vec_id") / 50)), "trace", "vec_id", "embedding").select("trace", "sid", F.round("best", 5).alias("best"), "status"))
 _add("ve08_vector_checks", "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_size, count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS not_finite, count(*) FILTER (list_dot_product(embedding, embedding) = 0) AS zero FROM embeddings", None)(lambda spark, d: _vecs(spark, d).agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != 64).alias("wrong_size"), F.count_if(F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("not_finite"), F.count_if(V.norm(F.col("embedding")) == 0).alias("zero")))
 
 # --- keyed pairs of conditions, trees of orders, streams as batches

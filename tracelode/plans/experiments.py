@@ -1,0 +1,188 @@
+"""Queries of graphs, tests, probes and steering: shapes and cycles of dependency graphs, post-hoc tests, scores by group, shifts by condition."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelode.functions import text as T
+from tracelode.operators import agreement as K
+from tracelode.operators import graph as G
+from tracelode.operators import rank_tests as R
+from tracelode.operators import steering as E
+from tracelode.operators import vectors as V
+from tracelode.plans.catalog import _RANK, _add, _docs, _on, _vecs
+from tracelode.plans.facts import LABELS, table
+
+# --- graphs: depths and components are folded over a trace's nodes in order
+
+_FOLD = """+g AS (SELECT trace, list([x FOR x IN depends_on IF x < n AND x >= 0] ORDER BY sid) AS deps, count(*) AS n_nodes, any_value(task) AS task, any_value("set") AS "set", any_value(completed) AS completed FROM d GROUP BY trace),
+z AS (SELECT *, list_reduce(list_prepend([]::BIGINT[], deps), lambda acc, e: list_append(acc, coalesce(list_max(list_transform(e, lambda x: acc[x + 1])) + 1, 0))) AS depth,
+  list_reduce(list_prepend([]::BIGINT[], deps), lambda acc, e: list_append(list_transform(acc, lambda y: CASE WHEN list_contains(list_transform(e, lambda x: acc[x + 1]), y) THEN len(acc) ELSE y END), len(acc))) AS part FROM g) """
+_on("gr07_components", _FOLD + "SELECT trace, len(list_distinct(part))::BIGINT AS n_components FROM z", lambda s: G.shape(s).select("trace", "n_components"), "d")
+_on("gr08_longest_path", _FOLD + "SELECT trace, list_max(depth) AS longest_path FROM z", lambda s: G.shape(s).select("trace", "longest_path"), "d")
+_on(
+    "gr09_metric_row",
+    _FOLD + ", q AS (SELECT trace, round(avg(n_declared), 3) AS mean_declared, max(n_declared) AS most_declared, max(n_referenced_by) AS most_referenced_by, sum(n_declared)::BIGINT AS n_edges FROM deg GROUP BY trace) SELECT z.trace, task, \"set\", completed, n_nodes, n_edges, round(n_edges / (n_nodes * (n_nodes - 1)), 6) AS density, len(list_distinct(part))::BIGINT AS n_components, list_max(depth) AS longest_path, mean_declared, most_declared, most_referenced_by FROM z JOIN q USING (trace)",
+    G.metric_row, "d",
+)
+
+
+def _tangled(d: DataFrame) -> DataFrame:
+    """Dependencies with one that points forward in every fourth trace: from sentence 2 on sentence 6."""
+    forward = (F.col("sid") == 2) & (F.col("trace") % 4 == 0) & (F.col("n") > 8)
+    return d.withColumn("depends_on", F.when(forward, F.array_union("depends_on", F.array(F.lit(6).cast("bigint")))).otherwise(F.col("depends_on")))
+
+
+_on(
+    "gr03_simple_cycles",
+    "+p AS (WITH RECURSIVE p AS (SELECT trace, 6::BIGINT AS pos, [2, 6]::BIGINT[] AS path FROM d WHERE sid = 2 AND trace % 4 = 0 AND n > 8 UNION ALL SELECT p.trace, e.src, list_append(path, e.src) FROM p JOIN e ON e.trace = p.trace AND e.dst = p.pos WHERE e.src >= 2 AND p.pos <> 2) SELECT * FROM p) SELECT trace, array_to_string(path[:-2], ',') AS cycle FROM p WHERE pos = 2",
+    lambda s: G.simple_cycles(_tangled(s)).select("trace", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle")), "d",
+)
+
+# --- tests: the published erfc fit, once more
+
+_T = "(1 / (1 + ({0}) / sqrt(2) / 2))"
+_COEF = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def _tail(z: str) -> str:
+    t = _T.format(z)
+    poly = " + ".join(f"({c})::DOUBLE * {t} ** {k}" for k, c in enumerate(_COEF))
+    return f"({t} * exp(-({z}) * ({z}) / 2 + {poly}) / 2)"
+
+
+_on(
+    "sx10_dunn",
+    f"+x AS (SELECT task AS g, tokens AS v FROM s), {_RANK}, q AS (SELECT g, avg(r)::DOUBLE AS m, count(*)::DOUBLE AS c FROM k GROUP BY g), w AS (SELECT a.g AS a, b.g AS b, abs(a.m - b.m) / sqrt((n * (n + 1) / 12 - tie / (12 * (n - 1))) * (1 / a.c + 1 / b.c)) AS z, (SELECT count(*) * (count(*) - 1) / 2 FROM q) AS tests FROM q a JOIN q b ON a.g < b.g, n, c) SELECT a, b, round(z, 5) AS z, round(least(2 * {_tail('z')} * tests, 1), 5)::DOUBLE AS p FROM w",
+    lambda s: R.dunn(s, "tokens", "task").select("a", "b", F.round("z", 5).alias("z"), F.round("p", 5).alias("p")),
+)
+
+
+def stars(p: Column) -> Column:
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+_on(
+    "sx14_stars",
+    f"+x AS (SELECT task AS g, tokens AS v FROM s), {_RANK}, q AS (SELECT sum(r)::DOUBLE AS r, count(*)::DOUBLE AS m FROM k GROUP BY g), h AS (SELECT (12 / (n * (n + 1)) * (SELECT sum(r * r / m) FROM q) - 3 * (n + 1)) / (1 - tie / (n * n * n - n)) AS h FROM n, c), p AS (SELECT h, 2 * {_tail('sqrt(h)')} + exp(-h / 2) * sqrt(h / 2) / (sqrt(pi()) / 2) AS p FROM h) SELECT round(h, 5) AS h, round(p, 5) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM p",
+    lambda s: R.kruskal(s, "tokens", "task", 4).select(F.round("h", 5).alias("h"), F.round("p", 5).alias("p"), stars(F.col("p")).alias("stars")),
+)
+
+# --- whether two groups of texts are alike
+
+_PARTS = "list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"
+_add(
+    "sx20_confound_verdict",
+    f"""WITH p AS (SELECT doc_id, lang, text, {_PARTS} AS p FROM documents), t AS (SELECT lang, doc_id % 2 AS half, list_avg(list_transform(p, lambda x: length(x))) AS chars, list_avg(list_transform(p, lambda x: len(regexp_extract_all(x, '[^ \t\n\r\f\v]+')))) AS words, 100 * (length(text) > 2000)::INT AS long FROM p WHERE len(p) > 0),
+    g AS (SELECT lang, abs(avg(words) FILTER (half = 0) - avg(words) FILTER (half = 1)) AS words, abs(avg(chars) FILTER (half = 0) - avg(chars) FILTER (half = 1)) AS chars, abs(avg(long) FILTER (half = 0) - avg(long) FILTER (half = 1)) AS points FROM t GROUP BY lang)
+    SELECT lang, (coalesce(words > 5, false)::INT + coalesce(chars > 30, false)::INT + coalesce(points > 30, false)::INT)::BIGINT AS flags, CASE coalesce(words > 5, false)::INT + coalesce(chars > 30, false)::INT + coalesce(points > 30, false)::INT WHEN 0 THEN 'COMPARABLE' WHEN 1 THEN 'MINOR DIFFERENCES' ELSE 'CONFOUNDED' END AS verdict FROM g""",
+    None,
+)(lambda spark, d: _confounds(spark, d))
+
+
+def _confounds(spark: SparkSession, d: str) -> DataFrame:
+    parts = _docs(spark, d).select("lang", (F.col("doc_id") % 2).alias("half"), "text", T.sentences(F.col("text")).alias("p")).where(F.size("p") > 0)
+    mean = lambda of: F.aggregate("p", F.lit(0.0), lambda s, x: s + of(x)) / F.size("p")
+    rows = parts.select("lang", "half", mean(T.word_count).alias("words"), mean(F.length).alias("chars"), (100 * (F.length("text") > 2000).cast("int")).alias("points"))
+    return E.confound_verdict(rows, "lang", "half", 0, 1)
+
+
+# --- scores by group
+
+_LABELLED = "WITH c AS (SELECT d.source AS source, d.lang AS lang, d.doc_id % 2 AS half, quality AS a, toxic AS b FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
+_MACRO = "k AS (SELECT {0}, a, b, count(*) AS k FROM c GROUP BY ALL), u AS (SELECT {0}, a AS label, k AS t, 0 AS p, CASE WHEN a = b THEN k ELSE 0 END AS c FROM k UNION ALL SELECT {0}, b, 0, k, 0 FROM k), f AS (SELECT {0}, label, sum(t) AS t, sum(c) AS c, coalesce(2 * sum(c) / nullif(sum(t) + sum(p), 0), 0) AS f1 FROM u GROUP BY {0}, label), g AS (SELECT {0}, sum(t)::BIGINT AS n, avg(f1) AS macro_f1, sum(f1 * t) / sum(t) AS weighted_f1, sum(c) / sum(t) AS accuracy FROM f GROUP BY {0})"
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("doc_id", "source", "lang", (F.col("doc_id") % 2).alias("half"))
+    return table(spark, d, "labels").join(docs, "doc_id").select("source", "lang", "half", F.col("quality").alias("a"), F.col("toxic").alias("b"))
+
+
+_add("ml10_scores_by_group", _LABELLED + ", " + _MACRO.format("lang, half") + " SELECT lang, half, n, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(accuracy, 6) AS accuracy FROM g", None)(lambda spark, d: K.grouped_scores(_labelled(spark, d), ["lang", "half"]))
+_add("ml08_best_configuration", _LABELLED + ", " + _MACRO.format("lang, source") + " SELECT lang, source, round(macro_f1, 6) AS macro_f1 FROM g QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(macro_f1, 9) DESC, source DESC) = 1", None)(
+    lambda spark, d: K.grouped_scores(_labelled(spark, d), ["lang", "source"]).groupBy("lang").agg(F.max_by("source", F.struct(F.round("macro_f1", 9), "source")).alias("source"), F.max("macro_f1").alias("macro_f1"))
+)
+_add("ml09_old_and_new", _LABELLED + ", " + _MACRO.format("lang, half") + " SELECT o.lang, round(o.macro_f1, 6) AS old, round(w.macro_f1, 6) AS new, round(w.macro_f1 - o.macro_f1, 6) + 0.0 AS change FROM g o JOIN g w ON o.lang = w.lang AND o.half = 0 AND w.half = 1", None)(lambda spark, d: _old_and_new(K.grouped_scores(_labelled(spark, d), ["lang", "half"])))
+
+
+def _old_and_new(scores: DataFrame) -> DataFrame:
+    of = lambda half: F.max(F.when(F.col("half") == half, F.col("macro_f1")))
+    return scores.groupBy("lang").agg(of(0).alias("old"), of(1).alias("new")).where("old IS NOT NULL AND new IS NOT NULL").withColumn("change", F.col("new") - F.col("old"))
+
+
+# --- probes over the vectors: folds by groups of ten
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    rows = _vecs(spark, d).withColumn("g", F.floor(F.col("vec_id") / 10)).withColumn("all", F.lit(1))
+    return rows.join(V.group_folds(rows, "all", "g"), ["all", "g"])
+
+
+_add("ml04_probe", None)(lambda spark, d: V.cross_validated(_folded(spark, d), "embedding", "label", "fold"))
+
+
+def _sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Train and test only, a row for each penalty with its own bound on iterations."""
+    rows, found = _folded(spark, d).cache(), []
+    train, test = rows.where("fold <> 0"), rows.where("fold = 0")
+    for c, most in ((0.01, 100), (1.0, 20)):
+        probe = V.Probe(train, "embedding", "label", c, most)
+        r = K.overall_scores(probe.said(test)).first()
+        found.append((c, most, int(probe.rounds), probe.converged, r.macro_f1, r.weighted_f1, r.accuracy))
+    return spark.createDataFrame(found, "c double, most bigint, rounds bigint, converged boolean, macro_f1 double, weighted_f1 double, accuracy double")
+
+
+_add("ml05_sweep", None)(_sweep)
+
+
+def _by_strategy(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of each strategy on the test fold and on all folds, from one probe."""
+    rows = _folded(spark, d).withColumn("strategy", F.element_at(F.array(*map(F.lit, ("full", "scan_test", "direct"))), (F.col("g") % 3 + 1).cast("int")))
+    said = V.Probe(rows.where("fold <> 0"), "embedding", "label", 0.01, 50).said(rows)
+    split = F.explode(F.when(F.col("fold") == 0, F.array(F.lit("test"), F.lit("all_folds"))).otherwise(F.array(F.lit("all_folds"))))
+    return K.grouped_scores(said.withColumn("split", split), ["strategy", "split"])
+
+
+_add("ml10_probe_by_strategy", None)(_by_strategy)
+_add(
+    "ve09_strategy_distances",
+    "WITH x AS (SELECT label, vec_id % 3 AS s, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i, vec_id FROM embeddings), m AS (SELECT label, s, i, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL), c AS (SELECT label, s, list(m ORDER BY i) AS v, max(n) AS n FROM m GROUP BY label, s) SELECT p.label::BIGINT AS label, p.s AS one, q.s AS two, round(list_cosine_similarity(p.v, q.v), 5) AS cos, round(list_distance(p.v, q.v), 5) AS distance FROM c p JOIN c q ON p.label = q.label AND p.s < q.s WHERE p.n >= 5 AND q.n >= 5",
+    None,
+)(lambda spark, d: V.strategy_distances(_vecs(spark, d).withColumn("strategy", F.col("vec_id") % 3), "label", "strategy", "embedding").select("label", "one", "two", F.round("cos", 5).alias("cos"), F.round("distance", 5).alias("distance")))
+
+# --- steering: a trace has a condition, which sets its labels' shares against those of the baseline
+
+_STEERED = "CASE WHEN trace % 3 = 0 THEN 'baseline' ELSE lower(list_extract(['HYPO', 'TEST', 'JUDGE', 'MONITOR', 'PLAN'], trace % 5 + 1)) || CASE WHEN trace % 3 = 1 THEN '_pos_' ELSE '_neg_' END || list_extract(['0.5', '1.0', '1.5'], trace % 4 % 3 + 1) END"
+_SHIFTS = f"""+w AS (SELECT trace, {_STEERED} AS condition, count(*) AS n FROM s GROUP BY trace), l AS (SELECT w.trace, condition, v.l AS label, (SELECT count(*) FROM s WHERE s.trace = w.trace AND s.label = v.l) / n AS share FROM w, (SELECT unnest({LABELS}) AS l) v),
+e AS (SELECT condition, label, count(*) AS n, avg(share) AS mean, avg(share) - (SELECT avg(share) FROM l b WHERE b.condition = 'baseline' AND b.label = l.label) AS shift FROM l WHERE condition <> 'baseline' GROUP BY condition, label),
+c AS (SELECT *, upper(string_split(condition, '_')[1]) AS category, CASE string_split(condition, '_')[2] WHEN 'pos' THEN 1 ELSE -1 END AS direction, string_split(condition, '_')[3]::DOUBLE AS alpha FROM e) """
+
+
+def _effects(s: DataFrame) -> DataFrame:
+    t = F.col("trace")
+    category = F.element_at(F.array(*map(F.lit, ("HYPO", "TEST", "JUDGE", "MONITOR", "PLAN"))), (t % 5 + 1).cast("int"))
+    alpha = F.element_at(F.array(*map(F.lit, ("0.5", "1.0", "1.5"))), (t % 4 % 3 + 1).cast("int"))
+    name = F.when(t % 3 == 0, "baseline").otherwise(F.concat(F.lower(category), F.when(t % 3 == 1, "_pos_").otherwise("_neg_"), alpha))
+    return E.effects(s.withColumn("condition", name), LABELS)
+
+
+_on("ag39_condition_shifts", _SHIFTS + "SELECT condition, label, n, round(mean, 6) AS mean, round(shift, 6) AS shift FROM c", lambda s: _effects(s).select("condition", "label", "n", "mean", "shift"))
+_on("ml14_dose_response", _SHIFTS + "SELECT category, direction * alpha AS dose, n, round(mean, 6) AS mean, round(shift, 6) AS shift FROM c WHERE label = category", lambda s: E.dose_response(_effects(s)))
+_on("ml14_shift_matrix", _SHIFTS + "SELECT category || CASE direction WHEN 1 THEN '+' ELSE '-' END AS steered, " + ", ".join(f"round(max(shift) FILTER (label = '{x}'), 6) AS \"{x}\"" for x in LABELS) + " FROM c WHERE alpha = 1.0 GROUP BY ALL", lambda s: E.shift_matrix(_effects(s), LABELS, 1.0))
+_on("ml14_diagonal_dominance", _SHIFTS + "SELECT category, arg_max(label, (round(shift, 9), label)) AS most_shifted, arg_max(label, (round(shift, 9), label)) = category AS dominant FROM c WHERE alpha = 1.0 AND direction = 1 GROUP BY category", lambda s: E.diagonal_dominance(_effects(s), 1.0))
+_on(
+    "jn18_probe_and_steering",
+    _SHIFTS + ", f AS (SELECT label, avg((confidence = 'high')::INT) * CASE WHEN label IN ('HYPO', 'TEST') THEN 0.5 ELSE 1 END AS f1 FROM s GROUP BY label) SELECT f.label AS category, round(f1, 6)::DOUBLE AS f1, round(shift, 6) AS shift FROM f LEFT JOIN c ON c.category = f.label AND c.label = f.label AND direction = 1 AND alpha = 1.0",
+    lambda s: E.with_steering(_probe_scores(s), _effects(s)).select("category", "f1", "shift"),
+)
+_on(
+    "ml12_grounding",
+    _SHIFTS + ", f AS (SELECT label, avg((confidence = 'high')::INT) * CASE WHEN label IN ('HYPO', 'TEST') THEN 0.5 ELSE 1 END AS f1 FROM s GROUP BY label), j AS (SELECT f.label AS category, f1, shift FROM f LEFT JOIN c ON c.category = f.label AND c.label = f.label AND direction = 1 AND alpha = 1.0) SELECT category, CASE WHEN f1 < 0.5 THEN 'Performative' WHEN shift IS NULL THEN 'Not tested' WHEN shift > 0.02 AND category <> 'JUDGE' THEN 'Mechanistically grounded' WHEN shift > 0 THEN 'Partially grounded' ELSE 'Performative' END AS status FROM j",
+    lambda s: E.with_steering(_probe_scores(s), _effects(s)).select("category", E.grounding(F.col("f1"), F.col("shift"), F.when(F.col("category") == "JUDGE", 0.2).when(F.col("category") == "MONITOR", 0.01)).alias("status")),
+)
+
+
+def _probe_scores(s: DataFrame) -> DataFrame:
+    """A score for each label: its share of sure codings, halved for two labels so that every class comes up."""
+    return s.groupBy(F.col("label").alias("category")).agg((F.avg((F.col("confidence") == "high").cast("int")) * F.when(F.col("label").isin("HYPO", "TEST"), 0.5).otherwise(1.0)).alias("f1"))

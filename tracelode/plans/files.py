@@ -1,0 +1,183 @@
+"""Queries of sources and sinks: files are written to the shared folder from the driver's tables, read back and summed up."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracelode.operators import responses as R
+from tracelode.operators import vectors as V
+from tracelode.operators.sequence import trace_order
+from tracelode.plans.catalog import _add, _on, _vecs
+from tracelode.plans.coding import _KEY, _SAID, results
+from tracelode.sources import files as X
+from tracelode.sources import traces as S
+
+
+def _documents(s: DataFrame) -> DataFrame:
+    """Trace documents of the sentence table, in the columns of a stored trace."""
+    coding = F.struct(
+        F.lit(None).cast("string").alias("macro_label"), F.col("label").alias("micro_label"), "confidence", F.lit(None).cast("string").alias("test_context"), "specificity", "judgement",
+        F.lit(None).cast("string").alias("representation"), F.col("status").alias("hypo_status"), F.col("antecedent").cast("int").alias("hypo_antecedent_sid"), F.array(F.col("sid").cast("int")).alias("depends_on"),
+    )
+    sentence = F.struct(F.col("sid").cast("int").alias("sentence_id"), F.concat(F.lit("Sätze 中 "), F.col("sid").cast("string")).alias("text"), F.lit(0).alias("start_char"), F.lit(9).alias("end_char"), F.col("tokens").cast("int").alias("token_count"), coding.alias("coding"))
+    per = s.groupBy("trace", "set", "task", "completed", "budget").agg(F.collect_list(F.struct(F.col("sid").alias("o"), sentence.alias("s"))).alias("l"))
+    ordered = F.transform(F.array_sort("l", lambda a, b: (a["o"] - b["o"]).cast("int")), lambda x: x["s"])
+    return per.select(
+        F.col("task").cast("int").alias("task_id"), F.col("trace").cast("int").alias("trace_id"), F.upper("set").alias("set"), S.seed(F.col("set"), F.col("task"), F.col("trace")).cast("int").alias("seed"),
+        F.when(F.col("completed"), " red\n").otherwise("").alias("answer_text"), F.size("l").alias("total_tokens"), F.struct(F.lit(0.6).alias("temperature"), F.lit(0.95).alias("top_p"), F.col("budget").cast("int").alias("max_new_tokens")).alias("generation_params"), ordered.alias("sentences"),
+    )
+
+
+def _stored(s: DataFrame, tag: str = "traces") -> str:
+    """The folder of all traces as files; every fifth begins with a byte order mark."""
+    spark = s.sparkSession
+    folder = X.work_folder(spark, tag)
+    docs = _documents(s)
+    name = F.concat(S.trace_key(F.col("set"), F.col("task_id"), F.col("trace_id")), F.lit(".json"))
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"pretty": "true"})
+    X.write_files(docs.select(name.alias("name"), F.concat(F.when(F.col("trace_id") % 5 == 0, X.BOM).otherwise(""), body).alias("body")), folder)
+    return folder
+
+
+def _faulty(s: DataFrame) -> str:
+    """As _stored(), with traces that are empty files, cut off, or without a set, by trace % 7."""
+    folder, docs = X.work_folder(s.sparkSession, "states"), _documents(s)
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    bare = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "set"]))
+    k = F.col("trace_id") % 7
+    name = F.concat(S.trace_key(F.col("set"), F.col("task_id"), F.col("trace_id")), F.when(k == 4, "_coded").otherwise(""), F.lit(".json"))
+    X.write_files(docs.where(k != 5).select(name.alias("name"), F.when(k == 1, F.substr(body, F.lit(1), F.lit(40))).when(k == 2, bare).when(k != 0, body).alias("body")), folder)
+    return folder
+
+
+def _states(s: DataFrame) -> DataFrame:
+    found = S.file_state(s.sparkSession, _faulty(s))
+    return found.withColumn("key", S.key_from_path(F.col("path"))).withColumn("derived", F.col("path").rlike(r"_(coded|segmented)\.json$"))
+
+
+_on("sc01_read_traces", f"SELECT {_KEY} AS key, any_value(completed) AS completed, count(*) AS n, sum(tokens)::BIGINT AS tokens, count(*) FILTER (specificity IN ('across_panel', 'across_panels')) AS across, arg_max(label, sid) AS last FROM s GROUP BY {_KEY}", lambda s: S.flatten(S.read_traces(s.sparkSession, _stored(s))).groupBy(F.col("trace_key").alias("key")).agg(F.first("completed").alias("completed"), F.count("*").alias("n"), F.sum("token_count").alias("tokens"), F.count_if(F.col("specificity") == "across_panels").alias("across"), F.max_by("micro_label", "position_idx").alias("last")))
+_on("sc02_marked_files", f"SELECT {_KEY} AS key, count(*) AS n FROM s WHERE trace % 5 = 0 GROUP BY 1", lambda s: S.read_traces(s.sparkSession, _stored(s)).where("_corrupt IS NULL AND trace_id % 5 = 0").select(S.key_from_path(F.col("path")).alias("key"), F.size("sentences").cast("bigint").alias("n")))
+_on("sc04_file_states", f"SELECT DISTINCT {_KEY} AS key, CASE trace % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'corrupt' WHEN 2 THEN 'incomplete' ELSE 'ok' END AS state FROM s WHERE trace % 7 <> 5", lambda s: _states(s).select("key", "state"))
+_on("sc06_valid_work_list", f"SELECT DISTINCT {_KEY} AS key, CASE trace % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'corrupt' WHEN 2 THEN 'incomplete' WHEN 5 THEN 'missing' ELSE 'ok' END AS state FROM s", lambda s: X.work_list(s.select(S.trace_key(F.col("set"), F.col("task"), F.col("trace")).alias("key")).distinct(), _states(s).select("key", "state")))
+_on("sc09_globbed", f"SELECT DISTINCT {_KEY} AS key FROM s WHERE \"set\" = 'a' AND task = 1", lambda s: S.read_traces(s.sparkSession, _stored(s) + "/set_a/task1", "trace_*.json").select(S.key_from_path(F.col("path")).alias("key")))
+_on("sc10_underived", f"SELECT DISTINCT {_KEY} AS key FROM s WHERE trace % 7 NOT IN (4, 5)", lambda s: _states(s).where("NOT derived").select("key"))
+_on("sk01_written_layout", f"SELECT DISTINCT {_KEY} || '.json' AS path FROM s", lambda s: S.read_traces(s.sparkSession, _stored(s)).select(F.concat(S.key_from_path(F.col("path")), F.lit(".json")).alias("path")))
+
+
+def _tables(s: DataFrame) -> DataFrame:
+    folder = X.work_folder(s.sparkSession, "table")
+    X.write_table(s.groupBy("task", "label").agg(F.count("*").alias("n"), F.avg("tokens").alias("mean")), folder)
+    return X.read_table(s.sparkSession, folder, "task bigint, label string, n bigint, mean double")
+
+
+_on("sk03_table_round_trip", "SELECT task, label, count(*) AS n, round(avg(tokens), 6) AS mean FROM s GROUP BY task, label", _tables)
+_on("sc17_missing_table", "SELECT true AS missing", lambda s: s.sparkSession.createDataFrame([(X.read_table(s.sparkSession, X.work_folder(s.sparkSession, "none"), "a string") is None,)], "missing boolean"))
+
+
+def _by_condition(s: DataFrame) -> DataFrame:
+    folder = X.work_folder(s.sparkSession, "conditions")
+    lines = s.groupBy("label", "trace").agg(F.count("*").alias("n")).groupBy("label").agg(F.array_sort(F.collect_list(F.concat_ws(",", "trace", "n"))).alias("l"))
+    X.write_files(lines.select(F.concat(F.lower("label"), F.lit("_pos_1.0.csv")).alias("name"), F.concat(F.lit("trace,n\n"), F.array_join("l", "\n"), F.lit("\n")).alias("body")), folder)
+    return S.read_conditions(s.sparkSession, folder, "trace bigint, n bigint")
+
+
+_on("sc18_conditions", "SELECT lower(label) || '_pos_1.0' AS condition, trace, count(*) AS n FROM s GROUP BY label, trace", _by_condition)
+_on("sc21_manual_traces", "SELECT DISTINCT trace, task FROM s WHERE trace % 10 = 3", lambda s: _manual(s))
+
+
+def _manual(s: DataFrame) -> DataFrame:
+    folder, docs = X.work_folder(s.sparkSession, "manual"), _documents(s)
+    name = F.concat(F.lit("t"), F.col("trace_id").cast("string"), F.when(F.col("trace_id") % 10 == 3, "_final").otherwise("_draft"), F.lit(".json"))
+    X.write_traces(docs, folder, name)
+    return S.read_traces(s.sparkSession, folder, "*_final.json").select(F.col("trace_id").cast("bigint").alias("trace"), F.col("task_id").cast("bigint").alias("task"))
+
+
+def _merged_csv(s: DataFrame) -> DataFrame:
+    folder = X.work_folder(s.sparkSession, "merged")
+    per = s.groupBy("trace").agg(F.count("*").alias("n"), F.first("task").alias("task"))
+    X.merge_table(per.select("trace", "n"), folder, 0, ["trace"], "")
+    X.merge_table(per.where("task > 2").select("trace", (F.col("n") * 2).alias("n"), F.lit("again").alias("run")), folder, 1, ["trace"], "trace bigint, n bigint", {"run": "first"})
+    return X.read_table(s.sparkSession, f"{folder}/v2", "trace bigint, n bigint, run string")
+
+
+_on("sk04_merged_table", "SELECT trace, CASE WHEN any_value(task) > 2 THEN 2 ELSE 1 END * count(*) AS n, CASE WHEN any_value(task) > 2 THEN 'again' ELSE 'first' END AS run FROM s GROUP BY trace", _merged_csv)
+
+
+def _log(s: DataFrame) -> DataFrame:
+    folder = X.work_folder(s.sparkSession, "log")
+    for task in (1, 2):
+        X.append_log(s.where(F.col("task") == task).groupBy("trace").agg(F.count("*").alias("n")).withColumn("run", F.lit(task)), folder)
+    return X.read_log(s.sparkSession, folder, "trace bigint, n bigint, run bigint")
+
+
+_on("sk06_appended_log", "SELECT trace, count(*) AS n, any_value(task) AS run FROM s WHERE task IN (1, 2) GROUP BY trace", _log)
+
+
+def _landed(s: DataFrame) -> DataFrame:
+    folder = X.work_folder(s.sparkSession, "results")
+    X.append_log(results(s), folder)
+    read = X.read_log(s.sparkSession, folder, "custom_id string, type string, text string, error string, input_tokens bigint, output_tokens bigint")
+    return R.parsed(read).groupBy("type", "status").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"))
+
+
+_on("sc22_landed_results", _SAID + "SELECT CASE status WHEN 'batch_error' THEN 'errored' WHEN 'expired' THEN 'expired' ELSE 'succeeded' END AS type, status, count(*) AS n, count(*) FILTER (status = 'batch_error') AS n_errors FROM st GROUP BY ALL", _landed)
+
+
+def _dead(s: DataFrame) -> DataFrame:
+    folder = X.work_folder(s.sparkSession, "dead")
+    lost = R.parsed(results(s)).where("status = 'parse_error'")
+    X.write_files(lost.select(F.concat(F.replace("trace_key", F.lit("/"), F.lit("_")), F.lit(".txt")).alias("name"), F.col("text").alias("body")), folder)
+    files = s.sparkSession.read.text(folder, wholetext=True).withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
+    return files.select("name", F.col("value").startswith("[").alias("cut_off"))
+
+
+_on("sk08_dead_letter_files", _SAID + "SELECT replace(trace_key, '/', '_') AS name, trace % 8 = 4 AS cut_off FROM st WHERE status = 'parse_error'", _dead)
+
+
+def _npz(spark: SparkSession, d: str) -> str:
+    """A file for each group of ten vectors, an array a vector."""
+    folder = X.work_folder(spark, "vectors")
+    near = _vecs(spark, d).groupBy(F.floor(F.col("vec_id") / 10).alias("g")).agg(F.collect_list(F.struct(F.format_string("v%08d", "vec_id").alias("k"), F.col("embedding").cast("array<float>").alias("v"))).alias("l"))
+    X.write_npz(near.select(F.concat(F.lit("layer0/g"), F.col("g").cast("string"), F.lit(".npz")).alias("name"), F.col("l.k").alias("keys"), F.col("l.v").alias("vectors")), folder)
+    return folder
+
+
+_add("sc19_stacked_vectors", "SELECT vec_id, len(embedding)::BIGINT AS size, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings", None)(
+    lambda spark, d: X.read_npz(spark, _npz(spark, d)).orderBy("key").select(F.substring("key", 2, 8).cast("bigint").alias("vec_id"), F.size("vector").cast("bigint").alias("size"), F.round(V.norm(F.col("vector")), 4).alias("norm"))
+)
+_add("sk09_vector_files", "SELECT 'g' || (vec_id // 10) AS name, count(*) AS n FROM embeddings GROUP BY 1", None)(lambda spark, d: X.read_npz(spark, _npz(spark, d)).groupBy("name").agg(F.count("key").alias("n")))
+
+
+def _direction_file(spark: SparkSession, d: str) -> DataFrame:
+    folder = X.work_folder(spark, "directions")
+    each = V.centroids(_vecs(spark, d), "label", "embedding").agg(F.collect_list(F.struct(F.concat(F.lit("c"), F.col("label").cast("string")).alias("k"), F.col("centroid").cast("array<float>").alias("v"))).alias("l"))
+    X.write_npz(each.select(F.lit("layer20.npz").alias("name"), F.col("l.k").alias("keys"), F.col("l.v").alias("vectors")), folder)
+    return X.read_npz(spark, folder)
+
+
+_CENTRE = "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL) "
+_add("sk10_direction_file", _CENTRE + "SELECT 'c' || label AS category, round(sqrt(sum(m * m)), 4) AS norm FROM m GROUP BY label", None)(lambda spark, d: _direction_file(spark, d).select(F.col("key").alias("category"), F.round(V.norm(F.col("vector")), 4).alias("norm")))
+_add("sc23_named_vectors", _CENTRE + "SELECT 'layer20' AS name, count(DISTINCT label) AS n, max(i)::BIGINT AS size FROM m", None)(lambda spark, d: _direction_file(spark, d).groupBy("name").agg(F.count("key").alias("n"), F.max(F.size("vector")).cast("bigint").alias("size")))
+
+
+def _index(s: DataFrame) -> DataFrame:
+    """The token index and prompt cache as Parquet tables: spans by sentence, one row a trace read back."""
+    folder = X.work_folder(s.sparkSession, "index")
+    ends = F.sum("tokens").over(trace_order().rowsBetween(Window.unboundedPreceding, 0))
+    s.select("trace", "sid", (ends - F.col("tokens")).alias("span_start"), (ends - 1).alias("span_end")).write.parquet(folder)
+    return s.sparkSession.read.parquet(folder).groupBy("trace").agg(F.count("*").alias("n"), F.max("span_end").alias("last"))
+
+
+_on("sc20_token_index", "SELECT trace, count(*) AS n, sum(tokens)::BIGINT - 1 AS last FROM s GROUP BY trace", _index)
+
+
+def _report(s: DataFrame) -> DataFrame:
+    """A report's table as a markdown file, read back line by line."""
+    folder = X.work_folder(s.sparkSession, "report")
+    table = X.markdown_table(s.groupBy("label").agg(F.count("*").alias("n"), F.max("judgement").alias("judgement")), ["label"])
+    X.write_files(s.sparkSession.createDataFrame([("report.md", "# Labels\n\n" + table)], "name string, body string"), folder)
+    return s.sparkSession.read.text(folder).where("value <> ''").select(F.col("value").alias("line"))
+
+
+_on("sk11_report_lines", "SELECT '# Labels' AS line UNION ALL SELECT '| label | n | judgement |' UNION ALL SELECT '|---|---|---|' UNION ALL SELECT '| ' || label || ' | ' || count(*) || ' | ' || coalesce(max(judgement), '—') || ' |' FROM s GROUP BY label", _report)
