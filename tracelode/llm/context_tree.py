@@ -421,7 +421,8 @@ def train(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[Mod
     bound_batches(spark)
     folder = shared_folder(spark, "tree")
     rows = texts.select(F.col(text).cast("string").alias("_text"))
-    counted = rows.mapInArrow(lambda b: _counts(b, depth), "word boolean, key bigint, more bigint, n bigint")
+    # A task's counts are combined already: they are dealt out first and added up once.
+    counted = rows.mapInArrow(lambda b: _counts(b, depth), "word boolean, key bigint, more bigint, n bigint").repartition("key")
     counted = written(counted.groupBy("word", "key", "more").agg(F.sum("n").alias("n")), "grams")
     grams, words = counted.where("NOT word").select("key", "n"), counted.where("word").select("key", "more", "n")
     model = _regions(grams, folder, depth)
