@@ -39,8 +39,8 @@ END = 10
 #: Grams of a part, at most.
 PART_GRAMS = 200_000
 PART_WORDS = 500_000
-#: Distinct grams that a task holds before it passes counts on.
-HELD = 1_000_000
+#: Distinct grams, and words, that a task holds before it passes counts on.
+HELD, HELD_WORDS = 2_000_000, 250_000
 #: Bytes of a text that are taken together; a longer text is cut at white space.
 STRETCH = 2 << 20
 SPACE = np.zeros(256, bool)
@@ -400,10 +400,10 @@ def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
             counts.append(n)
             words.update(data[begin[0] :].tobytes().replace(b"\n", b" ").split())
             words[b"\n"] += int(ends.sum())
-            if sum(map(len, keys)) > HELD or len(words) > HELD // 4:
+            if sum(map(len, keys)) > HELD or len(words) > HELD_WORDS:
                 if sum(map(len, keys)) > HELD:
                     keys, counts = ([x] for x in merged())
-                if sum(map(len, keys)) > HELD // 2 or len(words) > HELD // 4:
+                if sum(map(len, keys)) > HELD // 2 or len(words) > HELD_WORDS:
                     yield from rows()
                     keys, counts, words = [], [], Counter()
     yield from rows()
