@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SCHEMA, filled, ordered, prose
-from tracelode.llm import _shared, context_tree, decontamination, langid, media, mixing, sharding
+from tracelode.llm import _shared, context_tree, decontamination, langid, media, mixing, sharding, simhash
 from tracelode.llm.queries import PIECES, tokenizer_path
 
 
@@ -232,3 +232,25 @@ def test_mix_with_hot_rows_and_ranged_sources(spark, monkeypatch, sources):
         assert r["_target"] == pytest.approx(wanted[r.source])
     assert len(got) == len(rows) and all(abs(taken[s] - wanted[s]) <= 11 for s in sizes)
     assert ordered(map(tuple, got)) == ordered(map(tuple, mixing.mix(docs.repartition(3)).collect()))
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and rings against plain union-find, with every node of over 5 neighbours taken for a hub."""
+    monkeypatch.setattr(simhash, "HUB_ROWS", 5)
+    monkeypatch.setattr(simhash, "HUB_SHARE", 0.0)
+    dice = random.Random(6)
+    edges = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(40)] + [(200 + k, 200 + (k + 1) % 7) for k in range(7)] + [(500 - k, 499) for k in range(2, 30)]
+    edges += [(dice.randrange(1000, 1100), dice.randrange(1000, 1100)) for _ in range(80)]
+    edges = [(a, b) for a, b in edges if a != b]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, find(x)) for x in root)

@@ -7,16 +7,18 @@ distance, and then by the exact similarity of both texts. Groups are the compone
 
 Two sets at similarity s have a cosine of 2 s / (1 + s), so a bit differs with probability p = acos(.) / pi. A segment
 is within its ball with probability q = (1 - p) ** WIDTH + WIDTH * p * (1 - p) ** (WIDTH - 1), and a pair is found
-with 1 - (1 - q) ** SEGMENTS: 0.95 at a similarity of exactly 0.8, 0.994 at 0.85, 0.9999 at 0.9. A group's members are
+with 1 - (1 - q) ** SEGMENTS: 0.94 at a similarity of exactly 0.8, 0.992 at 0.85, 0.9999 at 0.9. A group's members are
 linked in many ways, and one is enough. Distances may be DEVIATIONS standard deviations over their mean at 0.8.
 
 A value that m texts meet under would give pairs by m squared. Each of its texts is first compared with the least of
 those stored under it. After that only pairs whose texts are not in one group yet are left, and all of those are
 compared: the groups are the same as if every pair had been.
 
+Tables are searched in ROUNDS: what a few of them tie together is not compared in the others.
+
 Scale: texts are read once for their fingerprints; texts that are equal fall together before any join. A table's rows
 are two or three numbers. Only texts of candidate pairs are moved, as sets of 64-bit shingle hashes. A segment of WIDTH
-bits suits up to 2 ** WIDTH texts; beyond, take more of both (28 and 48 up to 2 ** 28 texts), which keeps the chance and
+bits suits up to 2 ** WIDTH texts; beyond, take more of both (30 and 60 up to 2 ** 30 texts), which keeps the chance and
 the candidates for each text.
 """
 
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,10 @@ from tracelode.llm._shared import bound_batches, discard, returned, slices, unus
 from tracelode.llm.simhash import ball, components, fingerprint_words, with_least
 
 SHINGLE, SIMILARITY = 5, 0.8
-WIDTH, SEGMENTS = 24, 28
-DEVIATIONS = 3.5
+WIDTH, SEGMENTS = 26, 34
+DEVIATIONS = 3
+#: The first segment of each round: large groups are found by a few, so that not all tables' pairs of theirs are compared.
+ROUNDS = (0, 4)
 SEED = 42
 #: Bytes of text whose bits a worker counts at a time.
 PRINT_BYTES = 1 << 20
@@ -85,22 +91,22 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def _prints(docs: DataFrame, width: int, segments: int) -> DataFrame:
+def _prints(docs: DataFrame) -> DataFrame:
     """(node, doc_id, print, segments, other): of each text its digest, least doc_id, whole fingerprint, each segment's number and value in one, and 64 other bits."""
-    words = -(-width * segments // 64) + 1
+    words = _words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text", PRINT_BYTES):
                 found = prints([shingles(t) for t in part.column("_text").to_pylist()], words)
-                bits = np.unpackbits(found.view(np.uint8).reshape(len(found), -1), axis=1)[:, : width * segments].reshape(len(found), segments, width)
-                value = bits @ (1 << np.arange(width, dtype=np.int64)) | np.arange(segments) << width
-                listed = pa.ListArray.from_arrays(np.arange(0, value.size + 1, segments, dtype=np.int32), pa.array(value.ravel()))
-                columns = [part.column("node"), part.column("doc_id"), pa.array([p.tobytes() for p in found], pa.binary()), listed, pa.array(found[:, -1].view(np.int64))]
+                bits = np.unpackbits(found.view(np.uint8).reshape(len(found), -1), axis=1)[:, : WIDTH * SEGMENTS].reshape(len(found), SEGMENTS, WIDTH)
+                value = bits @ (1 << np.arange(WIDTH, dtype=np.int64)) | np.arange(SEGMENTS) << WIDTH
+                listed = [pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel())) for v in (found.view(np.int64), value)]
+                columns = [part.column("node"), part.column("doc_id"), *listed, pa.array(found[:, -1].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "print", "segments", "other"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(returned(run), f"node binary, doc_id {kind}, print binary, segments array<bigint>, other bigint")
+    found = docs.mapInArrow(returned(run), f"node binary, doc_id {kind}, print array<bigint>, segments array<bigint>, other bigint")
     return found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("print", "segments", "other")])
 
 
@@ -116,17 +122,14 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(returned(run), "id bigint, s binary")
 
 
-def close(pairs: DataFrame, most: int) -> DataFrame:
-    """(a, b): the rows of pairs (a, b, p, q) whose fingerprints p and q differ in at most `most` bits."""
+def _words() -> int:
+    """64-bit words of a fingerprint: the segments' and the other one."""
+    return -(-WIDTH * SEGMENTS // 64) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "pq")
-                keep = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= most
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+def _distance(one: str, two: str) -> Column:
+    """The complete distance of two fingerprints."""
+    return reduce(add, [F.bit_count(F.col(one)[k].bitwiseXOR(F.col(two)[k])) for k in range(_words())])
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -151,8 +154,8 @@ def similar(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
     """Those of pairs (a, b) that are near copies; marks has the fingerprints, texts (doc_id, node, _text), repeats included."""
     of = lambda name, value: marks.select(F.col("id").alias(name), F.col("print").alias(value))
-    bits = 64 * (-(-WIDTH * SEGMENTS // 64) + 1)
-    pairs = written(close(pairs.distinct().join(of("a", "p"), "a").join(of("b", "q"), "b").select("a", "b", "p", "q"), most_bits(bits)), f"{tag}-pairs")
+    near = pairs.distinct().join(of("a", "p"), "a").join(of("b", "q"), "b").where(_distance("p", "q") <= most_bits(64 * _words()))
+    pairs = written(near.select("a", "b"), f"{tag}-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Of a text's exact copies the one with its least doc_id is read, so that they don't meet in one task.
     wanted = marks.select("id", F.struct("node", "doc_id").alias("_at")).join(wanted, "id", "left_semi")
@@ -175,39 +178,65 @@ def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
     return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
 
 
+def _met(marks: DataFrame, low: int, high: int) -> DataFrame:
+    """(v, id, own, other, a, others, apart): texts under each value of the segments from low to high, stored (own) or looking it up, with the least that is stored there, and whether that is of another group.
+
+    A text is left out where all that are stored there are of its own group (marks' root).
+    """
+    stored = marks.select(F.explode(F.slice("segments", low + 1, high - low)).alias("v"), "id", "other", "root")
+    asked = stored.select(F.explode(F.array_compact(F.array(*ball(F.col("v"), WIDTH, 1)[1:]))).alias("v"), (-1 - F.col("id")).alias("id"), "other", "root")
+    # Map-side minima: a value that many texts share is not gathered in one place.
+    first = F.min(F.struct("id", "other", "root"))
+    least = stored.groupBy("v").agg(first["id"].alias("a"), first["other"].alias("others"), first["root"].alias("of"), F.max("root").alias("high"), F.min("root").alias("low"), F.count("*").alias("n"), (F.count("*") > 1).alias("many"))
+    # At most SEGMENTS / HUB_SHARE values are broadcast. A single stored text matters to those near it only.
+    most = least.agg(F.max("n")).first()[0] or 0
+    other = (F.col("root") != F.col("low")) | (F.col("root") != F.col("high"))
+    own = F.col("id") >= 0
+    met = with_least(stored.unionByName(asked), least, "v", marks.count(), most, other & ((own & F.col("many")) | (~own & (F.col("many") | _near("other", "others")))))
+    return met.select("v", F.when(own, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), own.alias("own"), "other", "a", "others", (F.col("root") != F.col("of")).alias("apart"))
+
+
+def _rooted(marks: DataFrame, tied: DataFrame | None) -> DataFrame:
+    """marks with root: the group of tied (node, root) that a text is in, itself if none."""
+    if tied is None:
+        return marks.withColumn("root", F.col("id"))
+    return marks.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, node, root): for each row of docs its text's digest, and one number for all of its near copies."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text")).withColumn("node", _node(F.col("_text")))
     texts = texts.select("doc_id", "node", "_text")
     # A text's number is given once, when the table is written; which one it gets changes no group.
-    marks = written(_prints(texts, WIDTH, SEGMENTS).withColumn("id", F.monotonically_increasing_id()), "prints")
-    stored = marks.select(F.explode("segments").alias("v"), "id", "other")
-    asked = stored.select(F.explode(F.array_compact(F.array(*ball(F.col("v"), WIDTH, 1)[1:]))).alias("v"), (-1 - F.col("id")).alias("id"), "other")
-    # Map-side minima: a value that many texts share is not gathered in one place.
-    first = F.min(F.struct("id", "other"))
-    least = stored.groupBy("v").agg(first["id"].alias("a"), first["other"].alias("others"), F.count("*").alias("n"), (F.count("*") > 1).alias("many"))
-    met = with_least(stored.unionByName(asked), least, "v", marks.count())  # at most SEGMENTS / HUB_SHARE values are broadcast
-    own = F.col("id") >= 0
-    shared = written(met.where("many OR id < 0").select("v", F.when(own, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), own.alias("own"), "other", "a", "others"), "shared")
-    tried = _pairs(shared.where((F.col("id") != F.col("a")) & _near("other", "others")), "id", "a").distinct()
-    links = _verified(tried, marks, texts, "star")
-    tied = written(components(links), "tied")
+    marks = written(_prints(texts).withColumn("id", F.monotonically_increasing_id()), "prints")
+    shared = tried = links = tied = None
+    for low, high in zip(ROUNDS, (*ROUNDS[1:], SEGMENTS)):
+        met = written(_met(_rooted(marks, tied), low, high), "shared")
+        # A group that an earlier round has found is not compared again.
+        stars = _pairs(met.where(F.col("apart") & _near("other", "others")), "id", "a").distinct()
+        found = _verified(stars, marks, texts, "star")
+        shared, tried, links = (met, stars, found) if tied is None else (shared.unionByName(met), tried.union(stars), links.union(found))
+        tied = written(components(links), "tied")
     # Values whose texts are in several groups still: all pairs across groups of a stored text and any other.
-    alone = shared.where("NOT own").select("v", F.col("a").alias("id"), F.lit(True).alias("own"), F.col("others").alias("other"))
-    placed = shared.select("v", "id", "own", "other").unionByName(alone).distinct()
-    placed = placed.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high AND k > 2").select("v")
-    placed = written(placed.join(split, "v"), "placed")
-    other = placed.where("own").select("v", F.col("id").alias("b"), F.col("other").alias("others"), F.col("root").alias("roots"))
-    across = placed.join(other, "v").where((F.col("root") != F.col("roots")) & (~F.col("own") | (F.col("id") < F.col("b"))) & _near("other", "others"))
+    looked_up = shared.where("NOT own").select("v").distinct()
+    stored = marks.select(F.explode("segments").alias("v"), "id", F.lit(True).alias("own")).join(looked_up, "v", "left_semi")
+    placed = _rooted(shared.select("v", "id", "own").unionByName(stored).distinct(), tied)
+    kept = F.when(F.col("own"), F.col("root"))
+    split = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(kept).alias("first"), F.max(kept).alias("last"), F.count("*").alias("k"))
+    split = split.where("low <> high AND k > 2").select("v", "first", "last")
+    needed = F.col("own") | (F.col("root") != F.col("first")) | (F.col("root") != F.col("last"))
+    placed = placed.join(split, "v").where(needed).join(marks.select("id", F.col("print").alias("p")), "id")
+    placed = written(placed.select("v", "id", "own", "root", "p"), "placed")
+    other = placed.where("own").select("v", F.col("id").alias("b"), F.col("root").alias("roots"), F.col("p").alias("q"))
+    across = placed.join(other, "v").where((F.col("root") != F.col("roots")) & (~F.col("own") | (F.col("id") < F.col("b"))) & (_distance("p", "q") <= most_bits(64 * _words())))
     # Pairs with the least of a value were compared before.
     more = _verified(_pairs(across, "id", "b").distinct().join(tried, ["a", "b"], "left_anti"), marks, texts, "across")
-    discard(shared, placed, tied)
+    discard(placed, tied)
     tied = written(components(links.union(more)), "tied")
     named = marks.select("id", "node").join(tied.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
     named = written(named, "named")
-    discard(marks, links, more, tied)
+    discard(marks, more, tied)
     return texts.select("doc_id", "node").join(named, "node")
 
 

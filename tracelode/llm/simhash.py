@@ -106,21 +106,29 @@ def linked(fps: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-#: A key with this share of all rows is joined apart.
-HUB_SHARE = 0.001
+#: A key with over so many rows, and this share of all, is joined apart.
+HUB_ROWS, HUB_SHARE = 100_000, 0.001
 
 
-def with_least(rows: DataFrame, least: DataFrame, key: str, total: int) -> DataFrame:
+def with_least(rows: DataFrame, least: DataFrame, key: str, total: int, most: int, where: Column | None = None) -> DataFrame:
     """rows joined with least (key, n and others; no repeats of a key) without n, which counts a key's rows among `total`.
 
-    Rows of a key with over HUB_SHARE of them stay where they are: of such keys there are at most 1 / HUB_SHARE, which
-    are broadcast.
+    most: what n is at most. Rows of a key with over HUB_ROWS and HUB_SHARE of them stay where they are: of such keys
+    there are at most 1 / HUB_SHARE, which are broadcast. `where`: on columns of both, what is joined at all.
     """
     more = [c for c in least.columns if c not in (key, "n")]
-    hubs = F.broadcast(least.where(F.col("n") > total * HUB_SHARE).select(key, F.struct(*more).alias("_hub")))
-    split = rows.join(hubs, key, "left")
-    rest = split.where("_hub IS NULL").drop("_hub").join(least.drop("n"), key)
-    return split.where("_hub IS NOT NULL").select(*rows.columns, "_hub.*").unionByName(rest.select(*rows.columns, *more))
+    name, limit = f"_{key}", max(HUB_ROWS, total * HUB_SHARE)
+    least = least.withColumnRenamed(key, name)
+
+    def joined(some: DataFrame, with_: DataFrame) -> DataFrame:
+        on = F.col(key) == F.col(name)
+        return some.join(with_, on if where is None else on & where).select(*rows.columns, *more)
+
+    if most <= limit:
+        return joined(rows, least.drop("n"))
+    hubs = least.where(F.col("n") > limit).drop("n")
+    rest = rows.join(F.broadcast(hubs.select(name)), F.col(key) == F.col(name), "left_anti")
+    return joined(rows, F.broadcast(hubs)).unionByName(joined(rest, least.where(F.col("n") <= limit).drop("n")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,10 +145,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
+        # What a node has of neighbours bounds what it has of smaller ones after the first star.
+        most = both.groupBy("a").count().agg(F.max("count")).first()[0]
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = with_least(both.where("b > a"), least, "a", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both.where("b > a"), least, "a", 2 * seen[0], most).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        paired = with_least(large, least, "a", seen[0])
+        paired = with_least(large, least, "a", seen[0], most)
         small = paired.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         then = written(small.union(paired.select("a", F.col("m").alias("b"))).distinct(), "edges")
         was, seen = seen, state(then)
