@@ -203,6 +203,11 @@ def _rooted(marks: DataFrame, tied: DataFrame | None) -> DataFrame:
     return marks.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def _edges(links: DataFrame, tied: DataFrame | None) -> DataFrame:
+    """links, and an edge from each text of a group found before (tied) to the group's root, which stands for all links in it."""
+    return links if tied is None else links.unionByName(tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, node, root): for each row of docs its text's digest, and one number for all of its near copies."""
     bound_batches(docs.sparkSession)
@@ -210,14 +215,15 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     texts = texts.select("doc_id", "node", "_text")
     # A text's number is given once, when the table is written; which one it gets changes no group.
     marks = written(_prints(texts).withColumn("id", F.monotonically_increasing_id()), "prints")
-    shared = tried = links = tied = None
+    shared = tried = tied = None
     for low, high in zip(ROUNDS, (*ROUNDS[1:], SEGMENTS)):
         met = written(_met(_rooted(marks, tied), low, high), "shared")
         # A group that an earlier round has found is not compared again.
         stars = _pairs(met.where(F.col("apart") & _near("other", "others")), "id", "a").distinct()
         found = _verified(stars, marks, texts, "star")
-        shared, tried, links = (met, stars, found) if tied is None else (shared.unionByName(met), tried.union(stars), links.union(found))
-        tied = written(components(links), "tied")
+        shared, tried = (met, stars) if tied is None else (shared.unionByName(met), tried.union(stars))
+        was, tied = tied, written(components(_edges(found, tied)), "tied")
+        discard(was, found)
     # Values whose texts are in several groups still: all pairs across groups of a stored text and any other.
     looked_up = shared.where("NOT own").select("v").distinct()
     stored = marks.select(F.explode("segments").alias("v"), "id", F.lit(True).alias("own")).join(looked_up, "v", "left_semi")
@@ -232,8 +238,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     across = placed.join(other, "v").where((F.col("root") != F.col("roots")) & (~F.col("own") | (F.col("id") < F.col("b"))) & (_distance("p", "q") <= most_bits(64 * _words())))
     # Pairs with the least of a value were compared before.
     more = _verified(_pairs(across, "id", "b").distinct().join(tried, ["a", "b"], "left_anti"), marks, texts, "across")
-    discard(placed, tied)
-    tied = written(components(links.union(more)), "tied")
+    was, tied = tied, written(components(_edges(more, tied)), "tied")
+    discard(placed, was)
     named = marks.select("id", "node").join(tied.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
     named = written(named, "named")
     discard(marks, more, tied)

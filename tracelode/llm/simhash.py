@@ -136,28 +136,30 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder, and the one before is removed. A node's smallest neighbour comes from a
     map-side combined minimum and is joined back, hubs by broadcast, so a hub's neighbours are never gathered in one place.
+    Rounds end once the edges are stars: no node points to two others, and none that is pointed to points to another.
     """
 
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        """Edges, the most that meet in a node, and whether they are no stars yet."""
+        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        loose = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
+        return tuple(ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.max(F.col("up") + F.col("down")), F.coalesce(F.max(loose), F.lit(False))).first())
 
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = state(now)
-    while seen[0]:
+    count, most, loose = state(now)
+    while loose:
         both = now.union(now.select("b", "a"))
         # What a node has of neighbours bounds what it has of smaller ones after the first star.
-        most = both.groupBy("a").count().agg(F.max("count")).first()[0]
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = with_least(both.where("b > a"), least, "a", 2 * seen[0], most).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both.where("b > a"), least, "a", 2 * count, most).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        paired = with_least(large, least, "a", seen[0], most)
+        paired = with_least(large, least, "a", count, most)
         small = paired.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         then = written(small.union(paired.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        was, seen = seen, state(then)
         discard(now)
         now = then
-        if was == seen:
-            break
+        count, most, loose = state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
 
 
