@@ -181,7 +181,8 @@ def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
 def _met(marks: DataFrame, low: int, high: int) -> DataFrame:
     """(v, id, own, other, a, others, apart): texts under each value of the segments from low to high, stored (own) or looking it up, with the least that is stored there, and whether that is of another group.
 
-    A text is left out where all that are stored there are of its own group (marks' root).
+    A stored text is left out where the least is of its own group (marks' root), one that looks a value up where all that
+    are stored there are; each value with texts of several groups is in some row.
     """
     stored = marks.select(F.explode(F.slice("segments", low + 1, high - low)).alias("v"), "id", "other", "root")
     asked = stored.select(F.explode(F.array_compact(F.array(*ball(F.col("v"), WIDTH, 1)[1:]))).alias("v"), (-1 - F.col("id")).alias("id"), "other", "root")
@@ -192,7 +193,8 @@ def _met(marks: DataFrame, low: int, high: int) -> DataFrame:
     most = least.agg(F.max("n")).first()[0] or 0
     other = (F.col("root") != F.col("low")) | (F.col("root") != F.col("high"))
     own = F.col("id") >= 0
-    met = with_least(stored.unionByName(asked), least, "v", marks.count(), most, other & ((own & F.col("many")) | (~own & (F.col("many") | _near("other", "others")))))
+    wanted = (own & F.col("many") & (F.col("root") != F.col("of"))) | (~own & other & (F.col("many") | _near("other", "others")))
+    met = with_least(stored.unionByName(asked), least, "v", marks.count(), most, wanted)
     return met.select("v", F.when(own, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), own.alias("own"), "other", "a", "others", (F.col("root") != F.col("of")).alias("apart"))
 
 
@@ -225,9 +227,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         was, tied = tied, written(components(_edges(found, tied)), "tied")
         discard(was, found)
     # Values whose texts are in several groups still: all pairs across groups of a stored text and any other.
-    looked_up = shared.where("NOT own").select("v").distinct()
-    stored = marks.select(F.explode("segments").alias("v"), "id", F.lit(True).alias("own")).join(looked_up, "v", "left_semi")
-    placed = _rooted(shared.select("v", "id", "own").unionByName(stored).distinct(), tied)
+    stored = _rooted(marks.select("id", "segments"), tied).select(F.explode("segments").alias("v"), "id", F.lit(True).alias("own"), "root")
+    asked = _rooted(shared.where("NOT own").select("v", "id", "own").distinct(), tied)
+    placed = stored.join(shared.select("v").distinct(), "v", "left_semi").unionByName(asked)
     kept = F.when(F.col("own"), F.col("root"))
     split = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(kept).alias("first"), F.max(kept).alias("last"), F.count("*").alias("k"))
     split = split.where("low <> high AND k > 2").select("v", "first", "last")
