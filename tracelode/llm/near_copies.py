@@ -1,33 +1,30 @@
 """Near copies by similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from SimHash tables as in `simhash`, over longer fingerprints of each text's distinct shingles:
-SEGMENTS segments of WIDTH bits and 64 more. A segment's value is stored under it and looked up under every value of
-the ball of radius 1 around it. What a table holds is verified by the distance of the 64 other bits, by the complete
-distance, and then by the exact similarity of both texts. Groups are the components of the links that remain.
+Three searches give candidates, each verified by the exact similarity of both texts:
 
-Two sets at similarity s have a cosine of 2 s / (1 + s), so a bit differs with probability p = acos(.) / pi. A segment
-is within its ball with probability q = (1 - p) ** WIDTH + WIDTH * p * (1 - p) ** (WIDTH - 1), and a pair is found
-with 1 - (1 - q) ** SEGMENTS: 0.94 at a similarity of exactly 0.8, 0.992 at 0.85, 0.9999 at 0.9. A group's members are
-linked in many ways, and one is enough. Distances may be DEVIATIONS standard deviations over their mean at 0.8.
+* operator 9's, over 64-bit fingerprints of the shingles: balls within segments, complete distances of 2 at most. It ties
+  copies with few edits at once, but two texts at 0.8 differ in about ten bits of 64 and those of few shingles in more;
+* sets of up to LARGE shingles by prefixes: in one order of all shingles, rare ones first, two sets at 0.8 share one of
+  the first n - ceil(0.8 n) + 1 of each. No link of theirs is lost;
+* sets of over SMALL shingles by BANDS bands of DEEP min-hashes: a pair at exactly 0.8 shares one with a chance of 0.997, at
+  0.85 of 0.9999. Pairs of such sets may differ in 1-bit min-hashes by DEVIATIONS standard deviations over the mean at 0.8.
 
-A value that m texts meet under would give pairs by m squared. Each of its texts is first compared with the least of
-those stored under it. After that only pairs whose texts are not in one group yet are left, and all of those are
-compared: the groups are the same as if every pair had been.
+A pair at 0.8 with a set of up to SMALL has a partner of up to LARGE, so every pair is in one of the two latter.
 
-Tables are searched in ROUNDS: what a few of them tie together is not compared in the others.
+A value that m texts meet under would give pairs by m squared. Each of its texts is first compared with the least of
+those under it. After that only pairs whose texts are not in one group yet are left, and all of those are compared: the
+groups are the same as if every pair had been. A few values go first, together with operator 9's; what they tie together
+is not compared under the others.
 
-Scale: texts are read once for their fingerprints; texts that are equal fall together before any join. A table's rows
-are two or three numbers. Only texts of candidate pairs are moved, as sets of 64-bit shingle hashes. A segment of WIDTH
-bits suits up to 2 ** WIDTH texts; beyond, take more of both (30 and 60 up to 2 ** 30 texts), which keeps the chance and
-the candidates for each text.
+Scale: texts are read once for their values; texts that are equal fall together before any join. A text has at most
+BANDS values of 8 bytes or 11 of prefixes. The order of shingles is by counts of 65,536 groups of them, a bounded table; it need
+not be exact for prefixes to be. Only texts of candidate pairs are moved, as sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +32,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm._shared import bound_batches, discard, returned, slices, unused, written
-from tracelode.llm.simhash import ball, components, fingerprint_words, with_least
+from tracelode.llm.simhash import components, fingerprint_words, linked, majority, with_least
 
 SHINGLE, SIMILARITY = 5, 0.8
-WIDTH, SEGMENTS = 26, 34
-DEVIATIONS = 3
-#: The first segment of each round: large groups are found by a few, so that not all tables' pairs of theirs are compared.
-ROUNDS = (0, 4)
+BANDS, DEEP = 20, 6
+#: Sets of so many shingles at most have prefixes; those of more than SMALL have bands.
+LARGE, SMALL = 50, 40
+DEVIATIONS = 3.5
+#: Values of a text that are searched in the first round.
+FIRST = 4
 SEED = 42
-#: Bytes of text whose bits a worker counts at a time.
+#: Bytes of text whose min-hashes a worker takes at a time.
 PRINT_BYTES = 1 << 20
-#: Shingles whose bits are unpacked at a time.
-UNPACKED = 1 << 14
 #: Shingle hashes of pairs that a worker compares at a time.
 PAIR_BYTES = 4 << 20
+MIX, PREFIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -56,58 +54,106 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(fingerprint_words((text or "").encode().lower().split(), SHINGLE, SEED))
 
 
-def most_bits(bits: int, similarity: float = SIMILARITY) -> int:
-    """The complete distance up to which a pair is a candidate."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+def most_bits() -> int:
+    """How many 1-bit min-hashes a pair of large sets may differ in."""
+    bits, p = BANDS * DEEP, (1 - SIMILARITY) / 2
     return math.ceil(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
 
-def prints(sets: list[np.ndarray], words: int) -> np.ndarray:
-    """Fingerprints of `words` times 64 bits: a bit is set where over half of a set's hashes have it; zero for an empty set."""
+def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS x DEEP min-hashes of each set; the greatest number for an empty one."""
     dice = np.random.default_rng(SEED)
-    factor = dice.integers(0, 1 << 63, words, np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = dice.integers(0, 1 << 63, words, np.uint64)
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    out = np.zeros((len(sets), words), np.uint64)
-    ones = np.zeros((len(sets), 64), np.int64)
-    for w in range(words):
-        ones[:] = 0
-        for at in range(0, len(flat), UNPACKED):
-            mixed = flat[at : at + UNPACKED] * factor[w] + shift[w]
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
-            own = owner[at : at + UNPACKED]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[:, w] = np.packbits(2 * ones > sizes[:, None], axis=1).view(np.uint64).ravel()
+    factor = dice.integers(0, 1 << 63, BANDS * DEEP, np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = dice.integers(0, 1 << 63, BANDS * DEEP, np.uint64)
+    out = np.full((BANDS * DEEP, len(sets)), np.uint64(2**64 - 1))
+    full = [k for k, s in enumerate(sets) if len(s)]
+    if full:
+        flat = np.concatenate([sets[k] for k in full])
+        first = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
+        for k in range(BANDS * DEEP):
+            out[k, full] = np.minimum.reduceat(flat * factor[k] + shift[k], first)
+    return np.ascontiguousarray(out.T)
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """One number for each band of each row."""
+    out = np.zeros((len(hashes), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(DEEP):
+        out = (out ^ hashes[:, k::DEEP]) * MIX
+        out ^= out >> np.uint64(31)
     return out
 
 
+def _sketches(hashes: np.ndarray) -> np.ndarray:
+    """A bit of each min-hash, in whole words."""
+    bits = ((hashes * MIX) >> np.uint64(63)).astype(np.uint8)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
+
+
+def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Values of a small set: its first shingles, rare ones first; one of its own for the empty set."""
+    if not len(found):
+        return np.array([PREFIX])
+    keep = len(found) - (4 * len(found) + 4) // 5 + 1
+    order = np.lexsort((found, counts[(found >> np.uint64(48)).astype(np.int64)]))
+    return (found[order[:keep]] ^ PREFIX) * MIX
+
+
 def _node(text: Column) -> Column:
     """A text's digest; a null text counts as empty."""
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, print, segments, other): of each text its digest, least doc_id, whole fingerprint, each segment's number and value in one, and 64 other bits."""
-    words = _words()
+    """(node, doc_id, n, fp, sketch, bands, small): of each text its digest, least doc_id, number of shingles, operator 9's fingerprint, 1-bit min-hashes, band values and, if it is small, its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text", PRINT_BYTES):
-                found = prints([shingles(t) for t in part.column("_text").to_pylist()], words)
-                bits = np.unpackbits(found.view(np.uint8).reshape(len(found), -1), axis=1)[:, : WIDTH * SEGMENTS].reshape(len(found), SEGMENTS, WIDTH)
-                value = bits @ (1 << np.arange(WIDTH, dtype=np.int64)) | np.arange(SEGMENTS) << WIDTH
-                listed = [pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel())) for v in (found.view(np.int64), value)]
-                columns = [part.column("node"), part.column("doc_id"), *listed, pa.array(found[:, -1].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "print", "segments", "other"])
+                each = [fingerprint_words((t or "").encode().lower().split(), SHINGLE, SEED) for t in part.column("_text").to_pylist()]
+                sets = [np.unique(h) for h in each]
+                hashes = min_hashes(sets)
+                size = np.fromiter(map(len, sets), np.int32, len(sets))
+                listed = lambda v, keep: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(keep * v.shape[1])]).astype(np.int32), pa.array(v[keep].view(np.int64).ravel()))
+                columns = [part.column("node"), part.column("doc_id"), pa.array(size), pa.array(majority(each).view(np.int64)), listed(_sketches(hashes), size >= 0), listed(_bands(hashes), size > SMALL)]
+                small = pa.array([s.tobytes() if len(s) <= LARGE else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, small], ["node", "doc_id", "n", "fp", "sketch", "bands", "small"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(returned(run), f"node binary, doc_id {kind}, print array<bigint>, segments array<bigint>, other bigint")
-    return found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("print", "segments", "other")])
+    found = docs.mapInArrow(returned(run), f"node binary, doc_id {kind}, n int, fp bigint, sketch array<bigint>, bands array<bigint>, small binary")
+    return found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "fp", "sketch", "bands", "small")])
+
+
+def _shingle_counts(marks: DataFrame) -> np.ndarray:
+    """How many shingles of small sets begin with each 16 bits: what the order of prefixes goes by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            found = np.frombuffer(b"".join(v for v in batch.column(0).to_pylist() if v), np.uint64)
+            total += np.bincount((found >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "n"])
+
+    out = np.zeros(1 << 16, np.int64)
+    for i, n in marks.select("small").mapInArrow(returned(run), "i bigint, n bigint").groupBy("i").agg(F.sum("n")).collect():
+        out[i] = n
+    return out
+
+
+def _values(marks: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(id, values): what a text is found under, prefixes after bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for bands, small in zip(batch.column("bands").to_pylist(), batch.column("small").to_pylist()):
+                more = [] if small is None else prefix(np.frombuffer(small, np.uint64), counts).view(np.int64).tolist()
+                found.append(bands + more)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "values"])
+
+    return marks.select("id", "bands", "small").mapInArrow(returned(run), "id bigint, values array<bigint>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -122,14 +168,12 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(returned(run), "id bigint, s binary")
 
 
-def _words() -> int:
-    """64-bit words of a fingerprint: the segments' and the other one."""
-    return -(-WIDTH * SEGMENTS // 64) + 1
-
-
-def _distance(one: str, two: str) -> Column:
-    """The complete distance of two fingerprints."""
-    return reduce(add, [F.bit_count(F.col(one)[k].bitwiseXOR(F.col(two)[k])) for k in range(_words())])
+def _likely(n: str, m: str, one: str, two: str) -> Column:
+    """Whether sets of n and m shingles with these sketches may be similar enough."""
+    size = F.least(n, m) * 5 >= F.greatest(n, m) * 4
+    words = -(-BANDS * DEEP // 64)
+    differ = sum(F.bit_count(F.col(one)[k].bitwiseXOR(F.col(two)[k])) for k in range(words))
+    return size & ((F.least(n, m) <= LARGE) | (differ <= most_bits()))
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -152,57 +196,49 @@ def similar(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
-    """Those of pairs (a, b) that are near copies; marks has the fingerprints, texts (doc_id, node, _text), repeats included."""
-    of = lambda name, value: marks.select(F.col("id").alias(name), F.col("print").alias(value))
-    near = pairs.distinct().join(of("a", "p"), "a").join(of("b", "q"), "b").where(_distance("p", "q") <= most_bits(64 * _words()))
+    """Those of pairs (a, b) that are near copies; marks has the sketches, texts (doc_id, node, _text), repeats included."""
+    of = lambda name, size, value: marks.select(F.col("id").alias(name), F.col("n").alias(size), F.col("sketch").alias(value))
+    near = pairs.distinct().join(of("a", "n", "p"), "a").join(of("b", "m", "q"), "b").where(_likely("n", "m", "p", "q"))
     pairs = written(near.select("a", "b"), f"{tag}-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Of a text's exact copies the one with its least doc_id is read, so that they don't meet in one task.
     wanted = marks.select("id", F.struct("node", "doc_id").alias("_at")).join(wanted, "id", "left_semi")
     once = texts.select(F.struct("node", "doc_id").alias("_at"), "_text").join(wanted, "_at").dropDuplicates(["id"])
     sets = written(_sets(once.select("id", "_text")), f"{tag}-sets")
-    one = pairs.join(sets.withColumnRenamed("id", "a"), "a")
-    # Sizes alone rule a pair out where the smaller set has under 4/5 of the larger one's shingles.
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-    both = both.where(F.least(F.octet_length("s"), F.octet_length("t")) * 5 >= F.greatest(F.octet_length("s"), F.octet_length("t")) * 4)
+    both = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     links = written(similar(both.select("a", "b", "s", "t")), f"{tag}-links")
     discard(pairs, sets)
     return links
 
 
-def _near(one: str, two: str) -> Column:
-    return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= most_bits(64)
-
-
 def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
-    return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+    return rows.where(F.col(one) != F.col(two)).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
 
 
-def _met(marks: DataFrame, low: int, high: int) -> DataFrame:
-    """(v, id, own, other, a, others, apart): texts under each value of the segments from low to high, stored (own) or looking it up, with the least that is stored there, and whether that is of another group.
+def _printed(marks: DataFrame) -> DataFrame:
+    """(a, b): each text with the least of its group by operator 9's fingerprints."""
+    tied = components(linked(marks.select("fp").distinct()))
+    named = marks.select("id", "fp").join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("id", F.coalesce("root", "fp").alias("key"))
+    named = written(named, "printed")
+    least = named.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    most = least.agg(F.max("n")).first()[0] or 0
+    return _pairs(with_least(named, least, "key", named.count(), most), "id", "a")
 
-    A stored text is left out where the least is of its own group (marks' root), one that looks a value up where all that
-    are stored there are; each value with texts of several groups is in some row.
-    """
-    stored = marks.select(F.explode(F.slice("segments", low + 1, high - low)).alias("v"), "id", "other", "root")
-    asked = stored.select(F.explode(F.array_compact(F.array(*ball(F.col("v"), WIDTH, 1)[1:]))).alias("v"), (-1 - F.col("id")).alias("id"), "other", "root")
+
+def _met(placed: DataFrame, total: int) -> DataFrame:
+    """(a, b): of texts (v, id, root) each with the least under its value v, if that is of another group."""
     # Map-side minima: a value that many texts share is not gathered in one place.
-    first = F.min(F.struct("id", "other", "root"))
-    least = stored.groupBy("v").agg(first["id"].alias("a"), first["other"].alias("others"), first["root"].alias("of"), F.max("root").alias("high"), F.min("root").alias("low"), F.count("*").alias("n"), (F.count("*") > 1).alias("many"))
-    # At most SEGMENTS / HUB_SHARE values are broadcast. A single stored text matters to those near it only.
+    first = F.min(F.struct("id", "root"))
+    least = placed.groupBy("v").agg(first["id"].alias("a"), first["root"].alias("of"), F.max("root").alias("high"), F.min("root").alias("low"), F.count("*").alias("n")).where("low <> high")
     most = least.agg(F.max("n")).first()[0] or 0
-    other = (F.col("root") != F.col("low")) | (F.col("root") != F.col("high"))
-    own = F.col("id") >= 0
-    wanted = (own & F.col("many") & (F.col("root") != F.col("of"))) | (~own & other & (F.col("many") | _near("other", "others")))
-    met = with_least(stored.unionByName(asked), least, "v", marks.count(), most, wanted)
-    return met.select("v", F.when(own, F.col("id")).otherwise(-1 - F.col("id")).alias("id"), own.alias("own"), "other", "a", "others", (F.col("root") != F.col("of")).alias("apart"))
+    return _pairs(with_least(placed, least, "v", total, most, F.col("root") != F.col("of")), "id", "a")
 
 
-def _rooted(marks: DataFrame, tied: DataFrame | None) -> DataFrame:
-    """marks with root: the group of tied (node, root) that a text is in, itself if none."""
+def _rooted(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
+    """rows (id) with root: the group of tied (node, root) that a text is in, itself if none."""
     if tied is None:
-        return marks.withColumn("root", F.col("id"))
-    return marks.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return rows.withColumn("root", F.col("id"))
+    return rows.join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def _edges(links: DataFrame, tied: DataFrame | None) -> DataFrame:
@@ -210,6 +246,18 @@ def _edges(links: DataFrame, tied: DataFrame | None) -> DataFrame:
     return links if tied is None else links.unionByName(tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
+def _across(placed: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b): all likely pairs of texts (v, id, root) under one value that are of different groups."""
+    split = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k"))
+    # Two texts of a value were compared as the least and the other one.
+    split = split.where("low <> high AND k > 2").select("v")
+    rows = placed.join(split, "v", "left_semi").join(marks.select("id", "n", "sketch"), "id")
+    rows = written(rows, "placed")
+    other = rows.select("v", F.col("id").alias("b"), F.col("root").alias("roots"), F.col("n").alias("m"), F.col("sketch").alias("q"))
+    found = rows.join(other, "v").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("roots")) & _likely("n", "m", "sketch", "q"))
+    return found.select(F.col("id").alias("a"), "b")
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, node, root): for each row of docs its text's digest, and one number for all of its near copies."""
     bound_batches(docs.sparkSession)
@@ -217,34 +265,26 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     texts = texts.select("doc_id", "node", "_text")
     # A text's number is given once, when the table is written; which one it gets changes no group.
     marks = written(_prints(texts).withColumn("id", F.monotonically_increasing_id()), "prints")
-    shared = tried = tied = None
-    for low, high in zip(ROUNDS, (*ROUNDS[1:], SEGMENTS)):
-        met = written(_met(_rooted(marks, tied), low, high), "shared")
-        # A group that an earlier round has found is not compared again.
-        stars = _pairs(met.where(F.col("apart") & _near("other", "others")), "id", "a").distinct()
-        found = _verified(stars, marks, texts, "star")
-        shared, tried = (met, stars) if tied is None else (shared.unionByName(met), tried.union(stars))
-        was, tied = tied, written(components(_edges(found, tied)), "tied")
-        discard(was, found)
-    # Values whose texts are in several groups still: all pairs across groups of a stored text and any other.
-    stored = _rooted(marks.select("id", "segments"), tied).select(F.explode("segments").alias("v"), "id", F.lit(True).alias("own"), "root")
-    asked = _rooted(shared.where("NOT own").select("v", "id", "own").distinct(), tied)
-    placed = stored.join(shared.select("v").distinct(), "v", "left_semi").unionByName(asked)
-    kept = F.when(F.col("own"), F.col("root"))
-    split = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(kept).alias("first"), F.max(kept).alias("last"), F.count("*").alias("k"))
-    split = split.where("low <> high AND k > 2").select("v", "first", "last")
-    needed = F.col("own") | (F.col("root") != F.col("first")) | (F.col("root") != F.col("last"))
-    placed = placed.join(split, "v").where(needed).join(marks.select("id", F.col("print").alias("p")), "id")
-    placed = written(placed.select("v", "id", "own", "root", "p"), "placed")
-    other = placed.where("own").select("v", F.col("id").alias("b"), F.col("root").alias("roots"), F.col("p").alias("q"))
-    across = placed.join(other, "v").where((F.col("root") != F.col("roots")) & (~F.col("own") | (F.col("id") < F.col("b"))) & (_distance("p", "q") <= most_bits(64 * _words())))
-    # Pairs with the least of a value were compared before.
-    more = _verified(_pairs(across, "id", "b").distinct().join(tried, ["a", "b"], "left_anti"), marks, texts, "across")
-    was, tied = tied, written(components(_edges(more, tied)), "tied")
-    discard(placed, was)
+    total = marks.count()
+    values = written(_values(marks, _shingle_counts(marks)), "values")
+    under = lambda rows, low, n: rows.select("id", "root", F.explode(F.slice("values", low, n)).alias("v"))
+    most = BANDS + LARGE
+    # First operator 9's groups and a few values, then all values, both with the least; then all pairs across groups.
+    tried = written(_printed(marks).unionByName(_met(under(_rooted(values, None), 1, FIRST), total)).distinct(), "first")
+    found = _verified(tried, marks, texts, "first")
+    tied = written(components(found), "tied")
+    discard(found)
+    stars = written(_met(under(_rooted(values, tied), 1, most), total).distinct().join(tried, ["a", "b"], "left_anti"), "stars")
+    found = _verified(stars, marks, texts, "star")
+    was, tied = tied, written(components(_edges(found, tied)), "tied")
+    discard(was, found)
+    across = _across(under(_rooted(values, tied), 1, most), marks).distinct().join(tried.unionByName(stars), ["a", "b"], "left_anti")
+    found = _verified(across, marks, texts, "across")
+    was, tied = tied, written(components(_edges(found, tied)), "tied")
+    discard(was, found, tried, stars, values)
     named = marks.select("id", "node").join(tied.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
     named = written(named, "named")
-    discard(marks, more, tied)
+    discard(marks, tied)
     return texts.select("doc_id", "node").join(named, "node")
 
 
