@@ -44,6 +44,8 @@ FIRST = 4
 SEED = 42
 #: Bytes of text whose min-hashes a worker takes at a time.
 PRINT_BYTES = 1 << 20
+#: Sets of so many shingles at most are compared inside a join.
+LISTED = 512
 #: Shingle hashes of pairs that a worker compares at a time.
 PAIR_BYTES = 4 << 20
 MIX, PREFIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -157,15 +159,24 @@ def _values(marks: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(id, s): the sorted shingle hashes of each row of docs (id, _text)."""
+    """(id, s, l): the sorted shingle hashes of each row of docs (id, _text), and as a list if they are LISTED at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text", PRINT_BYTES):
-                found = pa.array([shingles(t).tobytes() for t in part.column("_text").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), found], ["id", "s"])
+                found = [shingles(t) for t in part.column("_text").to_pylist()]
+                few = pa.array([s.view(np.int64) if len(s) <= LISTED else None for s in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in found], pa.binary()), few], ["id", "s", "l"])
 
-    return docs.mapInArrow(returned(run), "id bigint, s binary")
+    return docs.mapInArrow(returned(run), "id bigint, s binary, l array<bigint>")
+
+
+def _sets_of(ids: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, s, l) of the texts ids (id, no repeats)."""
+    # Of a text's exact copies the one with its least doc_id is read, so that they don't meet in one task.
+    wanted = marks.select("id", F.struct("node", "doc_id").alias("_at")).join(ids, "id", "left_semi")
+    once = texts.select(F.struct("node", "doc_id").alias("_at"), "_text").join(wanted, "_at").dropDuplicates(["id"])
+    return _sets(once.select("id", "_text"))
 
 
 def _likely(n: str, m: str, one: str, two: str) -> Column:
@@ -195,18 +206,20 @@ def similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(returned(run), "a bigint, b bigint")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, s, t)"""
+    one = sets.select(F.col("id").alias("a"), "s")
+    return pairs.join(one, "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
+
+
 def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
     """Those of pairs (a, b) that are near copies; marks has the sketches, texts (doc_id, node, _text), repeats included."""
     of = lambda name, size, value: marks.select(F.col("id").alias(name), F.col("n").alias(size), F.col("sketch").alias(value))
     near = pairs.distinct().join(of("a", "n", "p"), "a").join(of("b", "m", "q"), "b").where(_likely("n", "m", "p", "q"))
     pairs = written(near.select("a", "b"), f"{tag}-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # Of a text's exact copies the one with its least doc_id is read, so that they don't meet in one task.
-    wanted = marks.select("id", F.struct("node", "doc_id").alias("_at")).join(wanted, "id", "left_semi")
-    once = texts.select(F.struct("node", "doc_id").alias("_at"), "_text").join(wanted, "_at").dropDuplicates(["id"])
-    sets = written(_sets(once.select("id", "_text")), f"{tag}-sets")
-    both = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-    links = written(similar(both.select("a", "b", "s", "t")), f"{tag}-links")
+    sets = written(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), marks, texts).drop("l"), f"{tag}-sets")
+    both = _with_sets(pairs, sets)
+    links = written(similar(both), f"{tag}-links")
     discard(pairs, sets)
     return links
 
@@ -246,16 +259,26 @@ def _edges(links: DataFrame, tied: DataFrame | None) -> DataFrame:
     return links if tied is None else links.unionByName(tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
-def _across(placed: DataFrame, marks: DataFrame) -> DataFrame:
-    """(a, b): all likely pairs of texts (v, id, root) under one value that are of different groups."""
+def _across(placed: DataFrame, marks: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """(a, b): near copies among all pairs of texts (v, id, root) under one value that are of different groups, but those tried.
+
+    Sets of up to LISTED shingles are compared inside the join, so that only links come out of it; pairs with a larger one after it.
+    """
     split = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k"))
     # Two texts of a value were compared as the least and the other one.
     split = split.where("low <> high AND k > 2").select("v")
-    rows = placed.join(split, "v", "left_semi").join(marks.select("id", "n", "sketch"), "id")
-    rows = written(rows, "placed")
-    other = rows.select("v", F.col("id").alias("b"), F.col("root").alias("roots"), F.col("n").alias("m"), F.col("sketch").alias("q"))
-    found = rows.join(other, "v").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("roots")) & _likely("n", "m", "sketch", "q"))
-    return found.select(F.col("id").alias("a"), "b")
+    rows = written(placed.join(split, "v", "left_semi"), "placed")
+    sets = written(_sets_of(rows.select("id").distinct(), marks, texts), "across-sets")
+    each = rows.join(marks.select("id", "n", "sketch"), "id").join(sets.select("id", "l"), "id")
+    other = each.select("v", F.col("id").alias("b"), F.col("root").alias("roots"), F.col("n").alias("m"), F.col("sketch").alias("q"), F.col("l").alias("k"))
+    small = F.col("l").isNotNull() & F.col("k").isNotNull()
+    alike = 9 * F.size(F.array_intersect("l", "k")) >= 4 * (F.col("n") + F.col("m"))
+    found = each.join(other, "v").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("roots")) & _likely("n", "m", "sketch", "q") & (~small | alike))
+    found = written(found.select(F.col("id").alias("a"), "b", small.alias("sure")).distinct(), "across-pairs")
+    open_ = found.where("NOT sure").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    links = written(found.where("sure").select("a", "b").unionByName(similar(_with_sets(open_, sets))), "across-links")
+    discard(rows, sets, found)
+    return links
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,8 +301,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     found = _verified(stars, marks, texts, "star")
     was, tied = tied, written(components(_edges(found, tied)), "tied")
     discard(was, found)
-    across = _across(under(_rooted(values, tied), 1, most), marks).distinct().join(tried.unionByName(stars), ["a", "b"], "left_anti")
-    found = _verified(across, marks, texts, "across")
+    found = _across(under(_rooted(values, tied), 1, most), marks, texts, tried.unionByName(stars))
     was, tied = tied, written(components(_edges(found, tied)), "tied")
     discard(was, found, tried, stars, values)
     named = marks.select("id", "node").join(tied.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
