@@ -19,7 +19,7 @@ from tracelode.operators import graph as G
 from tracelode.operators import rank_tests as R
 from tracelode.operators import sequence as Q
 from tracelode.operators import vectors as V
-from tracelode.plans.facts import LABELS, SQL, sentences, table
+from tracelode.plans.facts import LABELS, NUMBERED, SQL, sentences, table
 from tracelode.sources import traces as S
 from tracelode.streaming import sessions as ST
 
@@ -117,7 +117,7 @@ _on("ag19_presence", "SELECT trace, bool_or(label = 'ORIENT' AND sid < 5) AS ori
 
 # --- distributions
 
-_on("ag01_label_distribution", f"SELECT l AS label, o::BIGINT AS ord, n, round(100 * n / sum(n) OVER (), 6) AS pct FROM (VALUES {LIST}) v(l, o) LEFT JOIN (SELECT label, count(*) AS n FROM s GROUP BY label) c ON c.label = l", lambda s: A.label_distribution(s, LABELS))
+_on("ag01_label_distribution", "SELECT l AS label, o::BIGINT AS ord, n, round(100 * n / sum(n) OVER (), 6) AS pct FROM (VALUES ('ORIENT', 0), ('DESCRIBE', 1), ('SYNTHESIZE', 2), ('HYPO', 3), ('TEST', 4), ('JUDGE', 5), ('PLAN', 6), ('MONITOR', 7), ('RULE', 8)) v(l, o) LEFT JOIN (SELECT label, count(*) AS n FROM s GROUP BY label) c ON c.label = l", lambda s: A.label_distribution(s, NUMBERED))
 _cols = ", ".join(f"count(*) FILTER (label = '{x}') AS \"{x}\"" for x in LABELS)
 _pcts = ", ".join(f"round(100 * (count(*) FILTER (label = '{x}')) / count(*), 6) AS \"{x}\"" for x in LABELS)
 _on("ag02_label_by_task", f"SELECT task, {_cols} FROM s GROUP BY task", lambda s: A.contingency(s, "task", LABELS))

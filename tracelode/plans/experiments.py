@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
 from tracelode.operators import agreement as K
+from tracelode.operators import exact_tests as X
 from tracelode.operators import graph as G
+from tracelode.operators import quality as Y
 from tracelode.operators import rank_tests as R
 from tracelode.operators import steering as E
 from tracelode.operators import vectors as V
 from tracelode.plans.catalog import _RANK, _add, _docs, _on, _vecs
-from tracelode.plans.facts import LABELS, table
+from tracelode.plans.facts import JUDGEMENT, LABELS, MACRO, SPECIFICITY, SQL, TEST_CONTEXT, sentences, table
 
 # --- graphs: depths and components are folded over a trace's nodes in order
 
@@ -186,3 +188,98 @@ _on(
 def _probe_scores(s: DataFrame) -> DataFrame:
     """A score for each label: its share of sure codings, halved for two labels so that every class comes up."""
     return s.groupBy(F.col("label").alias("category")).agg((F.avg((F.col("confidence") == "high").cast("int")) * F.when(F.col("label").isin("HYPO", "TEST"), 0.5).otherwise(1.0)).alias("f1"))
+
+
+# --- exact small-sample tests, a group each
+
+_SIGNED = """WITH RECURSIVE f AS (SELECT 0 AS k, list_transform(range(0, 1276), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c
+  UNION ALL SELECT k + 1, list_transform(range(0, 1276), lambda i: c[i + 1] + CASE WHEN i >= k + 1 THEN c[i - k] ELSE 0 END) FROM f WHERE k < 50),
+"""
+_SIZED = """WITH RECURSIVE f AS (SELECT 0 AS k, list_transform(range(0, 3609), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c
+  UNION ALL SELECT k + 1, list_transform(range(0, 3609), lambda i: c[i + 1] + CASE WHEN i // 401 > 0 AND k + 1 >= i // 401 AND i % 401 >= k + 1 - i // 401 THEN c[i - 400 - (k + 1 - i // 401)] ELSE 0 END) FROM f WHERE k < 58),
+"""
+_MEANS = "t AS (SELECT trace, any_value(task) AS task, any_value(budget) AS budget, avg(value) FILTER (label = 'TEST') AS x, avg(value) FILTER (label = 'HYPO') AS y FROM s GROUP BY trace)"
+_KR = "k AS (SELECT *, rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v}) - 1) / 2 AS r, count(*) OVER (PARTITION BY {p}, {v}) AS t FROM {f})"
+
+
+def _means(s: DataFrame) -> DataFrame:
+    value = lambda x: F.avg(F.when(F.col("label") == x, F.col("value")))
+    return s.groupBy("trace").agg(F.first("task").alias("task"), F.first("budget").alias("budget"), value("TEST").alias("x"), value("HYPO").alias("y"))
+
+
+def _exact(name: str, sql: str, of) -> None:
+    """A query over the sentence table whose SQL begins with a recursion of its own."""
+    _add(name, sql, None)(lambda spark, sf_dir: of(sentences(spark, sf_dir)))
+
+
+_exact(
+    "sx12_exact_signed_ranks",
+    f"{_SIGNED}{SQL}, {_MEANS}, z AS (SELECT task, budget, abs(x - y) AS v, x > y AS up FROM t WHERE x <> y), {_KR.format(p='task, budget', v='v', f='z')}, "
+    "zz AS (SELECT task, budget, count(*) FILTER (x = y) AS zeros FROM t WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL), "
+    "w AS (SELECT task, budget, count(*) AS n, sum(CASE WHEN up THEN r ELSE 0 END)::DOUBLE AS plus, max(t) AS ties FROM k GROUP BY ALL), "
+    "q AS (SELECT task, budget, coalesce(n, 0) AS n, coalesce(least(plus, n * (n + 1) / 2 - plus), 0)::DOUBLE AS w, coalesce(n > 0 AND n <= 50 AND ties = 1 AND zeros = 0, false) AS exact FROM zz LEFT JOIN w USING (task, budget)) "
+    "SELECT task, budget, n, round(w, 3) AS w, exact, round(CASE WHEN exact THEN least(2 * list_sum(list_slice(c, 1, w::BIGINT + 1)) / 2.0 ** n, 1) END, 6)::DOUBLE AS p FROM q LEFT JOIN f ON f.k = q.n",
+    lambda s: X.signed_ranks(_means(s), ["task", "budget"], "x", "y").select("task", "budget", "n", F.round("w", 3).alias("w"), "exact", F.when(F.col("exact"), F.round("p", 6)).alias("p")),
+)
+_exact(
+    "sx11_exact_two_samples",
+    f"{_SIZED}{SQL}, z AS (SELECT trace, value AS v, label = 'JUDGE' AS first FROM s WHERE label IN ('JUDGE', 'HYPO') AND value IS NOT NULL), {_KR.format(p='trace', v='v', f='z')}, "
+    "w AS (SELECT trace, count(*) FILTER (first) AS n1, count(*) FILTER (NOT first) AS n2, sum(CASE WHEN first THEN r ELSE 0 END)::DOUBLE AS r, max(t) AS ties FROM k GROUP BY trace), "
+    "q AS (SELECT *, r - n1 * (n1 + 1) / 2 AS u, least(n1, n2) AS a, greatest(n1, n2) AS b FROM w), e AS (SELECT *, a > 0 AND a <= 8 AND b <= 50 AND ties = 1 AS exact FROM q) "
+    "SELECT trace, n1, n2, round(u, 3) AS u, exact, round(CASE WHEN exact THEN least(2 * list_sum(list_slice(c, a * 401 + 1, a * 401 + 1 + least(u, n1 * n2 - u)::BIGINT)) / list_sum(list_slice(c, a * 401 + 1, a * 401 + 401)), 1) END, 6)::DOUBLE AS p FROM e LEFT JOIN f ON f.k = n1 + n2",
+    lambda s: X.two_samples(s.where(F.col("label").isin("JUDGE", "HYPO")).withColumn("first", F.col("label") == "JUDGE"), ["trace"], "value", "first").select("trace", "n1", "n2", F.round("u", 3).alias("u"), "exact", F.when(F.col("exact"), F.round("p", 6)).alias("p")),
+)
+
+
+# --- quality rules: codings with faults at remainders of ids, traces that can't be read at remainders of theirs
+
+
+def _quality(s: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    faulty = s.where(F.col("trace") % 47 != 0).select(
+        "trace", "sid", (e % 997 != 0).alias("coded"), F.when(e % 991 == 0, "OTHER").when(e % 983 != 0, F.col("label")).alias("label"),
+        F.when(e % 977 == 0, "SETUP").otherwise(F.create_map(*[F.lit(x) for kv in MACRO.items() for x in kv])[F.col("label")]).alias("macro"),
+        F.when(e % 61 != 0, F.element_at(F.array(*map(F.lit, TEST_CONTEXT)), (e % 3 + 1).cast("int"))).alias("test_context"),
+        F.when(e % 59 == 0, "elsewhere").otherwise(F.replace("specificity", F.lit("across_panel"), F.lit("across_panels"))).alias("specificity"),
+        F.when(e % 53 != 0, F.col("judgement")).alias("judgement"),
+    )
+    faulty = faulty.withColumn("specificity", F.replace("specificity", F.lit("panelss"), F.lit("panels")))
+    t = F.col("trace")
+    read = s.select("trace").distinct().select("trace", F.when(t % 41 == 0, "missing").when(t % 43 == 0, "corrupt").otherwise("ok").alias("state"), F.lit("line 1").alias("error"), F.when(t % 5 == 0, " ").when(t % 7 != 0, "so").alias("answer"))
+    found = Y.trace_quality(read, faulty, MACRO, {"test_context": TEST_CONTEXT, "specificity": SPECIFICITY, "judgement": JUDGEMENT})
+    shares = ("test_context_pct", "specificity_pct", "judgement_pct", "hypo_test_share", "repetition_ratio", "entropy_norm")
+    return found.select(*[F.round(c, 6).alias(c) if c in shares else F.array_join(c, "|").alias(c) if c == "issues" else F.col(c).cast("bigint").alias(c) if c in ("longest_run_len", "unique_label_count") else F.col(c) for c in found.columns])
+
+
+_on(
+    "sx16_quality_rows",
+    """+c AS (SELECT trace, sid, event_id % 997 <> 0 AS coded, CASE WHEN event_id % 991 = 0 THEN 'OTHER' WHEN event_id % 983 <> 0 THEN label END AS label, label AS true_label,
+  CASE WHEN event_id % 61 <> 0 THEN ['post_hypothesis', 'pre_hypothesis', 'post_rule'][event_id % 3 + 1] END AS ctx, CASE WHEN event_id % 59 = 0 THEN 'elsewhere' WHEN specificity = 'across_panel' THEN 'across_panels' ELSE specificity END AS spec,
+  CASE WHEN event_id % 53 <> 0 THEN judgement END AS judgement, event_id % 977 = 0 AS wrong FROM s WHERE trace % 47 <> 0),
+macro AS (SELECT * FROM (VALUES ('ORIENT', 'SETUP'), ('DESCRIBE', 'OBSERVE'), ('SYNTHESIZE', 'OBSERVE'), ('HYPO', 'INVESTIGATE'), ('TEST', 'INVESTIGATE'), ('JUDGE', 'INVESTIGATE'), ('PLAN', 'REGULATE'), ('MONITOR', 'REGULATE'), ('RULE', 'CONCLUDE')) m(l, g)),
+h AS (SELECT c.*, coalesce(coded AND m.l IS NOT NULL, false) AS valid, m.g AS wanted, CASE WHEN wrong THEN 'SETUP' ELSE tm.g END AS macro FROM c LEFT JOIN macro m ON m.l = c.label JOIN macro tm ON tm.l = c.true_label),
+i AS (SELECT *, CASE WHEN NOT coded THEN 'missing_coding_block_s' || sid WHEN NOT valid THEN 'invalid_micro_label_s' || sid || ':' || coalesce('''' || label || '''', 'None') WHEN macro <> wanted THEN 'macro_mismatch_s' || sid || ':''' || macro || '''!=''' || wanted || '''' END AS issue FROM h),
+v AS (SELECT *, row_number() OVER o AS k, lag(label) OVER o AS b1, lag(label, 2) OVER o AS b2, lag(label, 3) OVER o AS b3 FROM i WHERE valid WINDOW o AS (PARTITION BY trace ORDER BY sid)),
+r AS (SELECT *, sum(CASE WHEN b1 IS NULL OR b1 <> label THEN 1 ELSE 0 END) OVER (PARTITION BY trace ORDER BY sid) AS run FROM v),
+long AS (SELECT trace, count(*) FILTER (n >= 10) AS n_long, arg_max(label, n * 1000000 - run) FILTER (n >= 10) AS lab, max(n) FILTER (n >= 10) AS len FROM (SELECT trace, run, any_value(label) AS label, count(*) AS n FROM r GROUP BY trace, run) GROUP BY trace),
+ent AS (SELECT trace, -sum(q * log2(q)) / log2(9) AS e, count(*) AS kinds FROM (SELECT trace, count(*) / sum(count(*)) OVER (PARTITION BY trace) AS q FROM v GROUP BY trace, label) GROUP BY trace),
+seq AS (SELECT trace, bool_or(k <= 5 AND label = 'ORIENT') AS early, count(*) FILTER (k > 1) AS pairs, count(*) FILTER ((b1 = 'HYPO' AND label = 'TEST') OR (b1 = 'TEST' AND label = 'HYPO')) AS flips,
+  count(*) FILTER (k >= 4) AS grams, count(DISTINCT CASE WHEN k >= 4 THEN label || '>' || b1 || '>' || b2 || '>' || b3 END) AS kinds4 FROM v GROUP BY trace),
+a AS (SELECT trace, count(*) AS n_sentences, count(*) FILTER (NOT coded) AS n_missing_coding, count(*) FILTER (coded AND NOT valid) AS n_invalid_micro, count(*) FILTER (issue LIKE 'macro%') AS n_macro_mismatch, count(*) FILTER (valid) AS n_valid_labels,
+  count(*) FILTER (valid AND label = 'ORIENT') AS n_orient, count(*) FILTER (valid AND label = 'DESCRIBE') AS n_describe, count(*) FILTER (valid AND label = 'SYNTHESIZE') AS n_synthesize, count(*) FILTER (valid AND label = 'HYPO') AS n_hypo, count(*) FILTER (valid AND label = 'TEST') AS n_test,
+  count(*) FILTER (valid AND label = 'JUDGE') AS n_judge, count(*) FILTER (valid AND label = 'PLAN') AS n_plan, count(*) FILTER (valid AND label = 'MONITOR') AS n_monitor, count(*) FILTER (valid AND label = 'RULE') AS n_rule,
+  count(*) FILTER (valid AND label = 'TEST' AND ctx IS NOT NULL) AS ok_ctx, count(*) FILTER (valid AND label = 'TEST' AND spec IN ('within_panel', 'across_panels')) AS ok_spec, count(*) FILTER (valid AND label = 'JUDGE' AND judgement IS NOT NULL) AS ok_judge,
+  list(issue ORDER BY sid) FILTER (issue IS NOT NULL) AS told FROM i GROUP BY trace),
+t AS (SELECT DISTINCT trace, CASE WHEN trace % 41 = 0 THEN 'missing' WHEN trace % 43 = 0 THEN 'corrupt' ELSE 'ok' END AS state FROM s),
+j AS (SELECT t.trace AS trace, t.state, t.state = 'ok' AND a.trace IS NOT NULL AND t.trace % 5 <> 0 AND t.trace % 7 <> 0 AS has_answer, a.* EXCLUDE (trace), early, pairs, flips, grams, kinds4, n_long, lab, len, e, kinds,
+  coalesce(100.0 * ok_ctx / nullif(n_test, 0), 0) AS p1, coalesce(100.0 * ok_spec / nullif(n_test, 0), 0) AS p2, coalesce(100.0 * ok_judge / nullif(n_judge, 0), 0) AS p3
+  FROM t LEFT JOIN a ON a.trace = t.trace AND t.state = 'ok' LEFT JOIN seq ON seq.trace = a.trace LEFT JOIN long ON long.trace = a.trace LEFT JOIN ent ON ent.trace = a.trace),
+z AS (SELECT *, list_concat(coalesce(told, []), list_filter([CASE WHEN state = 'missing' THEN 'missing_trace_file' END, CASE WHEN state = 'corrupt' THEN 'corrupt_json: line 1' END, CASE WHEN state = 'ok' AND n_sentences IS NULL THEN 'missing_or_empty_sentences' END,
+  CASE WHEN n_test > 0 AND p1 < 95 THEN 'coverage_test_context_below_95' END, CASE WHEN n_test > 0 AND p2 < 95 THEN 'coverage_specificity_below_95' END, CASE WHEN n_judge > 0 AND p3 < 95 THEN 'coverage_judgement_below_95' END], lambda x: x IS NOT NULL)) AS issues FROM j)
+SELECT trace, state, has_answer, """
+    + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in "n_sentences n_missing_coding n_invalid_micro n_macro_mismatch n_valid_labels n_orient n_describe n_synthesize n_hypo n_test n_judge n_plan n_monitor n_rule".split())
+    + """, coalesce(n_long, 0)::BIGINT AS n_long_runs, coalesce(early, false) AS orient_in_first5, round(p1, 6)::DOUBLE AS test_context_pct, round(p2, 6)::DOUBLE AS specificity_pct, round(p3, 6)::DOUBLE AS judgement_pct, coalesce(n_rule > 0, false) AS rule_present,
+  coalesce(len, 0)::BIGINT AS longest_run_len, lab AS longest_run_label, round(coalesce(flips / nullif(pairs, 0), 0), 6)::DOUBLE AS hypo_test_share, round(coalesce((grams - kinds4) / nullif(grams, 0), 0), 6)::DOUBLE AS repetition_ratio, round(coalesce(e, 0), 6)::DOUBLE AS entropy_norm, coalesce(kinds, 0)::BIGINT AS unique_label_count,
+  array_to_string(issues, '|') AS issues, CASE WHEN len(issues) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM z""",
+    _quality,
+)

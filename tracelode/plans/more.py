@@ -12,7 +12,7 @@ from tracelode.operators import graph as G
 from tracelode.operators import sequence as Q
 from tracelode.operators import vectors as V
 from tracelode.plans.catalog import _CUT, _DESC, _QUERIES, _SQL, _TEXTS, PHASES, A, _add, _docs, _on, _text, _texts, _vecs
-from tracelode.plans.facts import LABELS, table
+from tracelode.plans.facts import NUMBERED, table
 from tracelode.sources import traces as S
 
 
@@ -120,7 +120,7 @@ _add("ve07_span_means", "SELECT vec_id, round(list_avg(CAST(embedding AS DOUBLE[
 
 # --- projections and text
 
-_on("pj08_label_index", "SELECT trace, sid, CASE label " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(LABELS)) + " END::BIGINT AS k FROM s", lambda s: s.select("trace", "sid", F.create_map(*[F.lit(x) for kv in zip(LABELS, range(len(LABELS))) for x in kv])[F.col("label")].alias("k")))
+_on("pj08_label_index", "SELECT trace, sid, CASE label WHEN 'ORIENT' THEN 0 WHEN 'DESCRIBE' THEN 1 WHEN 'SYNTHESIZE' THEN 2 WHEN 'HYPO' THEN 3 WHEN 'TEST' THEN 4 WHEN 'JUDGE' THEN 5 WHEN 'PLAN' THEN 6 WHEN 'MONITOR' THEN 7 WHEN 'RULE' THEN 8 END::BIGINT AS k FROM s", lambda s: s.select("trace", "sid", F.create_map(*[F.lit(x) for kv in zip(NUMBERED, range(len(NUMBERED))) for x in kv])[F.col("label")].alias("k")))
 _GROUP = "CASE WHEN \"set\" = 'a' THEN 'Set A' WHEN \"set\" = 'b' AND budget = 4096 THEN 'Set B (4096)' WHEN \"set\" = 'b' AND budget = 6144 THEN 'Set B (6144)' ELSE 'UNEXPECTED' END"
 _on("pj09_groups", f"SELECT {_GROUP} AS grp, count(DISTINCT trace) AS n FROM s GROUP BY 1", lambda s: s.groupBy(S.trace_group(F.col("set"), F.col("budget")).alias("grp")).agg(F.countDistinct("trace").alias("n")))
 _on("pj10_groups_and_unexpected", f"SELECT DISTINCT trace, {_GROUP} AS grp, {_GROUP} = 'UNEXPECTED' AS unexpected FROM s", lambda s: s.select("trace", S.trace_group(F.col("set"), F.col("budget")).alias("grp")).distinct().withColumn("unexpected", F.col("grp") == "UNEXPECTED"))
