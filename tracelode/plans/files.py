@@ -11,6 +11,7 @@ from tracelode.operators.sequence import trace_order
 from tracelode.plans.catalog import _add, _on, _vecs
 from tracelode.plans.coding import _KEY, _SAID, results
 from tracelode.sources import files as X
+from tracelode.sources.manifest import Manifest
 from tracelode.sources import traces as S
 
 
@@ -106,12 +107,12 @@ _on("sk04_merged_table", "SELECT trace, CASE WHEN any_value(task) > 2 THEN 2 ELS
 
 def _log(s: DataFrame) -> DataFrame:
     folder = X.work_folder(s.sparkSession, "log")
-    for task in (1, 2):
+    for task in (1, 2, 3, 4):
         X.append_log(s.where(F.col("task") == task).groupBy("trace").agg(F.count("*").alias("n")).withColumn("run", F.lit(task)), folder)
     return X.read_log(s.sparkSession, folder, "trace bigint, n bigint, run bigint")
 
 
-_on("sk06_appended_log", "SELECT trace, count(*) AS n, any_value(task) AS run FROM s WHERE task IN (1, 2) GROUP BY trace", _log)
+_on("sk06_appended_log", "SELECT trace, count(*) AS n, any_value(task) AS run FROM s GROUP BY trace", _log)
 
 
 def _landed(s: DataFrame) -> DataFrame:
@@ -181,3 +182,34 @@ def _report(s: DataFrame) -> DataFrame:
 
 
 _on("sk11_report_lines", "SELECT '# Labels' AS line UNION ALL SELECT '| label | n | judgement |' UNION ALL SELECT '|---|---|---|' UNION ALL SELECT '| ' || label || ' | ' || count(*) || ' | ' || coalesce(max(judgement), '—') || ' |' FROM s GROUP BY label", _report)
+
+
+# --- a stored manifest of batches, one an event: all are sent, then states come in, the last ones after a compaction
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> Manifest:
+    sent = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("batch_id"), "user_id", "ts", F.lit("sent").alias("status"))
+    stored = Manifest(spark, X.work_folder(spark, "manifest"), ["batch_id"])
+    stored.upsert(sent)
+    stored.upsert(sent.where("batch_id % 3 = 0").withColumn("status", F.lit("polled")))
+    stored.compact()
+    stored.upsert(sent.where("batch_id % 5 = 0").withColumn("status", F.lit("ended")).withColumn("n_results", F.col("batch_id") % 7))
+    return stored
+
+
+_BATCHES = "b AS (SELECT event_id AS batch_id, user_id, ts, CASE WHEN event_id % 5 = 0 THEN 'ended' WHEN event_id % 3 = 0 THEN 'polled' ELSE 'sent' END AS status, CASE WHEN event_id % 5 = 0 THEN event_id % 7 END AS n_results FROM events)"
+_add("sk07_stored_manifest", f"WITH {_BATCHES} SELECT batch_id, user_id, status, n_results::BIGINT AS n_results FROM b", None)(lambda spark, d: _batches(spark, d).snapshot().select("batch_id", "user_id", "status", F.col("n_results").cast("bigint").alias("n_results")))
+_add("ex11_latest_stored_batch", f"WITH {_BATCHES} SELECT user_id, arg_max(batch_id, (ts, batch_id)) AS batch_id, arg_max(status, (ts, batch_id)) AS status, count(*) AS n FROM b GROUP BY user_id", None)(
+    lambda spark, d: _batches(spark, d).snapshot().groupBy("user_id").agg(F.max_by("batch_id", F.struct("ts", "batch_id")).alias("batch_id"), F.max_by("status", F.struct("ts", "batch_id")).alias("status"), F.count("*").alias("n"))
+)
+
+
+def _enriched(s: DataFrame) -> DataFrame:
+    """Traces of two tasks are written, then those that are missing, then none; what is stored, with what each run wrote."""
+    rows, target = s.groupBy("trace", "task").agg(F.count("*").alias("n")), X.work_folder(s.sparkSession, "enriched")
+    wrote = [S.write_missing(some, target, ["trace"], ["task"]) for some in (rows.where("task > 2"), rows, rows)]
+    stored = s.sparkSession.read.schema("trace bigint, n bigint, task bigint").parquet(target)
+    return stored.groupBy("task").agg(F.count("*").alias("n_traces"), F.sum("n").alias("n")).select("*", *[F.lit(w).alias(f"run_{k}") for k, w in enumerate(wrote)])
+
+
+_on("sk02_written_missing", "+t AS (SELECT trace, any_value(task) AS task, count(*) AS n FROM s GROUP BY trace) SELECT task, count(*) AS n_traces, sum(n)::BIGINT AS n, (SELECT count(*) FROM t WHERE task > 2) AS run_0, (SELECT count(*) FROM t WHERE task <= 2) AS run_1, 0::BIGINT AS run_2 FROM t GROUP BY task", _enriched)

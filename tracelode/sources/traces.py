@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.operators.aggregates import keep_last
@@ -134,10 +135,13 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_missing(rows: DataFrame, target: str, keys: list[str], partition: list[str]) -> int:
     """Appends the rows whose keys the target table lacks; the number written. A target that isn't there is made."""
-    spark = rows.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    new = missing(rows, spark.read.parquet(target).select(*keys), keys) if there else rows
-    before = spark.read.parquet(target).count() if there else 0
-    new.write.mode("append").partitionBy(*partition).parquet(target)
-    return spark.read.parquet(target).count() - before
+    spark, seen = rows.sparkSession, Observation()
+    try:
+        new = missing(rows, spark.read.parquet(target).select(*keys), keys)
+    except AnalysisException as absent:
+        if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        new = rows
+    # The rows are counted as they are written; another writer's are none of them.
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*partition).parquet(target)
+    return seen.get["n"]
