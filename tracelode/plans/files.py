@@ -11,6 +11,7 @@ from tracelode.operators.sequence import trace_order
 from tracelode.plans.catalog import _add, _on, _vecs
 from tracelode.plans.coding import _KEY, _SAID, results
 from tracelode.sources import files as X
+from tracelode.sources.listing import listed
 from tracelode.sources.manifest import Manifest
 from tracelode.sources import traces as S
 
@@ -213,3 +214,18 @@ def _enriched(s: DataFrame) -> DataFrame:
 
 
 _on("sk02_written_missing", "+t AS (SELECT trace, any_value(task) AS task, count(*) AS n FROM s GROUP BY trace) SELECT task, count(*) AS n_traces, sum(n)::BIGINT AS n, (SELECT count(*) FROM t WHERE task > 2) AS run_0, (SELECT count(*) FROM t WHERE task <= 2) AS run_1, 0::BIGINT AS run_2 FROM t GROUP BY task", _enriched)
+
+
+# --- discovery: trace files by task of one set, and the number in each name, from a listing that enters that set's folders alone
+
+
+def _discovered(s: DataFrame) -> DataFrame:
+    folder = X.work_folder(s.sparkSession, "discovered")
+    rows = s.select("trace", "set", "task").distinct().withColumn("name", S.trace_key(F.col("set"), F.col("task"), F.col("trace")))
+    X.write_files(rows.select(F.concat("name", F.lit(".json")).alias("name"), F.when(F.col("trace") % 3 != 0, F.repeat(F.lit("x"), (F.col("trace") % 5 + 1).cast("int"))).alias("body")), folder)
+    found = listed(s.sparkSession, folder, "trace_*.json", "set_a/task3")
+    number = F.regexp_extract("path", r"trace_(\d+)\.json$", 1).cast("bigint")
+    return found.select(number.alias("trace"), F.regexp_extract("folder", r"task(\d+)$", 1).cast("bigint").alias("task"), "size")
+
+
+_on("sc08_discovered_files", """SELECT DISTINCT trace, task, CASE WHEN trace % 3 <> 0 THEN trace % 5 + 1 ELSE 0 END AS size FROM s WHERE "set" = 'a' AND task = 3""", _discovered)

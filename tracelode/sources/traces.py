@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.operators.aggregates import keep_last
+from tracelode.sources.listing import listed, plain_path
 
 CODING = "struct<macro_label:string,micro_label:string,confidence:string,test_context:string,specificity:string,judgement:string,representation:string,hypo_status:string,hypo_antecedent_sid:int,depends_on:array<int>>"
 SENTENCE = f"struct<sentence_id:int,text:string,start_char:int,end_char:int,token_count:int,coding:{CODING}>"
@@ -25,16 +26,13 @@ def read_traces(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
 def file_state(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(path, state): ok, empty, corrupt or incomplete, for each file."""
     # Scans pass over files without bytes; the listing has them.
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    sized = scan.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
-    listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], "path string").select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    files = listed.join(sized, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    files = listed(spark, path, glob)
     read = read_traces(spark, path, glob)
     whole = F.lit(True)
     for c in REQUIRED:
         whole = whole & F.col(c).isNotNull()
-    seen = read.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "_corrupt", whole.alias("whole"))
-    state = F.when(F.col("length") == 0, "empty").when(F.col("_corrupt").isNotNull() | F.col("whole").isNull(), "corrupt").when(~F.col("whole"), "incomplete").otherwise("ok")
+    seen = read.select(plain_path(F.col("path")).alias("path"), "_corrupt", whole.alias("whole"))
+    state = F.when(F.col("size") == 0, "empty").when(F.col("_corrupt").isNotNull() | F.col("whole").isNull(), "corrupt").when(~F.col("whole"), "incomplete").otherwise("ok")
     return files.join(seen, "path", "left").select("path", state.alias("state"))
 
 
