@@ -38,10 +38,10 @@ def collected(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def density(rows: DataFrame) -> DataFrame:
-    """(trace, n_nodes, n_edges, density), from one pass over the collected traces."""
-    per = collected(rows, "depends_on").withColumn("sids", F.col("nodes.sid"))
-    many = F.aggregate("nodes", F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.size(F.array_intersect(x["depends_on"], F.col("sids"))), F.lit(0)))
-    per = per.select("trace", F.size("nodes").cast("bigint").alias("n_nodes"), many.alias("n_edges"))
+    """(trace, n_nodes, n_edges, density): distinct dependencies on sentences of the trace, joined by sentence, so that no trace is gathered."""
+    nodes = rows.select("trace", "sid")
+    edges = rows.select("trace", F.explode(F.array_distinct("depends_on")).alias("sid")).join(nodes.distinct(), ["trace", "sid"], "left_semi")
+    per = nodes.groupBy("trace").agg(F.count("*").alias("n_nodes")).join(edges.groupBy("trace").agg(F.count("*").alias("n_edges")), "trace", "left").fillna({"n_edges": 0})
     return per.withColumn("density", F.coalesce(F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), F.lit(0.0)))
 
 

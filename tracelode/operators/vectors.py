@@ -83,7 +83,7 @@ class Probe:
         self.vector, self.label, self.iterations = vector, label, iterations
         data = self._data(train)
         weights = data.groupBy("label").agg(F.count("*").alias("k")).withColumn("weight", F.sum("k").over(Window.partitionBy()) / (F.count("*").over(Window.partitionBy()) * F.col("k"))).drop("k")
-        data = data.join(F.broadcast(weights), "label").repartition(4).cache()  # a row a label
+        data = data.join(F.broadcast(weights), "label").repartition(train.sparkSession.sparkContext.defaultParallelism).cache()  # a row a label
         n = data.count()
         scale = StandardScaler(withMean=True, inputCol="raw", outputCol="features")
         self.model = Pipeline(stages=[scale, LogisticRegression(family="multinomial", weightCol="weight", regParam=1 / (c * n), standardization=False, maxIter=iterations)]).fit(data)
