@@ -316,4 +316,4 @@ _add("ag39_keyed_shifts", _SHIFT, None)(_shift)
 _add("st_tumbling_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", None)(lambda spark, d: ST.tumbling_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4)))
 _add("st_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM k GROUP BY user_id, k", None)(lambda spark, d: ST.sessions(table(spark, d, "events")))
 
-from tracelode.plans import more, stages, coding, files, experiments  # noqa: E402, F401 - they add their queries to those above
+from tracelode.plans import more, stages, coding, files, experiments, long  # noqa: E402, F401 - they add their queries to those above
