@@ -13,7 +13,9 @@ from tracelode.plans.coding import _KEY, _SAID, results
 from tracelode.sources import files as X
 from tracelode.sources.listing import listed
 from tracelode.sources.manifest import Manifest
+from tracelode.plans.facts import table
 from tracelode.sources import traces as S
+from tracelode.streaming import polling
 
 
 def _documents(s: DataFrame) -> DataFrame:
@@ -229,3 +231,25 @@ def _discovered(s: DataFrame) -> DataFrame:
 
 
 _on("sc08_discovered_files", """SELECT DISTINCT trace, task, CASE WHEN trace % 3 <> 0 THEN trace % 5 + 1 ELSE 0 END AS size FROM s WHERE "set" = 'a' AND task = 3""", _discovered)
+
+
+# --- polled batches
+
+_STATUSES, _SILENT = ["view", "click", "purchase"], 12 * 60
+
+
+def _polled(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user as status events of a batch, read as a stream; expired after 12 hours of silence."""
+    # A stream reads a folder or a pattern; the pattern does for a table of one file too.
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    changes = polling.polled(stream, "user_id", "ts", "event_type", _STATUSES, _SILENT)
+    found = polling.landed(spark, changes, "user_id", X.work_folder(spark, "polled"))
+    return found.select("user_id", "n", *_STATUSES, F.expr("(last_ms - first_ms) div 60000").alias("age"), "state")
+
+
+_add(
+    "ex09_polled_states",
+    """WITH w AS (SELECT max(epoch_ms(ts)) - 7200000 AS passed FROM events) SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'click') AS click,
+  count(*) FILTER (event_type = 'purchase') AS purchase, (max(epoch_ms(ts)) - min(epoch_ms(ts))) // 60000 AS age, CASE WHEN max(epoch_ms(ts)) + 43200000 < any_value(passed) THEN 'expired' ELSE 'open' END AS state FROM events, w GROUP BY user_id""",
+    None,
+)(_polled)
