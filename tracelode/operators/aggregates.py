@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.quantiles import quantiles
+
 
 def label_distribution(rows: DataFrame, labels: list[str]) -> DataFrame:
     """(label, ord, n, pct) in a fixed order, absent labels with null."""
@@ -36,16 +38,36 @@ def describe(value: str | Column) -> list[Column]:
     return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most")]
 
 
+def described(rows: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
+    """(keys, describe()) of each group, the median by ranks: no group's values are held in a buffer. A group of nulls alone has n 0."""
+    v = F.col(value) if isinstance(value, str) else value
+    named = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], v.alias("_v"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    basic = named.groupBy(*own).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    half = quantiles(named, own, "_v", [0.5]).select(*[F.col(k).alias(f"{k}q") for k in own], F.col("q")[0].alias("median"))
+    same = F.lit(True)
+    for k in own:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}q"))
+    return basic.join(half, same, "left").select(*[F.col(k).alias(name) for k, name in zip(own, keys)], "n", "mean", "median", "sd", "least", "most")
+
+
+def _by_sets(rows: DataFrame, keys: list[str], sets: list[list[str]], value: str) -> DataFrame:
+    """described() of each of `sets`; a key that a set lacks is null. Rows are repeated once a set, as grouping sets do."""
+    # `_set` tells a key's own nulls from those of a set without it.
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_set"), *[(F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in keys]) for i, s in enumerate(sets)]))
+    return described(rows.select(F.col(value).alias("_value"), each.alias("_e")).select("_value", "_e.*"), ["_set", *keys], "_value").drop("_set")
+
+
 def subtotals(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """describe() of every prefix of keys down to the whole."""
-    return rows.rollup(*keys).agg(*describe(value))
+    """described() of every prefix of keys down to the whole."""
+    return _by_sets(rows, keys, [keys[:i] for i in range(len(keys) + 1)], value)
 
 
 def grouped(rows: DataFrame, sets: list[list[str]], metrics: list[str]) -> DataFrame:
-    """(metric, keys..., describe()) for each grouping set; absent keys are null."""
+    """(metric, keys..., described()) for each grouping set; absent keys are null."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
     long = rows.unpivot(keys, [F.col(m).cast("double").alias(m) for m in metrics], "metric", "v")
-    return long.groupingSets([[F.col("metric"), *map(F.col, s)] for s in sets], "metric", *keys).agg(*describe("v"))
+    return _by_sets(long, ["metric", *keys], [["metric", *s] for s in sets], "v")
 
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
@@ -70,11 +92,10 @@ def dominance(rows: DataFrame, over: float = 0.7) -> DataFrame:
 
 
 def robust(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, n, q1, median, q3, low, high): quartiles and Tukey's fences; least and most serve as quartiles of three values, the least of fewer."""
-    v = F.col(value).cast("double")
-    q = rows.groupBy(group).agg(F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(v).alias("a"), F.max(v).alias("b"))
-    q1 = F.when(F.col("n") <= 3, F.col("a")).otherwise(F.col("q")[0])
-    q3 = F.when(F.col("n") < 3, F.col("a")).when(F.col("n") == 3, F.col("b")).otherwise(F.col("q")[2])
+    """(group, n, q1, median, q3, low, high): quartiles and Tukey's fences; least and most serve as quartiles of three values, the least of fewer. A group of nulls alone has no row."""
+    q = quantiles(rows, [group], value, [0.25, 0.5, 0.75])
+    q1 = F.when(F.col("n") <= 3, F.col("least")).otherwise(F.col("q")[0])
+    q3 = F.when(F.col("n") < 3, F.col("least")).when(F.col("n") == 3, F.col("most")).otherwise(F.col("q")[2])
     found = q.select(group, "n", q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"))
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     return found.withColumn("low", F.col("q1") - spread).withColumn("high", F.col("q3") + spread)

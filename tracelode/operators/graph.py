@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.operators.quantiles import quantiles
+
 
 def edges(rows: DataFrame) -> DataFrame:
     """(trace, src, dst): declared dependencies on sentences of the trace, each once; others are left out."""
@@ -164,7 +166,7 @@ def simple_cycles(rows: DataFrame) -> DataFrame:
 def distances(rows: DataFrame) -> DataFrame:
     """(label, n, mean, median, p95) of how far back sentences reach."""
     far = rows.select("label", "sid", F.explode("depends_on").alias("src")).withColumn("d", F.abs(F.col("sid") - F.col("src")))
-    return far.groupBy("label").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.percentile("d", 0.95).alias("p95"))
+    return quantiles(far, ["label"], "d", [0.5, 0.95]).select("label", "n", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def _write_back(hypo: DataFrame) -> DataFrame:
 
 # --- summaries
 
-_on("ag09_describe", "SELECT task, " + _DESC.format("tokens") + " FROM s GROUP BY task", lambda s: s.groupBy("task").agg(*A.describe("tokens")))
+_on("ag09_describe", "SELECT task, " + _DESC.format("tokens") + " FROM s GROUP BY task", lambda s: A.described(s, ["task"], "tokens"))
 _on("ag12_phase_summaries", PHASES + ", t AS (SELECT trace, any_value(task) AS task, any_value(completed) AS completed FROM s GROUP BY trace) SELECT task, completed, strategy, count(*) AS n, round(avg(f.a), 6) AS mean FROM f JOIN t USING (trace) GROUP BY GROUPING SETS ((task), (completed), (strategy))", lambda s: Q.phases(s).join(_traces(s, "task", "completed"), "trace").groupingSets([[F.col("task")], [F.col("completed")], [F.col("strategy")]], "task", "completed", "strategy").agg(F.count("*").alias("n"), F.avg("scanning").alias("mean")))
 _on("ag16_budget_ranges", "SELECT task, count(*) FILTER (tokens <= 4) AS low, count(*) FILTER (tokens BETWEEN 5 AND 8) AS middle, count(*) FILTER (tokens > 8) AS high FROM s GROUP BY task", lambda s: s.groupBy("task").agg(F.count_if(F.col("tokens") <= 4).alias("low"), F.count_if(F.col("tokens").between(5, 8)).alias("middle"), F.count_if(F.col("tokens") > 8).alias("high")))
 _on("ag17_extreme_lengths", "SELECT trace, sid, tokens FROM s WHERE tokens <= 2 OR tokens >= 12 ORDER BY tokens DESC, trace, sid LIMIT 20", lambda s: s.where("tokens <= 2 OR tokens >= 12").orderBy(F.desc("tokens"), "trace", "sid").limit(20).select("trace", "sid", "tokens"))
