@@ -66,9 +66,9 @@ def row_shares(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(a)))
 
 
-def grouped_scores(pairs: DataFrame, keys: list[str], truth: str = "a", said: str = "b") -> DataFrame:
-    """(keys, n, macro_f1, weighted_f1, accuracy) of each group, from counts; macro over labels that occur on either side."""
-    cells = pairs.groupBy(*keys, truth, said).agg(F.count("*").alias("k"))
+def grouped_scores(pairs: DataFrame, keys: list[str], truth: str = "a", said: str = "b", times: str | None = None) -> DataFrame:
+    """(keys, n, macro_f1, weighted_f1, accuracy) of each group, from counts; macro over labels that occur on either side. A row counts `times`, or once."""
+    cells = pairs.groupBy(*keys, truth, said).agg((F.sum(times) if times else F.count("*")).alias("k"))
     right = F.when(F.col(truth) == F.col(said), F.col("k")).otherwise(0)
     sides = cells.select(*keys, F.col(truth).alias("label"), F.col("k").alias("t"), F.lit(0).cast("bigint").alias("p"), right.alias("c")).unionAll(cells.select(*keys, said, F.lit(0).cast("bigint"), "k", F.lit(0).cast("bigint")))
     sums = sides.groupBy(*keys, "label").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("c").alias("c"))

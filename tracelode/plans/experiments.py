@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tracelode.functions import text as T
 from tracelode.operators import agreement as K
 from tracelode.operators import exact_tests as X
+from tracelode.operators import folds as FO
 from tracelode.operators import graph as G
+from tracelode.operators import grid as P
 from tracelode.operators import quality as Y
 from tracelode.operators import rank_tests as R
 from tracelode.operators import steering as E
@@ -137,6 +139,50 @@ def _sweep(spark: SparkSession, d: str) -> DataFrame:
 
 _add("ml05_sweep", None)(_sweep)
 
+# --- folds with level labels, and the grid of probes over four layers of a vector, each two tokens long
+
+_on(
+    "ml01_level_folds",
+    """+c AS (SELECT trace, count(*) AS size, [count(*) FILTER (label = 'DESCRIBE'), count(*) FILTER (label = 'HYPO'), count(*) FILTER (label = 'JUDGE'), count(*) FILTER (label = 'MONITOR'), count(*) FILTER (label = 'ORIENT'),
+  count(*) FILTER (label = 'PLAN'), count(*) FILTER (label = 'RULE'), count(*) FILTER (label = 'SYNTHESIZE'), count(*) FILTER (label = 'TEST')]::DOUBLE[] AS n FROM s GROUP BY trace),
+t AS (SELECT list(x ORDER BY i) AS total FROM (SELECT i, sum(x) AS x FROM (SELECT unnest(n) AS x, generate_subscripts(n, 1) AS i FROM c) GROUP BY i)),
+o AS (SELECT trace, size, [n[i] / greatest(total[i], 1) FOR i IN range(1, 10)] AS x, row_number() OVER (ORDER BY round(sqrt(list_avg([(y - list_avg(n)) ** 2 FOR y IN n])), 9) DESC, md5(trace::VARCHAR)) AS place FROM c, t),
+r AS (WITH RECURSIVE r AS (SELECT 0::BIGINT AS place, NULL::BIGINT AS trace, NULL::BIGINT AS fold, [[0.0::DOUBLE FOR i IN range(9)] FOR f IN range(5)] AS held, [0::BIGINT FOR f IN range(5)] AS sizes
+  UNION ALL SELECT place, trace, fold, [CASE WHEN f = fold THEN [held[f + 1][i] + x[i] FOR i IN range(1, 10)] ELSE held[f + 1] END FOR f IN range(5)], [CASE WHEN f = fold THEN sizes[f + 1] + size ELSE sizes[f + 1] END FOR f IN range(5)]
+  FROM (SELECT o.place, o.trace, o.x, o.size, held, sizes, list_sort([{'a': round(list_avg([sqrt(greatest((list_sum([h[i] * h[i] FOR h IN held]) + 2 * held[f + 1][i] * x[i] + x[i] * x[i]) / 5 - ((list_sum([h[i] FOR h IN held]) + x[i]) / 5) ** 2, 0)) FOR i IN range(1, 10)]), 9), 'b': sizes[f + 1], 'f': f} FOR f IN range(5)])[1].f AS fold
+    FROM r JOIN o ON o.place = r.place + 1)) SELECT trace, fold FROM r WHERE trace IS NOT NULL)
+SELECT trace, fold FROM r""",
+    lambda s: FO.balanced_folds(s, "trace", "label"),
+)
+_LAYERS = {f"layer {k} | {name}": sql.format(a=16 * k + 1, b=16 * k + 9) for k in range(4) for name, sql in (("mean_pool", "zip_with(slice(embedding, {a}, 8), slice(embedding, {b}, 8), (x, y) -> (double(x) + double(y)) / 2)"), ("last_token", "slice(embedding, {b}, 8)"))}
+#: Penalties, and the rounds each may take: weaker ones move further.
+_ROUNDS = [(0.01, 100), (0.1, 200), (1.0, 300), (10.0, 500)]
+
+
+def _fitted(spark: SparkSession, d: str) -> tuple[P.Grid, DataFrame]:
+    rows = _vecs(spark, d).withColumn("g", F.floor(F.col("vec_id") / 10))
+    rows = rows.join(FO.balanced_folds(rows, "g", "label"), "g")
+    return P.fit(rows.where("fold <> 0"), _LAYERS, "label", _ROUNDS), rows
+
+
+def _probe_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every probe of the grid with its rounds and scores on training and test folds."""
+    grid, rows = _fitted(spark, d)
+    scores = grid.scores(rows, F.when(F.col("fold") == 0, "test").otherwise("train")).withColumnRenamed("by", "split")
+    layer = F.split("view", r" \| ")
+    return grid.table(spark).join(scores, ["view", "c"]).select(layer[0].alias("layer"), layer[1].alias("pooling"), "c", "most", "rounds", "converged", "split", "n", "macro_f1", "weighted_f1", "accuracy")
+
+
+def _best_penalties(spark: SparkSession, d: str) -> DataFrame:
+    """The penalty of each layer and pooling with the best score on the test fold, the strongest of equals."""
+    found = _probe_grid(spark, d).where("split = 'test'")
+    best = F.max_by("c", F.struct(F.round("macro_f1", 9), -F.col("c")))
+    return found.groupBy("layer", "pooling").agg(best.alias("c"), F.max("macro_f1").alias("macro_f1"), F.count_if("converged").alias("n_converged"))
+
+
+_add("ml07_fitted_grid", None)(_probe_grid)
+_add("ml08_best_penalty", None)(_best_penalties)
+
 
 def _by_strategy(spark: SparkSession, d: str) -> DataFrame:
     """Scores of each strategy on the test fold and on all folds, from one probe."""
