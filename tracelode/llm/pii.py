@@ -65,6 +65,11 @@ IBAN_LENGTHS = {
 }
 
 
+def _bound(value: Column, to) -> Column:
+    """to(value) with value computed once and named, which keeps expressions small."""
+    return F.element_at(F.transform(F.array(value), to), 1)
+
+
 def _hash(key: str, kind: str, turn: Column, *over: Column) -> Column:
     """60 keyed bits."""
     joined = F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), *[c.cast("string") for c in over])
@@ -98,7 +103,7 @@ def feistel_text(key: str, kind: str, text: Column) -> Column:
     halves = F.struct(F.substr(text, F.lit(1), cut).alias("a"), F.substr(text, cut + 1).alias("b"))
     turn = lambda s, r: F.when(r % 2 == 0, F.struct(moved(s["a"], s["b"], r).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), moved(s["b"], s["a"], r).alias("b")))
     done = F.aggregate(F.array(*map(F.lit, range(ROUNDS))), halves, turn)
-    return F.concat(done["a"], done["b"])
+    return _bound(done, lambda x: F.concat(x["a"], x["b"]))
 
 
 def _digits(text: Column) -> Column:
@@ -107,9 +112,9 @@ def _digits(text: Column) -> Column:
 
 def _refill(form: Column, digits: Column) -> Column:
     """form with its digits replaced by others, in order."""
-    at = lambda c, k: F.length(_digits(F.substr(form, F.lit(1), k + 1)))
-    put = F.transform(F.split(form, ""), lambda c, k: F.when(c.rlike("^[0-9]$"), F.substr(digits, at(c, k), F.lit(1))).otherwise(c))
-    return F.array_join(put, "")
+    at = lambda k: F.length(_digits(F.substr(form, F.lit(1), k + 1)))
+    put = lambda d: F.transform(F.split(form, ""), lambda c, k: F.when(c.rlike("^[0-9]$"), F.substr(d, at(k), F.lit(1))).otherwise(c))
+    return _bound(digits, lambda d: F.array_join(put(d), ""))
 
 
 def _int(text: Column, start: int, size: int) -> Column:
@@ -138,25 +143,27 @@ def mod97(text: Column) -> Column:
 
 
 def _card(key: str, m: Column) -> Column:
-    d = _digits(m)
-    body = F.concat(F.substring(d, 1, 1), feistel_text(key, "card", F.substr(d, F.lit(2), F.length(d) - 2)))
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(d) % 10 == 0, _refill(m, F.concat(body, check.cast("string"))))
+    check = lambda body: (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
+    body = lambda d: F.concat(F.substring(d, 1, 1), feistel_text(key, "card", F.substr(d, F.lit(2), F.length(d) - 2)))
+    made = lambda d: _bound(body(d), lambda b: F.concat(b, check(b).cast("string")))
+    return _bound(_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, _refill(m, made(d))))
 
 
 def _iban(key: str, m: Column) -> Column:
-    plain = F.replace(m, F.lit(" "), F.lit(""))
-    country, bank = F.substring(plain, 1, 2), F.substr(plain, F.lit(5))
-    valid = mod97(F.concat(bank, F.substring(plain, 1, 4))) == 1
-    new = _refill(bank, feistel_text(key, "iban", _digits(bank)))
-    check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid & bank.rlike("[0-9]"), _refill(m, F.concat(check, _digits(new))))
+    def made(plain: Column) -> Column:
+        country, bank = F.substring(plain, 1, 2), F.substr(plain, F.lit(5))
+        valid = mod97(F.concat(bank, F.substring(plain, 1, 4))) == 1
+        check = lambda new: F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        new = _bound(_refill(bank, feistel_text(key, "iban", _digits(bank))), lambda new: _refill(m, F.concat(check(new), _digits(new))))
+        return F.when(valid & bank.rlike("[0-9]"), new)
+
+    return _bound(F.replace(m, F.lit(" "), F.lit("")), made)
 
 
 def _ssn(key: str, m: Column) -> Column:
     area, group, serial = _int(m, 1, 3), _int(m, 5, 2), _int(m, 8, 4)
     new = feistel_pair(key, "ssn", F.when(area > 666, area - 2).otherwise(area - 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
-    number = F.format_string("%03d-%02d-%04d", F.when(new["a"] >= 665, new["a"] + 2).otherwise(new["a"] + 1), F.floor(new["b"] / 9999) + 1, new["b"] % 9999 + 1)
+    number = _bound(new, lambda x: F.format_string("%03d-%02d-%04d", F.when(x["a"] >= 665, x["a"] + 2).otherwise(x["a"] + 1), F.floor(x["b"] / 9999) + 1, x["b"] % 9999 + 1))
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), number)
 
 
@@ -166,7 +173,7 @@ def _phone(key: str, m: Column) -> Column:
     rest = F.substr(digits, F.length(code) + 1)
     plan = (F.length(rest) == 10) & code.isin("", "1") & (_int(rest, 1, 3) >= 200) & (_int(rest, 4, 3) >= 200)
     new = feistel_pair(key, "phone", _int(rest, 1, 3) - 200, (_int(rest, 4, 3) - 200) * 10000 + _int(rest, 7, 4), 800, 8_000_000)
-    number = F.format_string("%03d%03d%04d", new["a"] + 200, F.floor(new["b"] / 10000) + 200, new["b"] % 10000)
+    number = _bound(new, lambda x: F.format_string("%03d%03d%04d", x["a"] + 200, F.floor(x["b"] / 10000) + 200, x["b"] % 10000))
     other = F.when(m.startswith("+") & F.length(digits).between(8, 15), _refill(m, F.concat(code, feistel_text(key, "phone+", rest))))
     return F.when(plan, _refill(m, F.concat(code, number))).otherwise(other)
 
@@ -175,7 +182,7 @@ def _ip(key: str, m: Column) -> Column:
     part = [F.element_at(F.split(m, r"\."), k + 1).cast("bigint") for k in range(4)]
     valid = (part[0] < 256) & (part[1] < 256) & (part[2] < 256) & (part[3] < 256)
     new = feistel_pair(key, "ip", part[0] * 256 + part[1], part[2] * 256 + part[3], 65536, 65536)
-    return F.when(valid, F.format_string("%d.%d.%d.%d", F.floor(new["a"] / 256), new["a"] % 256, F.floor(new["b"] / 256), new["b"] % 256))
+    return F.when(valid, _bound(new, lambda x: F.format_string("%d.%d.%d.%d", F.floor(x["a"] / 256), x["a"] % 256, F.floor(x["b"] / 256), x["b"] % 256)))
 
 
 def _late_days() -> list[str]:
@@ -199,18 +206,18 @@ def _date(key: str, m: Column) -> Column:
     known = F.to_date(F.format_string("%04d-%02d-%02d", year, second, first))
     days = F.datediff(known, F.lit("1900-01-01").cast("date"))
     new = feistel_pair(key, "date", F.floor(days / 4297), days % 4297, 17, 4297)
-    day = F.date_add(F.lit("1900-01-01").cast("date"), (new["a"] * 4297 + new["b"]).cast("int"))
+    day = _bound(new, lambda x: F.date_add(F.lit("1900-01-01").cast("date"), (x["a"] * 4297 + x["b"]).cast("int")))
     mark = m.substr(3, 1)
-    written = F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(mark == ".", F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    written = _bound(day, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).when(mark == ".", F.date_format(x, "dd.MM.yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
     # Month first: 221 days that can only be read so in each of 200 years, and February 29th of 49 = 7 * 7 leap years.
     late = F.array(*map(F.lit, _late_days()))
     slot = F.array_position(late, F.format_string("%02d%02d", first, second)) - 1
     apart = feistel_pair(key, "month first", year - 1900, slot, 200, 221)
-    found = F.try_element_at(late, (apart["b"] + 1).cast("int"))
-    plain = F.format_string("%s/%s/%04d", F.substring(found, 1, 2), F.substring(found, 3, 2), apart["a"] + 1900)
+    found = lambda x: F.try_element_at(late, (x["b"] + 1).cast("int"))
+    plain = _bound(apart, lambda x: F.format_string("%s/%s/%04d", F.substring(found(x), 1, 2), F.substring(found(x), 3, 2), x["a"] + 1900))
     step = F.floor((year - 1904) / 4)
     leaps = feistel_pair(key, "leap day", F.floor(step / 7), step % 7, 7, 7)
-    leap_day = F.format_string("02/29/%04d", 1904 + 4 * (7 * leaps["a"] + leaps["b"]))
+    leap_day = _bound(leaps, lambda x: F.format_string("02/29/%04d", 1904 + 4 * (7 * x["a"] + x["b"])))
     return F.when(valid(first, second), written).when((mark == "/") & valid(second, first), F.when((first == 2) & (second == 29), leap_day).otherwise(plain))
 
 
@@ -233,34 +240,29 @@ def pseudonym(key: str, match: Column) -> Column:
     )
 
 
-def _bound(value: Column, to) -> Column:
-    """to(value) with value computed once and named, which keeps expressions small."""
-    return F.element_at(F.transform(F.array(value), to), 1)
-
-
-def _spans(m: Column) -> Column:
-    """array<struct<s, e>>: the first and last place of a match, then of its parts from one separator to another."""
-    at = lambda k: F.substr(m, k, F.lit(1))
-    places = F.sequence(F.lit(1), F.length(m))
-    starts = F.filter(places, lambda k: (k == 1) | at(k - 1).rlike("^[ .-]$"))
-    ends = F.filter(places, lambda k: (k == F.length(m)) | at(k + 1).rlike("^[ .-]$"))
+def _spans(ch: Column, alone: Column) -> Column:
+    """array<array<struct<s, e>>>: the first and last place of a match of characters ch, then of its parts from each separator to later ones."""
+    size = F.size(ch)
+    apart = lambda k: F.get(ch, k).isin(" ", ".", "-")
+    places = F.sequence(F.lit(1), size)
+    starts = F.filter(places, lambda k: (k == 1) | apart(k - 2))
+    ends = F.filter(places, lambda k: (k == size) | apart(k))
     span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    fits = lambda x: (x["e"] - x["s"]).between(6, 44) & (x["e"] - x["s"] + 1 < size)
     # The k-th start goes with the k-th end and later ones.
-    each = F.flatten(F.transform(starts, lambda s, k: F.transform(F.slice(ends, k + 1, MOST_TOKENS), lambda e: span(s, e))))
-    parts = F.filter(each, lambda x: (x["e"] - x["s"]).between(6, 44) & (x["e"] - x["s"] + 1 < F.length(m)))
-    whole = F.array(span(F.lit(1), F.length(m)))
-    # Dates, SSNs, addresses and names of mail have no parts.
-    return F.when(m.rlike("[ -]") & ~F.contains(m, F.lit("@")) & (F.length(m) > 11), F.concat(whole, parts)).otherwise(whole)
+    parts = _bound(ends, lambda ends: F.transform(starts, lambda s, k: F.filter(F.transform(F.slice(ends, k + 1, MOST_TOKENS), lambda e: span(s, e)), fits)))
+    whole = F.array(F.array(span(F.lit(1), size)))
+    return F.when(alone, whole).otherwise(F.concat(whole, parts))
 
 
-def _judged(key: str, m: Column, x: Column) -> Column:
+def _judged(key: str, ch: Column, x: Column) -> Column:
     """struct<rank, short, s, e, p> for a span of a match; p is null if it isn't valid."""
     length = F.create_map(*[F.lit(v) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for v in (c, n)])
-    all_of_it = x["e"] - x["s"] + 1 == F.length(m)
-    before = F.greatest(x["s"] - 1, F.lit(1))
-    around = F.substr(m, before, x["e"] + 2 - before)
+    all_of_it = x["e"] - x["s"] + 1 == F.size(ch)
+    # A slice would copy the whole match.
+    text = lambda s, e: F.array_join(F.transform(F.sequence(s, e), lambda k: F.get(ch, k - 1)), "")
 
-    def ranked(part: Column) -> Column:
+    def ranked(part: Column, around: Column) -> Column:
         size = F.length(F.replace(part, F.lit(" "), F.lit("")))
         fits = ~part.rlike("^[A-Z]{2}") | (size == F.coalesce(F.try_element_at(length, F.substring(part, 1, 2)), size))
         card = part.rlike(f"^(?:{FORMS['card']})$")
@@ -269,22 +271,31 @@ def _judged(key: str, m: Column, x: Column) -> Column:
         p = F.when(all_of_it | (around.rlike(PART) & fits), pseudonym(key, part))
         return F.struct(rank.alias("rank"), (x["s"] - x["e"]).alias("short"), x["s"].alias("s"), x["e"].alias("e"), p.alias("p"))
 
-    return _bound(F.substr(m, x["s"], x["e"] - x["s"] + 1), ranked)
+    around = text(F.greatest(x["s"] - 1, F.lit(1)), F.least(x["e"] + 1, F.size(ch)))
+    return _bound(F.struct(text(x["s"], x["e"]).alias("part"), around.alias("around")), lambda t: ranked(t["part"], t["around"]))
 
 
 def _replaced(key: str, m: Column) -> Column:
-    """struct<t, p> for a match of ANY: what takes its place, and the pseudonyms in it."""
+    """struct<t, p> for a match of ANY: what takes its place, and the pseudonyms in it.
+
+    A match is cut into characters once, so that a part costs what it is long and not what stands before it.
+    """
     kind = "array<struct<rank:int,short:int,s:int,e:int,p:string>>"
     none = F.array().cast(kind)
+    # Dates, SSNs, addresses and names of mail have no parts.
+    alone = ~m.rlike("[ -]") | F.contains(m, F.lit("@")) | (F.length(m) <= 11)
+
+    def found(ch: Column) -> Column:
+        def step(found: Column, spans: Column) -> Column:
+            # The whole match comes first; if it is valid, its parts aren't looked at.
+            known = (F.size(found) > 0) & (F.element_at(found, 1)["short"] == 1 - F.size(ch))
+            judged = F.filter(F.transform(spans, lambda x: _judged(key, ch, x)), lambda j: j["p"].isNotNull())
+            return F.when(F.coalesce(known, F.lit(False)), found).otherwise(F.concat(found, judged))
 
-    def step(found: Column, x: Column) -> Column:
-        # The whole match comes first; if it is valid, its parts aren't looked at.
-        known = (F.size(found) > 0) & (F.element_at(found, 1)["short"] == 1 - F.length(m))
-        judged = F.filter(F.array(_judged(key, m, x)), lambda j: j["p"].isNotNull())
-        return F.when(F.coalesce(known, F.lit(False)), found).otherwise(F.concat(found, judged))
+        return F.array_sort(F.aggregate(_spans(ch, alone), none, step))
 
     apart = lambda taken, x: ~F.exists(taken, lambda t: (x["s"] <= t["e"]) & (t["s"] <= x["e"]))
-    valid = F.array_sort(F.aggregate(_spans(m), none, step))
+    valid = _bound(F.split(m, ""), found)
     taken = F.aggregate(valid, none, lambda taken, x: F.when(apart(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
     in_order = F.array_sort(F.transform(taken, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"))))
 
