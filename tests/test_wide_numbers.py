@@ -41,7 +41,7 @@ def test_no_two_traces_share_a_key(spark):
     assert [r[0] for r in rows.select(S.short_key(S.trace_key(F.lit("A"), F.lit(1), F.col("t")))).collect()] == [k[:21] for k in keys]
 
 
-@pytest.mark.parametrize("name", ["ex10_download_log", "ex10_results_by_type", "jn01_merged_codings", "sc02_marked_files", "sc04_file_states", "sc06_valid_work_list", "sc08_discovered_files"])
+@pytest.mark.parametrize("name", ["ex10_download_log", "ex10_results_by_type", "jn01_merged_codings", "sc02_marked_files", "sc04_file_states", "sc06_valid_work_list", "sc08_discovered_files", "sk08_dead_letter_files"])
 def test_as_in_sql(spark, wide, name):
     got, said = both(spark, wide, name)
     assert got == said
