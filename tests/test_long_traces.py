@@ -104,3 +104,39 @@ def test_cosines_by_tiles(spark):
         seen = {(r.trace, r.sid, r.early): r.sim for r in tiles.similar_pairs(rows, "g", "k", "v", 0.25, tile).collect()}
         assert seen.keys() == pairs.keys()
     assert tiles.best_earlier(rows.where("false"), "g", "k", "v").count() == 0
+
+
+def test_rows_of_a_trace_are_sent_a_few_times(spark):
+    import pandas as pd
+
+    rows = spark.range(3000).select(F.lit(1).alias("g"), F.col("id").alias("k"), F.array(F.sin("id").cast("float"), F.lit(1.0).cast("float")).alias("v"))
+    counted = lambda late, early: pd.DataFrame({"trace": [1], "sid": [len(late)], "sim": [0.0], "early": [len(early)]})
+    for tile in (tiles.similar_pairs.__defaults__[-1], tiles.best_earlier.__defaults__[-1]):
+        met = tiles._tiled(rows, "g", "k", "v", tile, counted).collect()
+        assert sum(r.sid + r.early for r in met) <= 3 * 3000
+    import inspect
+
+    from tracelode.plans import long
+
+    assert "TILE" not in inspect.getsource(long)
+
+
+@pytest.mark.parametrize("tile", [7, 64, 1000])
+def test_copies_and_near_ties_in_blocks(spark, monkeypatch, tile):
+    """Copies tie, and cosines that differ by less than nine places do; the earliest counts, in a block or beyond."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 6))
+    vectors = np.concatenate([base, base, base * 3.0, base + 1e-12, np.zeros((2, 6)), rng.normal(size=(60, 6))])
+    rows = spark.createDataFrame([(None if k % 5 == 0 else k % 5, k, v.tolist()) for k, v in enumerate(vectors)], "g int, k bigint, v array<double>")
+    best = {(r.trace, r.sid): (r.sim, r.early) for r in tiles.best_earlier(rows, "g", "k", "v", tile).collect()}
+    pairs = {(r.trace, r.sid, r.early): r.sim for r in tiles.similar_pairs(rows, "g", "k", "v", 0.25, tile).collect()}
+    unit = [v / np.linalg.norm(v) if v.any() else None for v in vectors]
+    want_best, want_pairs = {}, {}
+    for k, v in enumerate(unit):
+        g = None if k % 5 == 0 else k % 5
+        sims = [(round(float(np.clip(v @ unit[j], -1, 1)), 9), -j) for j in range(k % 5, k, 5) if v is not None and unit[j] is not None]
+        want_best[g, k] = (max(sims)[0], -max(sims)[1]) if sims else (None, None)
+        want_pairs |= {(g, k, -j): c for c, j in sims if c >= 0.25}
+    assert best.keys() == want_best.keys() and pairs.keys() == want_pairs.keys()
+    assert all(best[k][1] == w[1] and (w[0] is None or abs(best[k][0] - w[0]) < 2e-9) for k, w in want_best.items())
+    assert all(abs(pairs[k] - w) < 2e-9 for k, w in want_pairs.items())

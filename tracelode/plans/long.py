@@ -10,8 +10,8 @@ from tracelode.operators import sequence as Q
 from tracelode.plans.catalog import _SQL, _add, _on, _text
 from tracelode.plans.facts import sentences, table
 
-#: Short chunks and tiles, so that traces of the driver's tables are cut too.
-CHUNK, TILE = 64, 32
+#: Short chunks, so that traces of the driver's tables are cut too. Tiles are not: what is sent grows with their number.
+CHUNK = 64
 #: Pairs of vectors are similar from this cosine on.
 SIMILAR = 0.25
 
@@ -40,8 +40,8 @@ u AS (SELECT trace, sid, e, sqrt(list_sum([x * x FOR x IN e])) AS size FROM v WH
 p AS (SELECT a.trace, a.sid, b.sid AS early, round(least(greatest(list_dot_product(a.e, b.e) / (a.size * b.size), -1), 1), 9) AS sim FROM u a JOIN u b ON a.trace IS NOT DISTINCT FROM b.trace AND b.sid < a.sid WHERE a.size > 0 AND b.size > 0)
 """
 _add("jn13_similar_vectors", _PAIRS + f"SELECT trace::BIGINT AS trace, sid, early, round(sim, 6)::DOUBLE AS sim FROM p WHERE sim >= {SIMILAR}", None)(
-    lambda spark, d: tiles.similar_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", SIMILAR, TILE)
+    lambda spark, d: tiles.similar_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", SIMILAR)
 )
 _add("jn14_best_earlier_vector", _PAIRS + "SELECT u.trace::BIGINT AS trace, u.sid, round(max(p.sim), 6)::DOUBLE AS sim, arg_max(p.early, (p.sim, -p.early)) AS early FROM u LEFT JOIN p ON p.trace IS NOT DISTINCT FROM u.trace AND p.sid = u.sid GROUP BY u.trace, u.sid", None)(
-    lambda spark, d: tiles.best_earlier(table(spark, d, "embeddings"), "label", "vec_id", "embedding", TILE)
+    lambda spark, d: tiles.best_earlier(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 )
