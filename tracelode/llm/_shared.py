@@ -121,14 +121,40 @@ def bound_batches(spark: SparkSession) -> None:
             continue
 
 
-def returned(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, after which its worker gives free memory back to the system: workers are used again by later stages."""
+#: Functions whose caches a worker keeps from one task to the next.
+_CACHES: list = []
+
+
+def kept(cached: Callable) -> Callable:
+    """An lru_cache() whose values stay in a worker until a task of another operator comes."""
+    _CACHES.append(cached)
+    return cached
+
+
+def give_back() -> None:
+    """Gives this process's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def release(own: tuple[Callable, ...]) -> None:
+    """Drops what kept() functions other than `own` hold in this process."""
+    held = [c for c in _CACHES if c not in own and c.cache_info().currsize]
+    for cached in held:
+        cached.cache_clear()
+    if held:
+        give_back()
+
+
+def returned(run: Callable[[Iterator], Iterator], *own: Callable) -> Callable[[Iterator], Iterator]:
+    """run, after which its worker gives free memory back to the system, and before which it drops other operators' caches than
+    `own`: workers are used again by later stages."""
 
     def task(batches: Iterator) -> Iterator:
+        release(own)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return task
 

@@ -39,13 +39,13 @@ WINDOW, STRIDE = 64, 32
 #: Edits allowed for each byte of a window, and the shared q-grams that a window asks for at least.
 RATE, SHARED = 0.1, 9
 #: Pairs of a text's and a window's q-gram that are counted at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Folded bytes of the benchmark in an index.
 BLOCK = 4_000_000
 #: Folded bytes of an item in a piece (a multiple of STRIDE); its last windows reach into the next piece's bytes.
 PIECE = 1 << 16
 #: Bytes of documents that are looked at together; parts of a document overlap by more than a match is long.
-PART, OVERLAP = 1 << 20, 256
+PART, OVERLAP = 1 << 19, 256
 
 
 def _fold() -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.llm._shared import bound_batches, file_system, map_array, shared_folder, slices, written
+from tracelode.llm._shared import bound_batches, file_system, kept, map_array, returned, shared_folder, slices, written
 from tracelode.llm.pretokens import Learned, Splitter
 
 #: Distinct pre-tokens whose ids a worker keeps between batches.
@@ -71,6 +71,7 @@ class Encoder:
         return out, np.diff(ends) + 1
 
 
+@kept
 @lru_cache(1)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -117,7 +118,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")) + 16)).first()[0] or 0
     count = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     ordered = rows.repartitionByRange(count, "doc_id", F.xxhash64("_text")).sortWithinPartitions("doc_id", "_text")
-    parts = written(ordered.mapInArrow(run, "part int, name string, kind string, n_docs bigint, n_tokens bigint"), "parts")
+    parts = written(ordered.mapInArrow(returned(run, _encoder), "part int, name string, kind string, n_docs bigint, n_tokens bigint"), "parts")
     return parts.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens"))
 
 
