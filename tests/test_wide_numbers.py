@@ -51,3 +51,16 @@ def test_read_traces_has_all_sentences(spark, wide):
     # any_value(completed) is open where traces that share a short key differ.
     got, said = both(spark, wide, "sc01_read_traces", ("completed",))
     assert got == said
+
+
+def test_read_traces_completed(spark, wide):
+    # SQL says it where a key's traces agree; elsewhere it is the smallest trace's.
+    sql = entry.oracle_sql()["sc01_read_traces"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{wide}/events.parquet/*.parquet')")
+    assert sql.count("any_value(completed) AS completed") == 1
+    said = con.execute(sql.replace("any_value(completed) AS completed", "arg_min(completed, trace) AS completed, bool_and(completed) = bool_or(completed) AS agree")).fetchall()
+    assert {r[2] for r in said} == {True, False}
+    assert {r[0]: r[1] for r in said} == {r.key: r.completed for r in entry.queries()["sc01_read_traces"](spark, wide).collect()}
+    closed = {r[0]: r[1] for r in said if r[2]}
+    assert closed == {k: v for k, v, *_ in con.execute(sql).fetchall() if k in closed}
