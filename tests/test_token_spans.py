@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tracelode.functions import text as T
 
 LONG = "".join(f"w{k} " + " " * (k % 40) for k in range(40))[:600]
 
@@ -27,3 +29,14 @@ def test_as_in_sql(spark, tmp_path, texts):
     said = con.execute(entry.oracle_sql()["tx27_token_spans"]).fetchall()
     got = entry.queries()["tx27_token_spans"](spark, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, said))
+
+
+def test_tokens_are_never_broadcast(spark, tmp_path):
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    spark.createDataFrame([(1, "Some words here.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "Join" not in plan(entry.queries()["tx27_token_spans"](spark, str(tmp_path)))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnRenamed("doc_id", "trace")
+    spans = docs.select("trace", F.lit(0).alias("start_char"), F.lit(5).alias("end_char"))
+    found = T.token_spans(spans, docs.select("trace", T.token_places(F.col("text")).alias("tokens")))
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    assert [(r.span_start, r.span_end) for r in found.collect()] == [(0, 0)]
